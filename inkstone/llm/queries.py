@@ -6,12 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkstone.llm import leakage, packing, spans
+from inkstone.llm import incremental, leakage, neardup, packing, spans
 from inkstone.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.near_groups(table(spark, d, "questions"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return incremental.rejected(table(spark, d, "questions"), table(spark, d, "incoming_records"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return packing.cut_documents(table(spark, d, "documents"))
 
