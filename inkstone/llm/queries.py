@@ -6,16 +6,42 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkstone.llm import incremental, leakage, neardup, packing, spans
+from pyspark.sql import functions as F
+
+from inkstone.llm import canonical, incremental, leakage, lookalike, neardup, packing, spans
 from inkstone.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+FIELDS = {"region": "source_meta.region", "source_type": "source_meta.source_type", "grade": "source_meta.grade"}
+
+
+def _mapped(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "questions").select("seq", "source_meta").unionByName(table(spark, d, "incoming_records").select("seq", "source_meta"))
+    return canonical.mapped(rows, table(spark, d, "reference_values"), "seq", FIELDS)
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return _mapped(spark, d).select("seq", "field", "ref_id")
+
+
+def p2_unmatched(spark: SparkSession, d: str) -> DataFrame:
+    return canonical.unmatched(_mapped(spark, d))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return neardup.near_groups(table(spark, d, "questions"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike.equal_looking(table(spark, d, "assignment_rows"))
+
+
+def p4_form(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike.one_form(table(spark, d, "assignment_rows")).select("row_id", F.md5("form").alias("form_md5"), F.length("form").alias("n_chars"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return incremental.rejected(table(spark, d, "questions"), table(spark, d, "incoming_records"))
 
