@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from inkstone.llm import canonical, incremental, leakage, lookalike, neardup, packing, spans
+from inkstone.llm import canonical, incremental, leakage, lookalike, neardup, packing, scanned, spans
 from inkstone.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,14 @@ Query = Callable[[SparkSession, str], DataFrame]
 FIELDS = {"region": "source_meta.region", "source_type": "source_meta.source_type", "grade": "source_meta.grade"}
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return scanned.noise(table(spark, d, "scanned_records"))
+
+
+def p1_text(spark: SparkSession, d: str) -> DataFrame:
+    return scanned.repaired(table(spark, d, "scanned_records"))
+
+
 def _mapped(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "questions").select("seq", "source_meta").unionByName(table(spark, d, "incoming_records").select("seq", "source_meta"))
     return canonical.mapped(rows, table(spark, d, "reference_values"), "seq", FIELDS)
