@@ -247,9 +247,9 @@ def sql() -> dict[str, str]:
         f"(SELECT string_agg(id, '|' ORDER BY seq) FROM (SELECT id, seq FROM questions WHERE id IS NOT NULL AND {meta_text('region', '云滩')} ORDER BY seq LIMIT 5)) AS sample FROM questions",
         "delete_remaining": f"SELECT seq, id FROM questions WHERE NOT ({meta_text('region', '云滩')} AND {meta_text('grade', '初')})",
         "chunk_overlap": "WITH c AS (SELECT doc_id, text, unnest(range(0, greatest(0, ceil((length(text) - 2000) / 1600.0))::bigint + 1)) AS chunk_no FROM documents) "
-        "SELECT doc_id, chunk_no::int AS chunk_no, length(substr(text, chunk_no * 1600 + 1, 2000)) AS n, md5(substr(text, chunk_no * 1600 + 1, 2000)) AS chunk_md5 FROM c",
+        "SELECT doc_id, chunk_no::int AS chunk_no, length(substr(text, chunk_no * 1600 + 1, 2000))::int AS n, md5(substr(text, chunk_no * 1600 + 1, 2000)) AS chunk_md5 FROM c",
         "clean_text": f"SELECT rec_id, md5({clean('content')}) AS cleaned FROM scanned_records",
-        "clean_documents": f"WITH t AS (SELECT doc_id, {clean('text')} AS t FROM documents) SELECT doc_id, length(t) AS n, md5(t) AS cleaned FROM t",
+        "clean_documents": f"WITH t AS (SELECT doc_id, {clean('text')} AS t FROM documents) SELECT doc_id, length(t)::int AS n, md5(t) AS cleaned FROM t",
         "normalize_text": f"SELECT seq, {normal('content')} AS normal, {question('content')} AS question FROM questions",
         "cjk_space_merge": f"SELECT rec_id, md5({ideographs('content')}) AS joined FROM scanned_records",
         "text_quality_ratio": r"SELECT doc_id, round(len(regexp_extract_all(text, '[A-Za-z0-9\x{4e00}-\x{9fa5}]')) / greatest(length(text), 1), 5) AS ratio FROM documents",
@@ -257,7 +257,7 @@ def sql() -> dict[str, str]:
         r"r AS (SELECT doc_hash, sum(length(t))::bigint AS chars, coalesce(avg(CASE WHEN t <> '' THEN len(regexp_extract_all(t, '[A-Za-z0-9\x{4e00}-\x{9fa5}]')) / length(t) END), 0) AS ratio, bool_or(regexp_matches(t, '\{#\{[^}]*\}#\}')) AS p FROM t GROUP BY 1) "
         "SELECT doc_hash, chars, round(ratio, 5) AS ratio, p OR chars < 100 OR ratio < 0.2 AS scanned FROM r",
         "pages_flattened": "WITH p AS (SELECT doc_hash, page_no, arg_min(coalesce(content, ''), rec_id) AS c FROM scanned_records GROUP BY 1, 2), "
-        "t AS (SELECT doc_hash, string_agg('--- 第 ' || page_no || ' 页 ---' || chr(10) || c, chr(10) ORDER BY page_no) AS t FROM p GROUP BY 1) SELECT doc_hash, length(t) AS n, md5(t) AS text_md5 FROM t",
+        "t AS (SELECT doc_hash, string_agg('--- 第 ' || page_no || ' 页 ---' || chr(10) || c, chr(10) ORDER BY page_no) AS t FROM p GROUP BY 1) SELECT doc_hash, length(t)::int AS n, md5(t) AS text_md5 FROM t",
         "question_number_a": f"SELECT seq, {number_record('content')} AS number FROM questions",
         "question_number_b": f"SELECT seq, {number_upload('content')} AS number FROM questions",
         "question_type_heuristic": f"SELECT seq, {kind('content')} AS kind FROM questions",

@@ -29,5 +29,5 @@ def watch(
 
 def counts_by_time(arrivals: DataFrame, at: str = "arrived_at", late: str = "30 days", every: str = "1 day", key: str = "batch_no") -> DataFrame:
     """(window, key, n) of a stream of records; records later than `late` are dropped, as are those without a time."""
-    rows = arrivals.where(F.col(at).isNotNull()).withWatermark(at, late)
+    rows = arrivals.where(F.col(at).isNotNull()).withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late)
     return rows.groupBy(F.window(at, every), key).agg(F.count("*").alias("n"))
