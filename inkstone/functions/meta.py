@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkstone.functions.text import D, S, WS, ascii_digits, first_group, u_trim
@@ -65,24 +65,29 @@ def clean_name(x: Column) -> Column:
     return u_trim(F.regexp_replace(F.regexp_replace(x, rf"(?i)[,，]{S}*msu.*$", ""), f"[{WS}]+", " "))
 
 
-def meta_report(text: Column) -> Column:
-    """A struct (meta, confidence, evidence) of a document's text, by rules only. A field that isn't found is NULL with
-    confidence 0; NULL text finds nothing."""
-    lines = F.coalesce(text_lines(text), F.array().cast("array<string>"))
-    h = head(lines)
-    y, g, k, r = year(h), first_of(h, GRADES), first_of(h, SOURCE_TYPES), region(h)
-    best = title_line(lines, g, k, y)
-    name = clean_name(best["line"])
-    sure = lambda x, c: F.when(x.isNotNull(), F.lit(c)).otherwise(0.0)
+def with_report(rows: DataFrame, text: str, name: str = "report") -> DataFrame:
+    """rows with a struct (meta, confidence, evidence) of a document's text, by rules only. A field that isn't found is NULL
+    with confidence 0; NULL text finds nothing.
+
+    Lines, head and fields are columns of their own on the way, so each is worked out once a row.
+    """
+    c = lambda n: F.col(f"_meta_{n}")
+    out = rows.withColumn("_meta_lines", F.coalesce(F.slice(text_lines(F.col(text)), 1, HEAD_LINES), F.array().cast("array<string>")))
+    out = out.withColumn("_meta_head", head(c("lines")))
+    out = out.withColumns({"_meta_y": year(c("head")), "_meta_g": first_of(c("head"), GRADES), "_meta_k": first_of(c("head"), SOURCE_TYPES), "_meta_r": region(c("head"))})
+    out = out.withColumn("_meta_best", title_line(c("lines"), c("g"), c("k"), c("y")))
+    out = out.withColumn("_meta_name", clean_name(c("best")["line"]))
+    sure = lambda x, p: F.when(x.isNotNull(), F.lit(p)).otherwise(0.0)
     confidence = F.create_map(
-        F.lit("year"), sure(y, CONFIDENCE["year"]), F.lit("grade"), sure(g, CONFIDENCE["grade"]), F.lit("source_type"), sure(k, CONFIDENCE["source_type"]),
-        F.lit("region"), sure(r, CONFIDENCE["region"]), F.lit("exam_name"), F.when(best["score"] >= 2, 0.7).when(best.isNotNull(), 0.6).otherwise(0.0),
+        F.lit("year"), sure(c("y"), CONFIDENCE["year"]), F.lit("grade"), sure(c("g"), CONFIDENCE["grade"]), F.lit("source_type"), sure(c("k"), CONFIDENCE["source_type"]),
+        F.lit("region"), sure(c("r"), CONFIDENCE["region"]), F.lit("exam_name"), F.when(c("best")["score"] >= 2, 0.7).when(c("best").isNotNull(), 0.6).otherwise(0.0),
     )
-    return F.struct(
-        F.struct(r.alias("region"), y.alias("year"), g.alias("grade"), name.alias("exam_name"), k.alias("source_type")).alias("meta"),
+    report = F.struct(
+        F.struct(c("r").alias("region"), c("y").alias("year"), c("g").alias("grade"), c("name").alias("exam_name"), c("k").alias("source_type")).alias("meta"),
         confidence.alias("confidence"),
-        F.struct(F.slice(lines, 1, CANDIDATE_LINES).alias("title_candidates"), name.alias("exam_name_line"), F.lit(False).alias("llm_used")).alias("evidence"),
+        F.struct(F.slice(c("lines"), 1, CANDIDATE_LINES).alias("title_candidates"), c("name").alias("exam_name_line"), F.lit(False).alias("llm_used")).alias("evidence"),
     )
+    return out.select(*[F.col(f"`{x}`") for x in rows.columns], report.alias(name))
 
 
 def low_confidence(confidence: Column, least: float = LOW) -> Column:

@@ -11,7 +11,7 @@ from inkstone.functions import coerce, meta, text, vector
 from inkstone.functions.providers import enriched, needs_enrichment, typed_records
 from inkstone.operators import analytics, dedupe, filters, render, search, segment
 from inkstone.plans import oracle
-from inkstone.session import table
+from inkstone.session import spread, table
 from inkstone.sources import logs, store
 from inkstone.sources.documents import flattened
 
@@ -26,6 +26,10 @@ def questions(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "questions")
 
 
+def documents(s: SparkSession, d: str) -> DataFrame:
+    return spread(table(s, d, "documents").select("doc_id", "text"))
+
+
 # scans, predicates, pages
 
 
@@ -186,7 +190,7 @@ def examples_practice_split(s: SparkSession, d: str) -> DataFrame:
 
 
 def hash_embedding(s: SparkSession, d: str) -> DataFrame:
-    rows = table(s, d, "documents").select("doc_id", vector.hash_embedding(F.col("text"), 64).alias("v"))
+    rows = documents(s, d).select("doc_id", vector.hash_embedding(F.col("text"), 64).alias("v"))
     return rows.select("doc_id", F.size("v").alias("dim"), F.round(vector.norm(F.col("v")), 3).alias("length"))
 
 
@@ -205,7 +209,7 @@ def delete_remaining(s: SparkSession, d: str) -> DataFrame:
 
 
 def chunk_overlap(s: SparkSession, d: str) -> DataFrame:
-    return segment.chunks(table(s, d, "documents").select("doc_id", "text")).select("doc_id", "chunk_no", F.length("chunk").alias("n"), F.md5("chunk").alias("chunk_md5"))
+    return segment.chunks(documents(s, d)).select("doc_id", "chunk_no", F.length("chunk").alias("n"), F.md5("chunk").alias("chunk_md5"))
 
 
 def clean_text(s: SparkSession, d: str) -> DataFrame:
@@ -213,7 +217,7 @@ def clean_text(s: SparkSession, d: str) -> DataFrame:
 
 
 def clean_documents(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "documents").select("doc_id", text.clean_text(F.col("text")).alias("t")).select("doc_id", F.length("t").alias("n"), F.md5("t").alias("cleaned"))
+    return documents(s, d).select("doc_id", text.clean_text(F.col("text")).alias("t")).select("doc_id", F.length("t").alias("n"), F.md5("t").alias("cleaned"))
 
 
 def normalize_text(s: SparkSession, d: str) -> DataFrame:
@@ -225,7 +229,7 @@ def cjk_space_merge(s: SparkSession, d: str) -> DataFrame:
 
 
 def text_quality_ratio(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "documents").select("doc_id", F.round(text.meaningful_ratio(F.col("text")), 5).alias("ratio"))
+    return documents(s, d).select("doc_id", F.round(text.meaningful_ratio(F.col("text")), 5).alias("ratio"))
 
 
 def scanned_detector(s: SparkSession, d: str) -> DataFrame:
@@ -257,18 +261,18 @@ def completeness(s: SparkSession, d: str) -> DataFrame:
 
 
 def boilerplate_heuristic(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "documents").select("doc_id", F.explode(meta.text_lines(F.col("text"))).alias("line")).groupBy("doc_id").agg(F.count_if(text.is_instruction(F.col("line"))).alias("instructions"), F.count("*").alias("lines"))
+    return documents(s, d).select("doc_id", F.explode(meta.text_lines(F.col("text"))).alias("line")).groupBy("doc_id").agg(F.count_if(text.is_instruction(F.col("line"))).alias("instructions"), F.count("*").alias("lines"))
 
 
 # documents to records
 
 
 def lines_head(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "documents").select("doc_id", F.posexplode(F.slice(meta.text_lines(F.col("text")), 1, meta.HEAD_LINES)).alias("line_no", "line"))
+    return documents(s, d).select("doc_id", F.posexplode(F.slice(meta.text_lines(F.col("text")), 1, meta.HEAD_LINES)).alias("line_no", "line"))
 
 
 def _reports(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "documents").select("doc_id", meta.meta_report(F.col("text")).alias("r"))
+    return meta.with_report(documents(s, d), "text", "r").drop("text")
 
 
 def meta_year_grade_type_region(s: SparkSession, d: str) -> DataFrame:
@@ -295,16 +299,16 @@ def exam_name_fallback(s: SparkSession, d: str) -> DataFrame:
 
 
 def question_split(s: SparkSession, d: str) -> DataFrame:
-    return segment.segments(table(s, d, "documents").select("doc_id", "text")).select("doc_id", "segment_no", F.md5("segment").alias("segment_md5"))
+    return segment.segments(documents(s, d)).select("doc_id", "segment_no", F.md5("segment").alias("segment_md5"))
 
 
 def extracted_types(s: SparkSession, d: str) -> DataFrame:
-    rows = segment.segments(table(s, d, "documents").select("doc_id", "text"))
+    rows = segment.segments(documents(s, d))
     return typed_records(rows, "segment").where(text.kept_after_extraction(F.col("segment"))).groupBy("question_type").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"))
 
 
 def missing_numbers(s: SparkSession, d: str) -> DataFrame:
-    docs = table(s, d, "documents").select("doc_id", "text")
+    docs = documents(s, d)
     found = segment.segments(docs).select("doc_id", text.number_in_upload(F.col("segment")).try_cast("bigint").alias("number"))
     return segment.missing_numbers(docs, found, "doc_id")
 
@@ -378,7 +382,7 @@ def handout_render(s: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     found = {n: f for n, f in globals().items() if callable(f) and getattr(f, "__module__", "") == __name__ and n[0] != "_"}
-    return {n: f for n, f in found.items() if n not in ("queries", "oracle_sql", "questions")}
+    return {n: f for n, f in found.items() if n not in ("queries", "oracle_sql", "questions", "documents")}
 
 
 def oracle_sql() -> dict[str, str]:

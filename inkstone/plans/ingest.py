@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkstone.functions.meta import meta_report, name_or_fallback, user_first
+from inkstone.functions.meta import name_or_fallback, user_first, with_report
 from inkstone.functions.providers import EmbeddingProvider, HashEmbedding, typed_records
 from inkstone.functions.text import clean_text, kept_after_extraction
 from inkstone.operators.dedupe import report, similar_to_stored, staged
@@ -28,7 +28,7 @@ def extracted(docs: DataFrame, user_meta: str | None = None, boilerplate: str =
     place, made of both, so it is the same in every run.
     """
     user = F.from_json(F.lit("{}"), META) if user_meta is None else F.expr(user_meta)
-    known = docs.withColumn("_m", user_first(user, meta_report(F.col("text"))["meta"]))
+    known = with_report(docs.select("doc_hash", "text"), "text").withColumn("_m", user_first(user, F.col("report.meta")))
     known = known.withColumn("source_meta", F.struct("_m.region", "_m.year", "_m.grade", name_or_fallback(F.col("_m")).alias("exam_name"), "_m.source_type"))
     rows = segments(known.select("doc_hash", "source_meta", clean_text(F.col("text")).alias("text"))).withColumnRenamed("segment", "content")
     rows = typed_records(rows, boilerplate=boilerplate).where(kept_after_extraction(F.col("content")))

@@ -53,9 +53,9 @@ META = [
 
 
 def test_meta(spark):
-    r = meta.meta_report(F.col("x"))
-    got = values(spark, [m[0] for m in META], *[r["meta"][k] for k in ("year", "grade", "source_type", "region", "exam_name")], meta.low_confidence(r["confidence"]))
-    assert got == [m[1:] for m in META]
+    df = meta.with_report(spark.createDataFrame([(i, m[0]) for i, m in enumerate(META)], "i int, x string"), "x", "r")
+    got = df.orderBy("i").select(*[f"r.meta.{k}" for k in ("year", "grade", "source_type", "region", "exam_name")], meta.low_confidence(F.col("r.confidence"))).collect()
+    assert [tuple(r) for r in got] == [m[1:] for m in META]
 
 
 def test_coercions(spark):
