@@ -127,7 +127,7 @@ class Mapper:
         return out
 
     def nearest(self, field: str, form: str) -> tuple[float, int]:
-        """The entry whose token set is most similar, 0 if none reaches SIMILARITY or two entries tie."""
+        """The highest similarity of token sets, and its entry: 0 if none reaches SIMILARITY or two entries tie."""
         core = _core(form, field)
         best: dict[int, float] = {}
         for other, ref, _ in self.cores.get(field, ()):
@@ -135,9 +135,9 @@ class Mapper:
             if s > best.get(ref, 0):
                 best[ref] = s
         top = sorted(best.items(), key=lambda x: (-x[1], x[0]))[:2]
-        if not top or top[0][1] < SIMILARITY or (len(top) > 1 and top[1][1] == top[0][1]):
+        if not top or top[0][1] < SIMILARITY:
             return 0.0, 0
-        return top[0][1], top[0][0]
+        return top[0][1], 0 if len(top) > 1 and top[1][1] == top[0][1] else top[0][0]
 
     def best(self, field: str, value: str) -> tuple[int, float, int]:
         """(mention length, similarity, ref) of the entry a value stands for; ref 0 for none."""
@@ -231,7 +231,7 @@ def mapped(
     a mention go by token sets; what ties or is too far from all entries is reported with 0.
 
     Entries go to the tasks in blocks of block_entries, so memory is bounded at any number; a value keeps the longest
-    mention, then the highest similarity, then the least ref_id of all blocks. With one block the rows aren't shuffled;
+    mention, then the highest similarity of all blocks; of equal mentions the least ref_id, of equal similarities none. With one block the rows aren't shuffled;
     a task maps each distinct value once. Rows with NULL id are left out; repeated rows give repeated results.
     """
     typed = values.select(F.col(id_col).cast("bigint").alias("id"), F.explode(F.array(*[
@@ -275,9 +275,12 @@ def mapped(
     every = blocks[0]
     for more in blocks[1:]:
         every = every.unionByName(more)
+    # a row a block, so the list is as long as there are blocks
     best = every.groupBy("id", "field", "value").agg(
-        F.max_by("ref_id", F.struct("length", "similarity", -F.col("ref_id"))).alias("ref_id"), F.min("length").alias("least")
+        F.collect_list(F.struct("length", "similarity", "ref_id")).alias("of"), F.max(F.struct("length", "similarity")).alias("top"), F.min("length").alias("least")
     )
+    refs = F.array_distinct(F.transform(F.filter("of", lambda x: (x["length"] == F.col("top.length")) & (x["similarity"] == F.col("top.similarity"))), lambda x: x["ref_id"]))
+    best = best.withColumn("ref_id", F.when((F.col("top.length") > 0) | (F.size(refs) == 1), F.array_min(refs)).otherwise(0))
     return best.where("least >= 0").select(F.col("id").alias(id_col), "field", "value", "ref_id")
 
 

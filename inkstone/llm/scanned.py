@@ -172,7 +172,11 @@ def parsed_records(rows: DataFrame, id_col: str, doc_col: str, page_col: str, te
     title = written(title, "titles")
     papers = title.count()
     # pieces in a share of all titles: at most the pieces of a title over that share, whatever the number of titles
-    cut = F.udf(lambda t: list(pieces(t[:200])), "array<string>")
+
+    @F.pandas_udf("array<string>")
+    def cut(titles: pd.Series) -> pd.Series:
+        return pd.Series([list(pieces(t[:200])) for t in titles], dtype=object)
+
     common = title.select(F.explode(cut("title")).alias("piece")).groupBy("piece").agg(F.count("*").alias("n"))
     common = [r["piece"] for r in common.where(F.col("n") >= max(3, papers * COMMON_SHARE)).collect()]
     joined = SHARED + SHARED.join(sorted(common)) if common else None
@@ -383,14 +387,17 @@ def decided(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rec, line, place, kind, seen, meant) twice: of broken words (kind hyphen; own if the mark is the word's own), and of
     misread words and characters."""
 
-    @F.udf("array<int>")
-    def lines_of(line: int, b: str, seen: str, word: str) -> list[int]:
+    def lines_of_one(line: int, b: str, seen: str, word: str) -> list[int]:
         """Of a word over two lines, those with characters that were read otherwise. b: last line and where it begins."""
         last, second = map(int, b.split(":"))
         low, same = seen.lower(), lambda x, y: next((i for i, (p, q) in enumerate(zip(x, y, strict=False)) if p != q), min(len(x), len(y)))
         begin, end = same(low, word), len(low) - same(low[::-1], word[::-1])
         return ([line] if begin < second else []) + ([last] if last != line and end > second else [])
 
+    @F.pandas_udf("array<int>")
+    def lines_of(line: pd.Series, b: pd.Series, seen: pd.Series, word: pd.Series) -> pd.Series:
+        return pd.Series([lines_of_one(*x) for x in zip(line, b, seen, word, strict=True)], dtype=object)
+
     vocabulary = written(_vocabulary(parsed), "vocabulary")
     asked = written(_questions(parsed), "asked")
     hyphen = asked.where("what = 'hyphen'").join(_hyphens(asked, vocabulary), ["a", "b", "seen"])
