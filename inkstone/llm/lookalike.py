@@ -44,6 +44,8 @@ DASHES = "‐‑‒–—―−﹘﹣－⁃˗⸺⸻"
 #: Characters besides those of category Cf that print nothing.
 SILENT = [0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x3164, 0xFFA0, *range(0x180B, 0x1810), *range(0xFE00, 0xFE10), *range(0xE0100, 0xE01F0)]
 
+TWINS = frozenset(LETTERS.values())
+
 LATIN, OTHER = "Latin", "other"
 _TOKEN = re.compile(r"[^\W\d_]+")
 
@@ -111,13 +113,11 @@ def words(text: str) -> list[str]:
 
 
 def dominant(word: str) -> tuple[str, bool]:
-    """The script of most letters (Latin first in a tie), and whether there is another one."""
-    count: dict[str, int] = {}
-    for ch in word:
-        if ch.isalpha():
-            count[script(ch)] = count.get(script(ch), 0) + 1
-    best = max(count, key=lambda s: (count[s], s == LATIN, s), default=LATIN)
-    return best, len(count) > 1
+    """The script of most letters that have no twin in another script (of all letters, if each has one; Latin first in a
+    tie), and whether the word mixes scripts."""
+    scripts = {script(ch) for ch in word if ch.isalpha()}
+    plain_ = [script(ch) for ch in word if ch.isalpha() and ch not in LETTERS and ch not in TWINS] or [script(ch) for ch in word if ch.isalpha()]
+    return max(scripts, key=lambda s: (plain_.count(s), s == LATIN, s), default=LATIN), len(scripts) > 1
 
 
 def spellings(rows: DataFrame) -> DataFrame:
