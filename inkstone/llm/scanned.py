@@ -120,29 +120,24 @@ def page_mark(line: str) -> tuple[int, bool] | None:
 def furniture(lines: list[str], page_no: int | None, title: str | None, common: frozenset[str] = frozenset()) -> dict[int, str]:
     """Kinds of the lines, from 0, that are page furniture.
 
-    Page numbers must go on from page_no by 0 or 1. A bare number counts only if it is the next of the sequence and is
-    alone, or ends a column of numbers next to a title or break; a fraction at the end of the text isn't a page.
+    The first page number must be page_no or the next, each further one the next after it. A bare number counts only where
+    page_no is known, and not at the end of the text, unless it is indented or beside a title; nor does a fraction there
+    that ends a list of options.
     """
     kind = {i: "header" for i, x in enumerate(lines) if (is_title(x, title) if title else common and is_like_titles(x, common))}
     marks = {i: m for i, x in enumerate(lines) if i not in kind and (m := page_mark(x))}
-    number = {i for i, x in enumerate(lines) if x.strip().isdigit()}
-    last, plain = page_no, [i for i, x in enumerate(lines) if x.strip() and i not in kind]
+    last, seen, plain = page_no, False, [i for i, x in enumerate(lines) if x.strip() and i not in kind]
     for i in sorted(marks):
         value, bare = marks[i]
         if last is None:
             if bare:
                 continue
-        elif not 0 <= value - last <= 1 + (i > 0 and bare is False and value - last == 1):
+        elif value != last + 1 and (seen or value != last):
             continue
-        if bare:
-            beside = {i - 1, i + 1} & number
-            edged = lines[i] != lines[i].strip() or any(j in kind or (0 <= j < len(lines) and not lines[j].strip()) for j in (i - 1, i + 1))
-            if (beside and not edged) or (plain and i == plain[-1] and not edged):
-                continue
-        elif re.fullmatch(r"\d+\s*/\s*\d+", lines[i].strip()) and plain and i == plain[-1] and not any(j in kind for j in (i - 1, i + 1)):
-            if re.search(r"[A-D][．.、:：]\s*[\d√/]*\s*$", lines[i - 1]) if i else False:
-                continue
-        kind[i], last = "page_number", value
+        at_end = plain[-1] == i and lines[i] == lines[i].strip() and not ({i - 1, i + 1} & kind.keys())
+        if at_end and (bare or (re.fullmatch(r"\d+\s*/\s*\d+", lines[i]) and i and re.search(r"[A-D][．.、:：]\s*[\d√/]*\s*$", lines[i - 1]))):
+            continue
+        kind[i], last, seen = "page_number", value, True
     return kind
 
 
@@ -252,12 +247,14 @@ def context(text: str, i: int, seen: str) -> str:
 
 
 def readings(word: str, most: int = 2) -> set[str]:
-    """What a word may have been: with one place read otherwise, or up to `most` of those that are often misread."""
+    """What a word may have been: with up to `most` places read otherwise, at most one of them by IN_WORDS."""
     likely = [(i, s, m) for i in range(len(word)) for s in dict.fromkeys((word[i], word[i : i + 2])) for m in LETTERS.get(s, ())]
     other = [(i, s, m) for i, s in enumerate(word) for m in IN_WORDS.get(s, ())]
     out = set()
     for k in range(1, most + 1):
-        for chosen in combinations(sorted(likely + other) if k == 1 else likely, k):
+        for chosen in combinations(sorted(likely + other), k):
+            if k > 1 and sum(c in other for c in chosen) > 1:
+                continue
             if all(a[0] + len(a[1]) <= b[0] for a, b in zip(chosen, chosen[1:], strict=False)):
                 s, at = "", 0
                 for i, seen, meant in chosen:
@@ -378,7 +375,7 @@ def _misread_places(asked: DataFrame, vocabulary: DataFrame) -> DataFrame:
     ask = ask.withColumn("ns", F.coalesce("ns", F.lit(0))).withColumn("nm", F.coalesce("nm", F.lit(0)))
     ratio = F.when(F.col("seen") >= "⺀", RATIO_IDEOGRAPHS).otherwise(RATIO)
     for_it = (F.col("nm") >= PLACES) & (F.col("nm") >= ratio * F.col("ns"))
-    against = (F.col("ns") >= 2) & (F.col("ns") > F.col("nm"))
+    against = (F.col("ns") >= F.when(F.col("seen") >= "⺀", 3).otherwise(2)) & (F.col("ns") > F.col("nm"))
     sums = ask.groupBy("a", "seen", "meant").agg(F.max(for_it).alias("pro"), F.max(against).alias("con"), F.sum("nm").alias("nm"))
     return sums.where("pro and not con").groupBy("a", "seen").agg(F.max_by("meant", F.struct("nm", "meant")).alias("meant"))
 
