@@ -52,7 +52,8 @@ def delete_preview(store: DataFrame, filters: dict, sample: int = 20, seq: str =
     hit = meta_filter(checked(filters))
     n = store.agg(F.count_if(hit).alias("matched"), F.count_if(~hit).alias("remaining"))
     ids = store.where(hit & F.col("id").isNotNull()).orderBy(seq).limit(sample).agg(F.transform(F.array_sort(F.collect_list(F.struct(seq, "id"))), lambda s: s["id"]).alias("sample"))
-    return n.join(F.broadcast(ids))  # one row by one row
+    one = n.unionByName(ids, allowMissingColumns=True)
+    return one.agg(F.max("matched").alias("matched"), F.max("remaining").alias("remaining"), F.first("sample", ignorenulls=True).alias("sample"))
 
 
 def remaining(store: DataFrame, filters: dict, permissive: bool = False) -> DataFrame:

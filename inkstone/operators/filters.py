@@ -36,21 +36,23 @@ def meta_filter(filters: dict | None, meta: Column | None = None, id_: Column |
         if key in TEXT_FIELDS:
             out = out & _text(meta[key]).contains(str(value).strip().lower())
         elif key == "year":
-            out = out & (F.coalesce(meta["year"].cast("string").try_cast("int") == int(value), F.lit(False)) if str(value).strip().lstrip("+-").isdigit() else F.lit(False))
+            # null-safe equality is never NULL and reaches the Parquet reader
+            out = out & (meta["year"].eqNullSafe(int(value)) if str(value).strip().lstrip("+-").isdecimal() else F.lit(False))
         elif key == "id":
-            out = out & F.coalesce(id_ == str(value), F.lit(False))
+            out = out & id_.eqNullSafe(str(value))
     return out
 
 
 def retrieval_filter(points: list[str] | None, difficulty: tuple[int, int] | None, strict_empty: bool = True) -> Column:
     """Records that share a knowledge point and lie in the range of difficulty (NULL counts as 3). points None is no
-    condition; an empty list admits nothing, or everything if not strict_empty."""
+    condition; an empty list admits nothing, or everything if not strict_empty. For where(): NULL stands for false."""
     out = F.lit(True)
     if points is not None and (points or strict_empty):
         lit = F.array(*map(F.lit, points)).cast("array<string>") if points else F.array().cast("array<string>")
         out = out & (F.coalesce(F.size(F.array_intersect("knowledge_points", lit)), F.lit(0)) > 0)
     if difficulty is not None:
-        out = out & F.coalesce("difficulty", F.lit(DIFFICULTY)).between(*difficulty)
+        level = F.col("difficulty").between(*difficulty)
+        out = out & ((level | F.col("difficulty").isNull()) if difficulty[0] <= DIFFICULTY <= difficulty[1] else level)
     return out
 
 
