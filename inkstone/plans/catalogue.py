@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from inkstone.functions import coerce, meta, text, vector
 from inkstone.functions.providers import enriched, needs_enrichment, typed_records
 from inkstone.operators import analytics, dedupe, filters, render, search, segment
-from inkstone.plans import oracle
+from inkstone.plans import extraction, oracle
 from inkstone.session import spread, table
-from inkstone.sources import logs, store
+from inkstone.sources import exchange, logs, store
 from inkstone.sources.documents import flattened
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -313,6 +313,20 @@ def missing_numbers(s: SparkSession, d: str) -> DataFrame:
     return segment.missing_numbers(docs, found, "doc_id")
 
 
+def recovered_numbers(s: SparkSession, d: str) -> DataFrame:
+    """Numbers that no kept record has, with the last segment of that number."""
+    parts = segment.segments(documents(s, d)).select("doc_id", "segment_no", "segment", text.number_in_upload(F.col("segment")).try_cast("bigint").alias("number"))
+    kept = parts.where(text.is_complete(F.col("segment")))
+    gap = segment.missing_numbers(documents(s, d), kept, "doc_id")
+    return segment.recovered(gap, parts.where("number is not null"), "doc_id", seq="segment_no").select("doc_id", "number", "segment_no", F.md5("segment").alias("segment_md5"))
+
+
+def provider_extraction(s: SparkSession, d: str) -> DataFrame:
+    """Extraction with the offline provider: every document falls back to its numbered segments."""
+    rows = extraction.extract_with_provider(documents(s, d), extraction.Rules(), "doc_id")
+    return rows.select("doc_id", F.col("index").alias("record_no"), F.md5("content").alias("content_md5"), "question_type")
+
+
 def merge_by_number(s: SparkSession, d: str) -> DataFrame:
     out = segment.merged_by_number(table(s, d, "incoming_records").where("doc_hash is not null"))
     return out.select("doc_hash", "number", "seq", F.md5("content").alias("content_md5"), "index")
@@ -372,6 +386,13 @@ def image_link_rewrite(s: SparkSession, d: str) -> DataFrame:
     return rows.select("row_id", F.md5(text.image_links(link, "/files")).alias("html_md5"))
 
 
+def image_paths(s: SparkSession, d: str) -> DataFrame:
+    """Image paths of sheets, resolved against the files that the even rows name."""
+    links = table(s, d, "assignment_rows").select("row_id", F.posexplode("images").alias("at", "path"))
+    listing = links.where("row_id % 2 = 0").select(F.concat(F.lit("/data"), "path").alias("path")).distinct()
+    return exchange.resolved_images(links, listing).select("row_id", "at", "path", "resolved")
+
+
 def assignment_html(s: SparkSession, d: str) -> DataFrame:
     return render.sheets(table(s, d, "assignment_rows"), answers=True).select("sheet_id", "n", F.md5("html").alias("html_md5"))
 

@@ -272,6 +272,12 @@ def sql() -> dict[str, str]:
         "question_split": SEGMENTS + " SELECT doc_id, segment_no::int AS segment_no, md5(segment) AS segment_md5 FROM seg",
         "extracted_types": SEGMENTS + f" SELECT {kind('segment')} AS question_type, count(*) AS n, count(DISTINCT doc_id) AS docs FROM seg WHERE NOT {instruction('segment')} AND {kept('segment')} GROUP BY 1",
         "missing_numbers": nums + f", g AS (SELECT DISTINCT doc_id, try_cast({number_upload('segment')} AS bigint) AS number FROM seg) SELECT doc_id, number FROM e WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.doc_id = e.doc_id AND g.number = e.number)",
+        "recovered_numbers": nums + f", g AS (SELECT doc_id, segment_no, segment, try_cast({number_upload('segment')} AS bigint) AS number, {complete('segment')} AS ok FROM seg), "
+        "m AS (SELECT doc_id, number FROM e WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.doc_id = e.doc_id AND g.number = e.number AND g.ok)) "
+        "SELECT m.doc_id, m.number, max(g.segment_no)::int AS segment_no, md5(arg_max(g.segment, g.segment_no)) AS segment_md5 FROM m JOIN g ON g.doc_id = m.doc_id AND g.number = m.number GROUP BY 1, 2",
+        "provider_extraction": SEGMENTS + f" SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY segment_no)::int AS record_no, md5(segment) AS content_md5, {kind('segment')} AS question_type FROM seg WHERE NOT {instruction('segment')} AND {kept('segment')}",
+        "image_paths": "WITH l AS (SELECT row_id, (generate_subscripts(images, 1) - 1)::int AS at0, unnest(images) AS path FROM assignment_rows), n AS (SELECT *, string_split(path, '/')[-1] AS n FROM l), "
+        "f AS (SELECT n, min('/data' || path) AS resolved FROM n WHERE row_id % 2 = 0 GROUP BY 1) SELECT row_id, at0 AS \"at\", path, resolved FROM n LEFT JOIN f USING (n)",
         "merge_by_number": f"WITH b AS (SELECT doc_hash, seq, {trim('content')} AS t FROM incoming_records WHERE doc_hash IS NOT NULL), r AS (SELECT *, {number_record('t')} AS number, {normal('t')} AS f FROM b WHERE t <> ''), "
         "g AS (SELECT doc_hash, number, arg_max(t, (length(t), -seq)) AS bt, arg_max(f, (length(t), -seq)) AS bf, arg_max(seq, (length(t), -seq)) AS bs, min(seq) AS a0 FROM r WHERE number IS NOT NULL GROUP BY 1, 2), "
         "x AS (SELECT g.doc_hash, g.number, string_agg(r.t, chr(10) ORDER BY r.seq) AS e FROM g JOIN r ON g.doc_hash = r.doc_hash AND g.number = r.number WHERE NOT contains(g.bf, r.f) GROUP BY 1, 2), "
