@@ -90,7 +90,7 @@ def leaked_spans(
     """
     spark = docs.sparkSession
     parts = [(item_text_col, "text")] + ([(answer_col, "answer")] if answer_col and answer_col in items.columns else [])
-    base = spread(docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).where(F.length("text") >= min_len / 8))
+    base = spread(docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).where(F.length("text") > 0))
     schema = f"`{id_col}` bigint, `{item_id_col}` bigint, part string, start_pos bigint, end_pos bigint"
 
     def scan(block: dict[int, tuple[int, str, str]]) -> DataFrame:

@@ -232,6 +232,8 @@ def suspects(text: str) -> list[tuple[int, str, str]]:
                 out.append((i, ch, "0"))
         if ch in LETTERS and ((before.isascii() and before.isalpha()) or (after.isascii() and after.islower())):
             out += [(i, ch, m) for m in LETTERS[ch]]
+        if ch == "i" == after and before.isascii() and before.isalpha():  # other pairs are too frequent in names
+            out.append((i, "ii", "u"))
     return out
 
 
