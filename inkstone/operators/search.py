@@ -31,7 +31,7 @@ def top_k(
     mode prefilter scores only what passes the filter; postfilter takes the 2k nearest of all first and may return fewer
     than k. Rows without a vector, and vectors of another length than the query, are left out; k under 1 gives no rows.
     """
-    q = F.lit(list(map(float, query))).cast("array<double>") if not query else F.array(*[F.lit(float(x)) for x in query])
+    q = F.array(*[F.lit(float(x)) for x in query]).cast("array<double>")
     rows = store.where(F.col(vector_col).isNotNull() & (F.size(vector_col) == len(query)))
     scored = lambda df: df.withColumn("similarity", _score(metric, F.col(vector_col), q))
     order = [F.col("similarity").desc(), F.col(seq_col)]

@@ -138,7 +138,8 @@ def text_similarity(s: SparkSession, d: str) -> DataFrame:
 
 
 def _query_vector(rows: DataFrame, key: str) -> list[float]:
-    return list(rows.where("embedding is not null").orderBy(key).select("embedding").first()[0])
+    first = rows.where("embedding is not null").orderBy(key).select("embedding").first()
+    return list(first[0]) if first else []
 
 
 def _hits(df: DataFrame, key: str) -> DataFrame:
