@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from inkstone.llm import components, incremental, neardup
@@ -103,3 +104,22 @@ def test_hot_key_of_suffixes(spark):
     df = spark.createDataFrame(rows, "seq bigint, id string, content string")
     got = {(x.accepted_seq, x.seq) for x in incremental.rejected(df.where("seq < 1"), df.where("seq >= 1")).collect()}
     assert got == {(0, i) for i in range(1, 150)}
+
+
+def test_entries_as_they_stream():
+    """Any division into batches gives the pairs of each key's first and neighbouring entries, each once."""
+    r = random.Random(9)
+    rows = sorted((k, n, r.random() < 0.5) for k, size in enumerate((1, 90, 2, 24, 25, 26, 49, 50, 3)) for n in r.sample(range(1000), size))
+    want = []
+    for k in {x[0] for x in rows}:
+        own = [x for x in rows if x[0] == k]
+        for i, (_, n, f) in enumerate(own):
+            near = {j for j in range(i) if j < incremental.LEADERS or j >= i - incremental.NEIGHBOURS}
+            want += [(own[j][1], n) for j in near if f or own[j][2]]
+    for size in (1, 7, 40, 1000):
+        run, got = incremental._Run(), []
+        for at in range(0, len(rows), size):
+            k, n, f = zip(*rows[at : at + size], strict=True)
+            a, b = run.pairs(np.array(k), np.array(n), np.array(f))
+            got += list(zip(a.tolist(), b.tolist(), strict=True))
+        assert sorted(got) == sorted(want)
