@@ -120,6 +120,14 @@ def test_entries_as_they_stream():
         run, got = incremental._Run(), []
         for at in range(0, len(rows), size):
             k, n, f = zip(*rows[at : at + size], strict=True)
-            a, b = run.pairs(np.array(k), np.array(n), np.array(f))
+            a, b, count = run.pairs(np.array(k), np.array(n), 2 + np.array(f, np.int64))
+            assert (count == 1).all()
             got += list(zip(a.tolist(), b.tolist(), strict=True))
         assert sorted(got) == sorted(want)
+
+
+def test_short_reordered_texts(spark):
+    """A short text whose clauses change places shares few suffixes, and is found."""
+    rows = [(1, None, "21. （11分）直三棱柱的体积为860，其高与底面边长之比是15/43，老岑比初珩晚到69分钟，则证明：TP∥平面TGM。"), (2, None, "9．老岑比初珩晚到69分钟，其高与底面边长之比是15/43，（11分）直三棱柱的体积为860，则证明：TP∥平面TGM。")]
+    df = spark.createDataFrame(rows, "seq bigint, id string, content string")
+    assert [tuple(x) for x in incremental.rejected(df.where("seq = 1"), df.where("seq = 2")).collect()] == [(1, 2)]
