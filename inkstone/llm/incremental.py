@@ -11,48 +11,78 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkstone.llm.neardup import TALLY, normal_rows, signature, similar_pairs
-from inkstone.llm.neardup import _plan as signature_plan
-from inkstone.llm.text import WindowHash, codes, gram_ids
+from inkstone.llm.neardup import normal_rows
+from inkstone.llm.text import gram_ids, gram_set, jaccard, mix64
 from inkstone.session import written
 
-#: Characters of a suffix that the arrays are sorted by, and one of how many suffixes (chosen by their first four
-#: characters, so that all texts choose alike) an array has.
-DEPTH, SPARSE = 12, 1
-#: Nodes of a key that each of its entries is matched with: the first ones, and those before the entry.
+#: Characters of a suffix that the arrays are sorted by: those of the runs that the similarity counts.
+DEPTH = 3
+#: The most frequent runs, as many as are sent to the tasks, and one of how many texts they are counted over. They decide the
+#: order of runs in a text, and with it only the length of the lists: any order finds all pairs.
+COMMON, COUNTED = 1 << 17, 4
+#: 64-bit words of a text's bitmap, and pairs that are tested at a time.
+WORDS, CHUNK = 2, 1 << 21
+BITS = [f"b{i}" for i in range(WORDS)]
+ENTRY = "key bigint, node bigint, size int, room int, " + ", ".join(f"{b} bigint" for b in BITS) + ", fresh boolean"
+#: Nodes of a key that _Run pairs an entry with: the first ones, and those before the entry. rejected doesn't use it.
 LEADERS, NEIGHBOURS = 24, 24
-#: Suffixes that a pair must share, which is a match of 16 characters or several shorter ones. Of 2,720 pairs of
-#: similarity 0.62 or more (brute force over the tables of 20,000 records), each shares 6 or more. Texts of fewer than
-#: SHORT suffixes need less, in proportion: each of theirs counts more.
-COVERAGE, SHORT = 5, 60
 #: Levels of segments: two of a level are merged into one of the next.
 RATIO = 2
 
 ID = "lower(regexp_replace(cast({} as string), '(?U)^\\\\s+|\\\\s+$', ''))"
 
 
-def suffix_keys(norm: str, hash_: WindowHash, pick: WindowHash) -> np.ndarray:
-    """Fingerprints of the first DEPTH characters of the chosen suffixes of a text, each once."""
-    c = codes(norm)
-    h = hash_(c)
-    return np.unique(h[pick(c)[: len(h)] % np.uint64(SPARSE) == 0]).view(np.int64)
+def common_runs(nodes: DataFrame) -> pd.DataFrame:
+    """(key, n): the most frequent runs of nodes (node, norm), counted over a part of the texts, by key."""
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                key, n = np.unique(np.concatenate([gram_ids(x, DEPTH) for x in pdf["norm"]]), return_counts=True)
+                yield pd.DataFrame({"key": key.view(np.int64), "n": n.astype(np.int64)})
+
+    counted = nodes.where(F.expr(f"pmod(xxhash64(node), {COUNTED}) = 0")).select("norm").mapInPandas(run, "key bigint, n bigint")
+    top = counted.groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(COMMON)
+    return top.toPandas().sort_values("key")
+
+
+def suffix_array(nodes: DataFrame, common: pd.DataFrame, similarity: float) -> DataFrame:
+    """ENTRY rows: the suffixes of nodes (node, norm, fresh) that a pair of the similarity must meet in, by their first
+    DEPTH characters, each once. Sorting by key makes it the suffix array of the nodes' texts to the depth compared.
 
-def suffix_array(nodes: DataFrame) -> DataFrame:
-    """(key, node, mark): an entry per chosen suffix of nodes (node, norm, fresh). mark is odd for fresh nodes, and half of it
-    is what the suffix counts. Sorting by key and node, in ranges or
-    hash partitions of key, makes it the suffix array of the nodes' concatenated texts to the depth compared."""
+    The runs of a text have an order that is the same for all texts, rare ones first. Texts with size runs of which a pair
+    must share n have their first shared one among the first size - n + 1 of each, and n is similarity * size at least,
+    so the others need no entry. room is the greatest size of a partner that this can be the first shared run with: n is
+    similarity / (1 + similarity) of both sizes, and no more than what is left of the text. The bitmap has the parity of
+    the runs by their hash.
+    """
+    known = nodes.sparkSession.sparkContext.broadcast((common["key"].to_numpy(np.int64), common["n"].to_numpy(np.int64)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hash_, pick = WindowHash(DEPTH), WindowHash(4)
+        runs, often = known.value
         for pdf in batches:
-            keys = [suffix_keys(x, hash_, pick) for x in pdf["norm"]]
-            n = np.array([len(k) for k in keys], np.int64)
-            weight = np.minimum(COVERAGE, -(-SHORT // np.maximum(n, 1)))
-            mark = (2 * weight + pdf["fresh"].to_numpy(bool)).astype(np.int32)
-            yield pd.DataFrame({"key": np.concatenate(keys) if keys else [], "node": np.repeat(pdf["node"].to_numpy(), n), "mark": np.repeat(mark, n)})
-
-    return nodes.select("node", "norm", "fresh").mapInPandas(run, "key bigint, node bigint, mark int")
+            if not len(pdf):
+                continue
+            grams = [gram_ids(x, DEPTH) for x in pdf["norm"]]
+            size = np.array([len(g) for g in grams], np.int64)
+            key, row = np.concatenate(grams), np.repeat(np.arange(len(size)), size)
+            mixed = mix64(key)
+            bits = np.bincount(row * 64 * WORDS + (mixed % np.uint64(64 * WORDS)).astype(np.int64), minlength=len(size) * 64 * WORDS) & 1
+            bits = np.packbits(bits.astype(np.uint8).reshape(len(size), -1), 1).view(np.int64)
+            key, n = key.view(np.int64), np.zeros(len(key), np.int64)
+            if len(runs):
+                at = np.minimum(np.searchsorted(runs, key), len(runs) - 1)
+                n = np.where(runs[at] == key, often[at], 0)
+            order = np.lexsort((mixed, n, row))
+            left = np.repeat(np.cumsum(size), size) - np.arange(len(key))  # runs of the text from this one on
+            use = left >= np.ceil(similarity * size - 1e-9)[row]
+            key, row, left = key[order][use], row[use], left[use]
+            room = np.floor(left * (1 + similarity) / similarity - size[row] + 1e-6)
+            out = {"key": key, "node": pdf["node"].to_numpy(np.int64)[row], "size": size[row].astype(np.int32), "room": room.astype(np.int32)}
+            out |= {b: bits[row, i] for i, b in enumerate(BITS)}
+            yield pd.DataFrame(out | {"fresh": pdf["fresh"].to_numpy(bool)[row]})
+
+    return nodes.select("node", "norm", "fresh").mapInPandas(run, ENTRY)
 
 
 class _Run:
@@ -91,50 +121,90 @@ class _Run:
         return found
 
 
-def matched(entries: DataFrame) -> DataFrame:
-    """(a, b, shared): pairs of nodes, a < b, at least one of them fresh, with what the suffixes they share count.
+def _chunks(left: np.ndarray, begin: np.ndarray, end: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (i, j) of each i of left with all j from its begin up to its end, some CHUNK at a time."""
+    while len(left):
+        n = np.cumsum(end - begin)
+        k = max(1, int(np.searchsorted(n, CHUNK, "right")))
+        if n[0] > CHUNK:
+            end_ = begin[0] + CHUNK
+            yield np.repeat(left[:1], CHUNK), np.arange(begin[0], end_)
+            begin = np.r_[end_, begin[1:]]
+            continue
+        lens = (end - begin)[:k]
+        yield np.repeat(left[:k], lens), np.arange(n[k - 1]) + np.repeat(begin[:k] - (n[:k] - lens), lens)
+        left, begin, end = left[k:], begin[k:], end[k:]
+
+
+def _candidates(group: np.ndarray, node: np.ndarray, size: np.ndarray, room: np.ndarray, bits: np.ndarray, left: np.ndarray, right: np.ndarray, fresh: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of nodes of equal group, one of left and one of right, that the sizes, what is left of the texts and the
+    bitmaps admit. Two fresh nodes are taken once. Rows are sorted by group."""
+    edge = np.flatnonzero(np.r_[True, group[1:] != group[:-1], True])
+    which = np.repeat(np.arange(len(edge) - 1), np.diff(edge))
+    own = np.flatnonzero(left)
+    a, b = [], []
+    for i, j in _chunks(own, edge[which[own]], edge[which[own] + 1]):
+        use = (size[j] <= room[i]) & (size[i] <= room[j])
+        i, j = i[use], j[use]
+        use = right[j] & (~fresh[j] & (node[i] != node[j]) | (node[j] < node[i]))
+        i, j = i[use], j[use]
+        unlike = sum(np.bitwise_count((w[i] ^ w[j]).view(np.uint64)).astype(np.int32) for w in bits)
+        use = unlike <= (size[i] + size[j]) * ((1 - similarity) / (1 + similarity)) + 1e-6
+        i, j = i[use], j[use]
+        a.append(np.minimum(node[i], node[j]))
+        b.append(np.maximum(node[i], node[j]))
+    none = np.empty(0, np.int64)
+    return np.concatenate([none, *a]), np.concatenate([none, *b])
+
 
-    One exchange brings the entries of a key together; the sorted entries are then streamed, so a key of any size needs
-    memory for LEADERS and NEIGHBOURS entries only. Tallies are added up by batch before their exchange. An entry is
-    matched with the first nodes of its key, since the smallest seq that a record repeats is asked for, and with those
-    before it, which catch what resembles later records only.
+def matched(entries: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): pairs of nodes, a < b, at least one of them fresh, among them all that have the similarity.
+
+    One exchange brings the entries of a key together, where each fresh one is tested with all others.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current = _Run()
+        def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
+            fresh, column = pdf["fresh"].to_numpy(bool), lambda c: pdf[c].to_numpy(np.int64)
+            a, b = _candidates(column("key"), column("node"), column("size"), column("room"), [column(w) for w in BITS], fresh, np.ones(len(fresh), bool), fresh, similarity)
+            return pd.DataFrame({"a": a, "b": b}).drop_duplicates()
+
+        held: list[pd.DataFrame] = []
         for pdf in batches:
             if not len(pdf):
                 continue
-            a, b, n = current.pairs(pdf["key"].to_numpy(), pdf["node"].to_numpy(), pdf["mark"].to_numpy(np.int64))
-            if len(a):
-                order = np.lexsort((b, a))
-                a, b, n = a[order], b[order], n[order]
-                start = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-                yield pd.DataFrame({"a": a[start], "b": b[start], "shared": np.add.reduceat(n, start)})
+            key = pdf["key"].to_numpy()
+            cut = int(np.searchsorted(key, key[-1]))  # the last key may go on
+            if cut or held and held[-1]["key"].iat[-1] != key[0]:
+                yield pairs(pd.concat([*held, pdf[:cut]]))
+                held = []
+            held.append(pdf[cut:])
+        if held:
+            yield pairs(pd.concat(held))
 
     partitions = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = entries.repartition(partitions, "key").sortWithinPartitions("key", "node")
-    return ordered.mapInPandas(run, "a bigint, b bigint, shared bigint").groupBy("a", "b").agg(F.sum("shared").alias("shared"))
+    ordered = entries.repartition(partitions, "key").sortWithinPartitions("key")
+    return ordered.mapInPandas(run, "a bigint, b bigint").distinct()
 
 
 def class_nodes(rows: DataFrame, fresh: str) -> DataFrame:
-    """(node, cls, norm, sig, fresh) of rows (id, cls, norm, fresh): a node per class of equal normal forms."""
+    """(node, cls, norm, fresh) of rows (id, cls, norm, fresh): a node per class of equal normal forms."""
     one = rows.groupBy("cls").agg(F.min("id").alias("node"), F.first("norm").alias("norm"), F.max(fresh).alias("fresh"))
+    return one.select("node", "cls", "norm", "fresh")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        salt, odd, _ = signature_plan()
-        for pdf in batches:
-            yield pdf.assign(sig=[signature(gram_ids(x), salt[:TALLY], odd[:TALLY]).tobytes() for x in pdf["norm"]])
 
-    return one.select("node", "cls", "norm", "fresh").mapInPandas(run, "node bigint, cls string, norm string, fresh boolean, sig binary")
+def linked_classes(nodes: DataFrame, entries: DataFrame, similarity: float = 0.6) -> DataFrame:
+    """(cls, other): pairs of classes, both ways, with at least the similarity, at least one of them with a fresh record."""
 
+    @F.pandas_udf("double")
+    def similarity_of(x: pd.Series, y: pd.Series) -> pd.Series:
+        known: dict[str, frozenset] = {}
+        grams = lambda t: known.get(t) or known.setdefault(t, gram_set(t))
+        return pd.Series([jaccard(grams(p), grams(q)) for p, q in zip(x, y, strict=True)], dtype="float64")
 
-def linked_classes(nodes: DataFrame, entries: DataFrame | None = None, similarity: float = 0.6) -> DataFrame:
-    """(cls, other): pairs of classes, both ways, with at least the similarity, at least one of them with a fresh record."""
-    found = matched(suffix_array(nodes) if entries is None else entries).where(F.col("shared") >= COVERAGE).select("a", "b")
-    links = written(similar_pairs(found, nodes, similarity).select("a", "b"), "links")
-    name = lambda c, n: nodes.select(F.col("node").alias(c), F.col("cls").alias(n))
-    links = links.join(name("a", "x"), "a").join(name("b", "y"), "b").select("x", "y")
+    side = lambda name: nodes.select(F.col("node").alias(name), F.col("cls").alias(f"cls_{name}"), F.col("norm").alias(f"norm_{name}"))
+    found = matched(entries, similarity).join(side("a"), "a").join(side("b"), "b").where(similarity_of("norm_a", "norm_b") >= similarity)
+    links = written(found.select(F.col("cls_a").alias("x"), F.col("cls_b").alias("y")), "links")
     return links.select(F.col("x").alias("cls"), F.col("y").alias("other")).unionByName(links.select(F.col("y").alias("cls"), F.col("x").alias("other")))
 
 
@@ -196,8 +266,8 @@ def rejected(
 
     All of history is accepted; incoming records are taken by seq, whatever their batch. A record repeats another if their
     ids are equal without letter case and outer spaces, or if their contents have at least the similarity (of sets of
-    three-character runs of the normal form). Contents are matched by a suffix array over history and all batches:
-    long matches are found in one sorted pass, added up by pair, and what covers enough is verified exactly.
+    three-character runs of the normal form). Contents are matched by a suffix array over history and all batches: no pair
+    of the similarity is left out, whatever its length, and every pair is verified exactly.
 
     NULL ids and NULL, blank or very short contents (under three letters or digits) match nothing. Repeated rows repeat
     the first. Rows with NULL seq are left out. Other columns are ignored, whatever their names.
@@ -207,7 +277,7 @@ def rejected(
     flags = rows.select(F.col("seq").alias("id"), "idk", "fresh")
     full = written(flags.join(normal, "id", "left").select("id", "idk", "fresh", "cls", "norm"), "records")
     nodes = written(class_nodes(full.where("cls is not null"), "fresh"), "nodes")
-    links = written(linked_classes(nodes, similarity=similarity), "links")
+    links = linked_classes(nodes, suffix_array(nodes, common_runs(nodes), similarity), similarity)
     return resolve(full.select(F.col("id").alias("seq"), "idk", "cls", "fresh"), links)
 
 
@@ -215,11 +285,12 @@ class SegmentStore:
     """Accepted records as immutable segments in a folder: each has its records and its suffix array, sorted by key.
 
     A batch is searched against the segments' arrays, then its accepted records become a segment. Segments of like size
-    are merged, so there are about log2(batches) of them and a record is rewritten about as often.
+    are merged, so there are about log2(batches) of them and a record is rewritten about as often. The arrays are made for
+    one similarity, and the order of runs is that of the first batch.
     """
 
-    def __init__(self, spark: SparkSession, folder: str) -> None:
-        self.spark, self.folder = spark, folder.rstrip("/")
+    def __init__(self, spark: SparkSession, folder: str, similarity: float = 0.6) -> None:
+        self.spark, self.folder, self.similarity = spark, folder.rstrip("/"), similarity
         fs = spark._jvm.org.apache.hadoop.fs
         self._path, self._fs = fs.Path, fs.Path(self.folder).getFileSystem(spark._jsc.hadoopConfiguration())
         self._fs.mkdirs(self._path(self.folder))
@@ -237,6 +308,17 @@ class SegmentStore:
     def _read(self, what: str, segments: list[dict]) -> DataFrame | None:
         return self.spark.read.parquet(*[f"{self.folder}/{s['name']}/{what}" for s in segments]) if segments else None
 
+    def _order(self, nodes: DataFrame) -> pd.DataFrame:
+        """The order of runs, with the similarity of the arrays: written with the first batch, kept from then on."""
+        path = f"{self.folder}/order"
+        if not self._fs.exists(self._path(f"{path}/_SUCCESS")):
+            first = common_runs(nodes).assign(similarity=self.similarity)
+            self.spark.createDataFrame(first, "key bigint, n bigint, similarity double").write.mode("overwrite").parquet(path)
+        order = self.spark.read.parquet(path).toPandas().sort_values("key")
+        if (order["similarity"] != self.similarity).any():
+            raise ValueError("the segments' arrays are made for another similarity")
+        return order
+
     def _write(self, records: DataFrame, level: int) -> dict:
         n = 1 + sum(s.getPath().getName().startswith("seg-") for s in self._fs.listStatus(self._path(self.folder)))
         name = f"seg-{n:08d}"
@@ -244,7 +326,8 @@ class SegmentStore:
         kept = self.spark.read.parquet(f"{self.folder}/{name}/records")
         nodes = class_nodes(kept.where("cls is not null").select(F.col("seq").alias("id"), "cls", "norm", F.lit(False).alias("fresh")), "fresh")
         nodes.write.parquet(f"{self.folder}/{name}/nodes")
-        array = suffix_array(self.spark.read.parquet(f"{self.folder}/{name}/nodes"))
+        nodes = self.spark.read.parquet(f"{self.folder}/{name}/nodes")
+        array = suffix_array(nodes, self._order(nodes), self.similarity)
         array.repartitionByRange("key").sortWithinPartitions("key", "node").write.parquet(f"{self.folder}/{name}/array")
         return {"name": name, "level": level, "rows": kept.count()}
 
@@ -256,7 +339,7 @@ class SegmentStore:
             segments = [*segments[:-RATIO], self._write(self._read("records", last), last[0]["level"] + 1)]
         self._publish(segments)
 
-    def accept(self, batch: DataFrame, seq_col: str = "seq", id_col: str = "id", text_col: str = "content", similarity: float = 0.6) -> DataFrame:
+    def accept(self, batch: DataFrame, seq_col: str = "seq", id_col: str = "id", text_col: str = "content") -> DataFrame:
         """Check a batch against all segments and itself, append what is accepted, and return (accepted_seq, seq) of the rest.
 
         Of the history only array entries whose key the batch has, and records with an id or class in question, are used.
@@ -265,14 +348,14 @@ class SegmentStore:
         normal = normal_rows(rows, "seq", "text")
         full = written(rows.select(F.col("seq").alias("id"), "idk", "fresh").join(normal, "id", "left"), "records")
         nodes = written(class_nodes(full.where("cls is not null"), "fresh"), "nodes")
-        entries, segments = suffix_array(nodes), self.segments()
+        entries, segments = suffix_array(nodes, self._order(nodes), self.similarity), self.segments()
         records = full.select(F.col("id").alias("seq"), "idk", "cls", "fresh")
         if segments:
             own = written(entries, "array")
             old = self._read("array", segments).join(own.select("key").distinct(), "key", "left_semi")
-            entries = own.unionByName(old.select("key", "node", "mark"))
+            entries = own.unionByName(old.select(own.columns))
             nodes = nodes.unionByName(self._read("nodes", segments).select(nodes.columns))
-        links = written(linked_classes(nodes, entries, similarity), "links")
+        links = linked_classes(nodes, entries, self.similarity)
         if segments:
             old = self._read("records", segments).select("seq", "idk", "cls", F.lit(False).alias("fresh"))
             classes = records.select("cls").unionByName(links.select("cls")).where("cls is not null").distinct()

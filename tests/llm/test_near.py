@@ -131,3 +131,26 @@ def test_short_reordered_texts(spark):
     rows = [(1, None, "21. （11分）直三棱柱的体积为860，其高与底面边长之比是15/43，老岑比初珩晚到69分钟，则证明：TP∥平面TGM。"), (2, None, "9．老岑比初珩晚到69分钟，其高与底面边长之比是15/43，（11分）直三棱柱的体积为860，则证明：TP∥平面TGM。")]
     df = spark.createDataFrame(rows, "seq bigint, id string, content string")
     assert [tuple(x) for x in incremental.rejected(df.where("seq = 1"), df.where("seq = 2")).collect()] == [(1, 2)]
+
+
+def brute_rows(spark, rows, first_new):
+    df = spark.createDataFrame(rows, "seq bigint, id string, content string")
+    got = {tuple(x) for x in incremental.rejected(df.where(f"seq < {first_new}"), df.where(f"seq >= {first_new}")).collect()}
+    assert got == rejected([x for x in rows if x[0] < first_new], [x for x in rows if x[0] >= first_new])
+    return got
+
+
+def test_similar_texts_without_long_matches(spark):
+    """Texts of few characters, with short matches only, and with clauses in reverse order, are found at 0.60 or more."""
+    r = random.Random(12)
+    clauses = ["".join(chr(0x4E00 + r.randrange(5000)) for _ in range(10)) for _ in range(12)]
+    pairs = [("计算12加34的值", "计算12加34的值是"), ("求函数f(x)=2x+3的最小值和最大值", "求函数f(x)=5x+3的最小值和最大值"), ("，".join(clauses), "，".join(clauses[::-1])), ("abc", "abcd"), ("abcd", "abcde"), ("甲乙丙", "甲乙丙甲乙丙")]
+    rows = [(i, None, a) for i, (a, _) in enumerate(pairs)] + [(100 + i, None, b) for i, (_, b) in enumerate(pairs)]
+    assert {(0, 100), (1, 101), (2, 102)} <= brute_rows(spark, rows, 100)
+
+
+def test_all_short_texts(spark):
+    """Many texts of few letters, of any similarity, against brute force."""
+    r = random.Random(13)
+    rows = [(i, None, "".join(r.choice("abc") for _ in range(r.randint(3, 14)))) for i in range(300)]
+    assert brute_rows(spark, rows, 150)
