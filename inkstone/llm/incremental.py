@@ -21,9 +21,11 @@ DEPTH = 3
 #: order of runs in a text, and with it only the length of the lists: any order finds all pairs.
 COMMON, COUNTED = 1 << 17, 4
 #: 64-bit words of a text's bitmap, and pairs that are tested at a time.
-WORDS, CHUNK = 2, 1 << 21
+WORDS, CHUNK = 4, 1 << 21
 BITS = [f"b{i}" for i in range(WORDS)]
 ENTRY = "key bigint, node bigint, size int, room int, " + ", ".join(f"{b} bigint" for b in BITS) + ", fresh boolean"
+#: Entries of a key that are tested in one group; longer lists are divided.
+LIST = 20_000
 #: Nodes of a key that _Run pairs an entry with: the first ones, and those before the entry. rejected doesn't use it.
 LEADERS, NEIGHBOURS = 24, 24
 #: Levels of segments: two of a level are merged into one of the next.
@@ -157,33 +159,55 @@ def _candidates(group: np.ndarray, node: np.ndarray, size: np.ndarray, room: np.
     return np.concatenate([none, *a]), np.concatenate([none, *b])
 
 
-def matched(entries: DataFrame, similarity: float) -> DataFrame:
+def long_lists(nodes: DataFrame, common: pd.DataFrame, similarity: float) -> DataFrame:
+    """(key, parts): the keys with more than LIST entries, counted over a part of the nodes, and parts of about LIST."""
+    some = nodes.where(F.expr(f"pmod(xxhash64(node), {COUNTED}) = 0"))
+    return list_parts(suffix_array(some, common, similarity), COUNTED)
+
+
+def list_parts(entries: DataFrame, share: int = 1) -> DataFrame:
+    n = entries.groupBy("key").agg((F.count("*") * share).alias("n")).where(F.col("n") > LIST)
+    return n.select("key", F.ceil(F.col("n") / LIST).cast("int").alias("parts"))
+
+
+def matched(entries: DataFrame, parts: DataFrame, similarity: float) -> DataFrame:
     """(a, b): pairs of nodes, a < b, at least one of them fresh, among them all that have the similarity.
 
-    One exchange brings the entries of a key together, where each fresh one is tested with all others.
+    One exchange brings the entries of a key together, where each fresh one is tested with all others. Long lists (parts,
+    of long_lists) are divided by node, and each part's fresh entries meet each part in a group of their own, so a task
+    holds two parts at most and a list of any length is tested by as many tasks as it has pairs of parts.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
-            fresh, column = pdf["fresh"].to_numpy(bool), lambda c: pdf[c].to_numpy(np.int64)
-            a, b = _candidates(column("key"), column("node"), column("size"), column("room"), [column(w) for w in BITS], fresh, np.ones(len(fresh), bool), fresh, similarity)
+            flag, column = lambda c: pdf[c].to_numpy(bool), lambda c: pdf[c].to_numpy(np.int64)
+            group = np.cumsum(np.r_[True, (np.diff(column("key")) != 0) | (np.diff(column("part")) != 0)][: len(pdf)])
+            a, b = _candidates(group, column("node"), column("size"), column("room"), [column(w) for w in BITS], flag("left"), flag("right"), flag("fresh"), similarity)
             return pd.DataFrame({"a": a, "b": b}).drop_duplicates()
 
         held: list[pd.DataFrame] = []
         for pdf in batches:
             if not len(pdf):
                 continue
-            key = pdf["key"].to_numpy()
-            cut = int(np.searchsorted(key, key[-1]))  # the last key may go on
-            if cut or held and held[-1]["key"].iat[-1] != key[0]:
+            key, part = pdf["key"].to_numpy(), pdf["part"].to_numpy()
+            cut = int(np.flatnonzero((key != key[-1]) | (part != part[-1])).max(initial=-1)) + 1  # the last group may go on
+            if cut or held and (held[-1]["key"].iat[-1] != key[0] or held[-1]["part"].iat[-1] != part[0]):
                 yield pairs(pd.concat([*held, pdf[:cut]]))
                 held = []
             held.append(pdf[cut:])
         if held:
             yield pairs(pd.concat(held))
 
+    own = F.expr("cast(pmod(xxhash64(node), parts) as int)")
+    sides = F.expr(
+        "case when parts is null then array(named_struct('part', 0L, 'left', fresh, 'right', true)) else concat("
+        "transform(sequence(0, parts - 1), p -> named_struct('part', cast(p as bigint) * parts + own, 'left', fresh and p = own, 'right', true)), "
+        "case when fresh then transform(filter(sequence(0, parts - 1), p -> p != own), p -> named_struct('part', cast(own as bigint) * parts + p, 'left', true, 'right', false)) "
+        "else array() end) end"
+    )
+    placed = entries.join(F.broadcast(parts), "key", "left").withColumn("own", own).select(*entries.columns, F.inline(sides))
     partitions = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = entries.repartition(partitions, "key").sortWithinPartitions("key")
+    ordered = placed.repartition(partitions, "key", "part").sortWithinPartitions("key", "part")
     return ordered.mapInPandas(run, "a bigint, b bigint").distinct()
 
 
@@ -193,7 +217,7 @@ def class_nodes(rows: DataFrame, fresh: str) -> DataFrame:
     return one.select("node", "cls", "norm", "fresh")
 
 
-def linked_classes(nodes: DataFrame, entries: DataFrame, similarity: float = 0.6) -> DataFrame:
+def linked_classes(nodes: DataFrame, entries: DataFrame, parts: DataFrame, similarity: float = 0.6) -> DataFrame:
     """(cls, other): pairs of classes, both ways, with at least the similarity, at least one of them with a fresh record."""
 
     @F.pandas_udf("double")
@@ -203,7 +227,7 @@ def linked_classes(nodes: DataFrame, entries: DataFrame, similarity: float = 0.6
         return pd.Series([jaccard(grams(p), grams(q)) for p, q in zip(x, y, strict=True)], dtype="float64")
 
     side = lambda name: nodes.select(F.col("node").alias(name), F.col("cls").alias(f"cls_{name}"), F.col("norm").alias(f"norm_{name}"))
-    found = matched(entries, similarity).join(side("a"), "a").join(side("b"), "b").where(similarity_of("norm_a", "norm_b") >= similarity)
+    found = matched(entries, parts, similarity).join(side("a"), "a").join(side("b"), "b").where(similarity_of("norm_a", "norm_b") >= similarity)
     links = written(found.select(F.col("cls_a").alias("x"), F.col("cls_b").alias("y")), "links")
     return links.select(F.col("x").alias("cls"), F.col("y").alias("other")).unionByName(links.select(F.col("y").alias("cls"), F.col("x").alias("other")))
 
@@ -277,7 +301,8 @@ def rejected(
     flags = rows.select(F.col("seq").alias("id"), "idk", "fresh")
     full = written(flags.join(normal, "id", "left").select("id", "idk", "fresh", "cls", "norm"), "records")
     nodes = written(class_nodes(full.where("cls is not null"), "fresh"), "nodes")
-    links = linked_classes(nodes, suffix_array(nodes, common_runs(nodes), similarity), similarity)
+    common = common_runs(nodes)
+    links = linked_classes(nodes, suffix_array(nodes, common, similarity), long_lists(nodes, common, similarity), similarity)
     return resolve(full.select(F.col("id").alias("seq"), "idk", "cls", "fresh"), links)
 
 
@@ -355,7 +380,7 @@ class SegmentStore:
             old = self._read("array", segments).join(own.select("key").distinct(), "key", "left_semi")
             entries = own.unionByName(old.select(own.columns))
             nodes = nodes.unionByName(self._read("nodes", segments).select(nodes.columns))
-        links = linked_classes(nodes, entries, self.similarity)
+        links = linked_classes(nodes, entries, list_parts(entries), self.similarity)
         if segments:
             old = self._read("records", segments).select("seq", "idk", "cls", F.lit(False).alias("fresh"))
             classes = records.select("cls").unionByName(links.select("cls")).where("cls is not null").distinct()

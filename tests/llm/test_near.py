@@ -154,3 +154,18 @@ def test_all_short_texts(spark):
     r = random.Random(13)
     rows = [(i, None, "".join(r.choice("abc") for _ in range(r.randint(3, 14)))) for i in range(300)]
     assert brute_rows(spark, rows, 150)
+
+
+def test_middle_of_long_lists(spark, monkeypatch):
+    """In a family of texts that share a stem, a fresh record is like one from the middle only; lists are whole or divided."""
+    r = random.Random(14)
+    stem = text(r, 30)
+    rows = [(i, None, stem + text(r, 30)) for i in range(160)]
+    rows += [(200 + i, None, edited(r, rows[i][2], 2)) for i in range(40, 120, 8)]
+    want = {(i, 200 + i) for i in range(40, 120, 8)}
+    assert want == rejected(rows[:160], rows[160:])
+    df = spark.createDataFrame(rows, "seq bigint, id string, content string")
+    for most in (incremental.LIST, 16):
+        monkeypatch.setattr(incremental, "LIST", most)
+        got = {tuple(x) for x in incremental.rejected(df.where("seq < 200"), df.where("seq >= 200")).collect()}
+        assert got == want
