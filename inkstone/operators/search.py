@@ -14,6 +14,8 @@ from inkstone.session import spread, written
 
 #: Query vectors in a block: 4,096 of 384 doubles are 12 MB.
 BLOCK_QUERIES = 4096
+#: Stored vectors that a block is scored against at a time.
+BLOCK_STORE = 1024
 
 
 def _score(metric: str, vector: Column, query: Column) -> Column:
@@ -67,9 +69,7 @@ def knn_join(
             own, at = sent.value
             own2, norms = (at * at).sum(1), np.sqrt((at * at).sum(1)) + 1e-8
             best_n, best_s = np.full((len(own), 0), 0, np.int64), np.full((len(own), 0), 0.0)
-            for pdf in batches:
-                if not len(pdf):
-                    continue
+            for pdf in (whole[at_ : at_ + BLOCK_STORE] for whole in batches for at_ in range(0, len(whole), BLOCK_STORE)):
                 n, v = pdf["n"].to_numpy(np.int64), np.stack(pdf["v"].to_numpy())
                 if metric == "cosine":
                     s = (at @ v.T) / (norms[:, None] * (np.sqrt((v * v).sum(1)) + 1e-8))

@@ -120,11 +120,13 @@ def dedupe_rejects(s: SparkSession, d: str) -> DataFrame:
     return rows.join(table(s, d, "incoming_records").select("seq", F.substring("content", 1, dedupe.PREVIEW).alias("content_preview")), "seq").select("seq", "id", "reason", "content_preview")
 
 
+def _worded(df: DataFrame) -> DataFrame:
+    return df.select("seq", "id", "content").where("content is not null").withColumn("embedding", vector.hash_embedding(F.regexp_replace("content", "(.{2})", "$1 "), 64))
+
+
 def similarity_dedupe(s: SparkSession, d: str) -> DataFrame:
-    """Incoming records, every twentieth by seq, against all of the store, by hashed words and by text."""
-    words = lambda df: df.where("content is not null").withColumn("embedding", vector.hash_embedding(F.regexp_replace("content", "(.{2})", "$1 "), 64))
-    batch = words(table(s, d, "incoming_records").where(F.col("seq") % QUERY_SHARE == 0).select("seq", "id", "content"))
-    out = dedupe.similar_to_stored(batch, words(questions(s, d).select("seq", "id", "content")))
+    """All incoming records against all of the store, by hashed words and by text."""
+    out = dedupe.similar_to_stored(_worded(table(s, d, "incoming_records")), _worded(questions(s, d)))
     return out.select("seq", "id", "match_id", F.round("embedding_similarity", 5).alias("embedding_similarity"), F.round("text_similarity", 5).alias("text_similarity"))
 
 
