@@ -11,7 +11,7 @@ from inkstone.functions import coerce, meta, text, vector
 from inkstone.functions.providers import enriched, needs_enrichment, typed_records
 from inkstone.operators import analytics, dedupe, filters, render, search, segment
 from inkstone.plans import extraction, oracle
-from inkstone.session import spread, table
+from inkstone.session import spread, table, written
 from inkstone.sources import exchange, logs, store
 from inkstone.sources.documents import flattened
 
@@ -111,19 +111,27 @@ def insert_dedupe(s: SparkSession, d: str) -> DataFrame:
     return dedupe.insertable(table(s, d, "incoming_records"), questions(s, d)).select("seq", "id")
 
 
+def _worded(df: DataFrame) -> DataFrame:
+    return df.select("seq", "id", "content").where("content is not null").withColumn("embedding", vector.hash_embedding(F.regexp_replace("content", "(.{2})", "$1 "), 64))
+
+
+def _staged(s: SparkSession, d: str) -> DataFrame:
+    """The three stages over incoming records; the third takes all that the first two leave."""
+    batch, stored = table(s, d, "incoming_records"), questions(s, d)
+    left = dedupe.staged(batch, stored).where("reason is null").select("seq")
+    similar = dedupe.similar_to_stored(_worded(batch.join(left, "seq", "left_semi")), _worded(stored))
+    return dedupe.staged(batch, stored, similar=written(similar.select("seq"), "similar"))
+
+
 def dedupe_report(s: SparkSession, d: str) -> DataFrame:
-    return dedupe.report(dedupe.staged(table(s, d, "incoming_records"), questions(s, d)))
+    return dedupe.report(_staged(s, d))
 
 
 def dedupe_rejects(s: SparkSession, d: str) -> DataFrame:
-    rows = dedupe.staged(table(s, d, "incoming_records"), questions(s, d)).where("reason is not null")
+    rows = _staged(s, d).where("reason is not null")
     return rows.join(table(s, d, "incoming_records").select("seq", F.substring("content", 1, dedupe.PREVIEW).alias("content_preview")), "seq").select("seq", "id", "reason", "content_preview")
 
 
-def _worded(df: DataFrame) -> DataFrame:
-    return df.select("seq", "id", "content").where("content is not null").withColumn("embedding", vector.hash_embedding(F.regexp_replace("content", "(.{2})", "$1 "), 64))
-
-
 def similarity_dedupe(s: SparkSession, d: str) -> DataFrame:
     """All incoming records against all of the store, by hashed words and by text."""
     out = dedupe.similar_to_stored(_worded(table(s, d, "incoming_records")), _worded(questions(s, d)))

@@ -7,3 +7,10 @@ def test_similarity_of_all_incoming(spark, sf):
     """Incoming records that aren't divisible by 20 are checked as well, and the stages agree with the query."""
     near = {r.seq for r in catalogue.similarity_dedupe(spark, sf).collect()}
     assert any(q % 20 for q in near)
+    rejects = {r.seq: r.reason for r in catalogue.dedupe_rejects(spark, sf).collect()}
+    third = {q for q, r in rejects.items() if r == "similarity"}
+    first = {q for q in rejects if q not in third}
+    assert third and third == near - first
+    report = catalogue.dedupe_report(spark, sf).first()
+    n = spark.read.parquet(f"{sf}/incoming_records.parquet").count()
+    assert (report.extracted_total, report.similarity, report.after_similarity) == (n, len(third), n - len(rejects))
