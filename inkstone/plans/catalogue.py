@@ -248,7 +248,9 @@ def scanned_detector(s: SparkSession, d: str) -> DataFrame:
 
 
 def pages_flattened(s: SparkSession, d: str) -> DataFrame:
-    page = table(s, d, "scanned_records").groupBy("doc_hash", "page_no").agg(F.min_by("content", "rec_id").alias("content"))
+    """All records of a page, in order of rec_id, make its text."""
+    record = F.struct("rec_id", F.coalesce("content", F.lit("")).alias("c"))
+    page = table(s, d, "scanned_records").groupBy("doc_hash", "page_no").agg(F.array_join(F.array_sort(F.collect_list(record))["c"], "\n").alias("content"))
     return flattened(page).select("doc_hash", F.length("text").alias("n"), F.md5("text").alias("text_md5"))
 
 
