@@ -6,8 +6,11 @@ import atexit
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -44,27 +47,83 @@ _own: str | None = None
 _made: list[tuple[SparkSession, str]] = []
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, which is removed by drop_written."""
+    path = f"{shared_dir(spark)}/inkstone-{name}-{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    return path
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it again: cuts the lineage, survives the loss of executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/inkstone-{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    _made.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # the session may be over already
+        pass
+
+
+def drop(*tables: DataFrame) -> None:
+    """Remove tables that written has made and nothing will read again."""
+    for df in tables:
+        for at in [x for x in _made if x[1] == getattr(df, "_written", None)]:
+            _remove(*at)
+            _made.remove(at)
 
 
 @atexit.register
 def drop_written() -> None:
-    """Remove the intermediate tables that this process has written."""
-    for spark, path in _made:
-        try:
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-        except Exception:  # the session may be over already
-            pass
+    """Remove all intermediate tables of this process; also what finished is for."""
+    for at in _made:
+        _remove(*at)
     _made.clear()
 
 
+@contextmanager
+def finished() -> Iterator[None]:
+    """Around a query whose rows are consumed inside: removes the intermediate tables made since it was entered."""
+    before = set(_made)
+    try:
+        yield
+    finally:
+        for at in [x for x in _made if x not in before]:
+            _remove(*at)
+            _made.remove(at)
+
+
+def create_file(spark: SparkSession, path: str, text: str) -> bool:
+    """Write a small file that must not exist yet. False if another writer has made it: the file system decides, not a rename."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    try:
+        out = fs.create(at, False)
+    except Py4JJavaError:
+        if fs.exists(at):
+            return False
+        raise
+    out.write(bytearray(text.encode()))
+    out.close()
+    return True
+
+
+def read_file(spark: SparkSession, path: str) -> str:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = at.getFileSystem(spark._jsc.hadoopConfiguration()).open(at)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Split an input of few files over all cores before costly work by row; larger inputs stay as they are read."""
     cores = df.sparkSession.sparkContext.defaultParallelism

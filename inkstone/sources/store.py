@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from inkstone.functions.coerce import DIFFICULTY
 from inkstone.operators.analytics import checked, delete_preview, remaining
 from inkstone.operators.dedupe import insertable
+from inkstone.session import create_file, read_file
 
 META = "struct<region:string,year:int,grade:string,exam_name:string,source_type:string>"
 SCHEMA = (
@@ -62,24 +63,24 @@ class Store:
         return sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(self.folder)) if s.getPath().getName().startswith("version-"))
 
     def parts(self, version: str | None = None) -> list[str]:
-        names = self.versions()
-        if not names:
-            return []
-        return json.loads(self.spark.read.text(f"{self.folder}/{version or names[-1]}").first()[0])
+        name = version or self._latest()
+        return json.loads(read_file(self.spark, f"{self.folder}/{name}")) if name else []
 
     def read(self, version: str | None = None) -> DataFrame:
         parts = self.parts(version)
         return self.spark.read.schema(SCHEMA).parquet(*[f"{self.folder}/{p}" for p in parts]) if parts else self.spark.createDataFrame([], SCHEMA)
 
-    def _publish(self, parts: list[str]) -> str:
-        names = self.versions()
-        name = f"version-{int(names[-1][8:]) + 1 if names else 1:08d}"
-        temporary = f"{self.folder}/.new-{uuid.uuid4().hex}"
-        self.spark.createDataFrame([(json.dumps(parts),)], "value string").coalesce(1).write.text(temporary)
-        if not self._fs.rename(self._path(temporary), self._path(f"{self.folder}/{name}")):
+    def _publish(self, parts: list[str], base: str | None) -> str:
+        """A new version after base, the one that was read for it. Of several writers after the same one, one succeeds."""
+        name = f"version-{int(base[8:]) + 1 if base else 1:08d}"
+        if not create_file(self.spark, f"{self.folder}/{name}", json.dumps(parts)):
             raise RuntimeError(f"{name} was made by another writer")
         return name
 
+    def _latest(self) -> str | None:
+        """The newest version that is written out; a writer may have only just made a newer one."""
+        return next((v for v in reversed(self.versions()) if read_file(self.spark, f"{self.folder}/{v}")), None)
+
     def _write(self, rows: DataFrame) -> str:
         part = f"part-{uuid.uuid4().hex}"
         rows.write.parquet(f"{self.folder}/{part}")
@@ -87,7 +88,8 @@ class Store:
 
     def append(self, rows: DataFrame) -> dict[str, int]:
         """Add the rows whose id is new (the first of each), in the store's columns. Vectors must have the store's dimension."""
-        old, batch = self.read(), rows
+        base, batch = self._latest(), rows
+        old = self.read(base)
         part = self._write(stored_form(insertable(batch, old)))
         added = self.spark.read.schema(SCHEMA).parquet(f"{self.folder}/{part}")
         want = self.dimension or (old.where("embedding is not null").select(F.size("embedding")).first() or [None])[0]
@@ -96,18 +98,20 @@ class Store:
             self._fs.delete(self._path(f"{self.folder}/{part}"), True)
             raise ValueError(f"vectors of {sizes} dimensions, the store has {want}")
         n, total = added.count(), rows.count()
-        self._publish([*self.parts(), part])
+        self._publish([*self.parts(base), part], base)
         return {"total_input": total, "added": n, "skipped_existing": total - n}
 
     def delete(self, filters: dict, dry_run: bool = True, sample: int = 20) -> dict:
         """Delete what matches; with dry_run only tell what would be. An empty filter is an error."""
-        row = delete_preview(self.read(), checked(filters), sample).first().asDict()
+        base = self._latest()
+        row = delete_preview(self.read(base), checked(filters), sample).first().asDict()
         if not dry_run:
-            self._publish([self._write(remaining(self.read(), filters))])
+            self._publish([self._write(remaining(self.read(base), filters))], base)
         return row | {"dry_run": dry_run}
 
     def reset(self, dry_run: bool = False) -> dict:
-        n = self.read().count()
+        base = self._latest()
+        n = self.read(base).count()
         if not dry_run:
-            self._publish([])
+            self._publish([], base)
         return {"deleted": n, "dry_run": dry_run}

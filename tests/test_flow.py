@@ -27,6 +27,11 @@ def test_store_versions(spark, tmp_path):
     assert {r.id for r in st.read().collect()} == {"k1", "k2"} and st.read(st.versions()[0]).count() == 3
     with pytest.raises(ValueError):
         st.delete({})
+    base = st._latest()
+    assert st._publish([], base) and st.read().count() == 0
+    with pytest.raises(RuntimeError):  # a second writer after the same version
+        st._publish([], base)
+    st._publish(st.parts(base), st._latest())
     assert st.reset()["deleted"] == 2 and st.read().count() == 0
 
 
