@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkstone.session import written
+from inkstone.session import drop, written
 
 
 def _least(pairs: DataFrame) -> DataFrame:
@@ -29,7 +29,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         large = _least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         small = _least(large)
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
-        e = written(small.where("u != v").distinct(), "edges")
+        last, e = e, written(small.where("u != v").distinct(), "edges")
+        drop(last)
         row = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(row) == mark:
             return e.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(

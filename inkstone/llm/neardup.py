@@ -1,109 +1,13 @@
-"""Problem 3: near-duplicate records, by an inverted index of signature bytes by position."""
+"""Problem 3: near-duplicate records, by an inverted index of runs and signatures by position."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkstone.llm.components import components
-from inkstone.llm.text import gram_ids, gram_set, jaccard, letters_digits, mix64
-from inkstone.session import spread, written
-
-#: Signature: POSITIONS bytes. Index key: ROW of them, at places fixed by the block, with the block's number.
-POSITIONS, ROW, BLOCKS = 252, 6, 126
-#: Bytes compared by the count filter.
-TALLY = 64
-
-
-def _plan() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    r = np.random.default_rng(20240229)
-    salt, odd = r.integers(0, 2**63, POSITIONS, dtype=np.uint64), r.integers(0, 2**63, POSITIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    places = np.concatenate([r.permutation(POSITIONS) for _ in range(-(-BLOCKS * ROW // POSITIONS))])
-    return salt, odd, places[: BLOCKS * ROW].reshape(BLOCKS, ROW)
-
-
-def signature(grams: np.ndarray, salt: np.ndarray, odd: np.ndarray) -> np.ndarray:
-    """One byte a position: of the least of the set's elements in the position's own order. Two sets have the same byte
-    with a chance of their similarity, and 1 in 256 of the rest."""
-    with np.errstate(over="ignore"):
-        g, least = mix64(grams), None
-        for at in range(0, len(g), 4096):
-            part = ((g[at : at + 4096, None] ^ salt) * odd).min(0)
-            least = part if least is None else np.minimum(least, part)
-    return (mix64(least) & np.uint64(0xFF)).astype(np.uint8)
-
-
-def block_keys(sig: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """The block's number and its bytes, as one whole number each."""
-    key = np.arange(len(places), dtype=np.int64)
-    for column in places.T:
-        key = (key << 8) | sig[column].astype(np.int64)
-    return key
-
-
-def least_matches(similarity: float, n: int = TALLY, sigmas: float = 4.5) -> int:
-    """Equal bytes of n that a pair of this similarity reaches, up to a chance of about 3 in a million."""
-    return max(1, int(n * similarity - sigmas * (n * similarity * (1 - similarity)) ** 0.5))
-
-
-def normal_rows(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, cls, norm): a row per record with at least three letters or digits. Records with the same normal form have the
-    same cls, 128 bits of it in hexadecimal."""
-    base = rows.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import xxhash
-
-        for pdf in batches:
-            norm = [letters_digits(t) for t in pdf["text"]]
-            out = pd.DataFrame({"id": pdf["id"], "cls": [xxhash.xxh3_128_hexdigest(x.encode("utf-8", "surrogatepass")) for x in norm], "norm": norm})
-            yield out[out["norm"].str.len() >= 3]
-
-    return spread(base.where("id is not null and text is not null")).mapInPandas(run, "id bigint, cls string, norm string")
-
-
-def similar_pairs(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """Of pairs (a, b) of nodes, those whose sets of three-character runs reach the similarity, verified exactly.
-
-    First the count filter: equal bytes at equal positions of the signatures (nodes.sig) are tallied. What remains is
-    verified over the normal forms (nodes.norm).
-    """
-    need = least_matches(similarity)
-
-    @F.pandas_udf("int")
-    def equal_bytes(x: pd.Series, y: pd.Series) -> pd.Series:
-        if not len(x):
-            return pd.Series([], dtype="int32")
-        x, y = (np.frombuffer(b"".join(s), np.uint8).reshape(len(s), -1) for s in (x, y))
-        return pd.Series((x == y).sum(1, dtype=np.int32))
-
-    @F.pandas_udf("double")
-    def similarity_of(x: pd.Series, y: pd.Series) -> pd.Series:
-        known: dict[str, frozenset] = {}
-        grams = lambda t: known.get(t) or known.setdefault(t, gram_set(t))
-        return pd.Series([jaccard(grams(p), grams(q)) for p, q in zip(x, y, strict=True)], dtype="float64")
-
-    side = lambda name, what: nodes.select(F.col("node").alias(name), F.col(what).alias(f"{what}_{name}"))
-    kept = pairs.join(side("a", "sig"), "a").join(side("b", "sig"), "b").where(equal_bytes("sig_a", "sig_b") >= need).select("a", "b")
-    kept = kept.join(side("a", "norm"), "a").join(side("b", "norm"), "b")
-    return kept.withColumn("similarity", similarity_of("norm_a", "norm_b")).where(F.col("similarity") >= similarity).select("a", "b", "similarity")
-
-
-def signed_nodes(rows: DataFrame) -> DataFrame:
-    """(node, cls, norm, sig, keys) of normal_rows: a node for each class of equal normal forms, its least id."""
-    one = rows.groupBy("cls").agg(F.min("id").alias("node"), F.first("norm").alias("norm"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        salt, odd, places = _plan()
-        for pdf in batches:
-            sig = [signature(gram_ids(x), salt, odd) for x in pdf["norm"]]
-            yield pdf.assign(sig=[s[:TALLY].tobytes() for s in sig], keys=[block_keys(s, places) for s in sig])
-
-    return one.select("node", "cls", "norm").mapInPandas(run, "node bigint, cls string, norm string, sig binary, keys array<bigint>")
+from inkstone.llm.index import candidates, class_nodes, common_runs, counted_lists, entries, first_of_lists, list_parts, normal_rows, sketches, verified
+from inkstone.session import drop, written
 
 
 def near_groups(rows: DataFrame, id_col: str = "seq", text_col: str = "content", similarity: float = 0.6) -> DataFrame:
@@ -112,36 +16,32 @@ def near_groups(rows: DataFrame, id_col: str = "seq", text_col: str = "content",
     Records belong together if a chain links them in which neighbours have at least the similarity: intersection over
     union of the sets of three-character runs of the normal form (NFKC, lower case, letters and digits).
 
-    Equal normal forms become one node. Each node has a signature of bytes; an inverted index has, by block of byte
-    positions and the bytes there, the nodes. A list of the index links its nodes to its least one only, so a list that
-    holds a third of all nodes gives a link a node and no pairs. After these links are verified and joined to groups,
-    the lists that still hold nodes of different groups give the links between those, which are verified as well.
-    Candidates are missed by chance only: a pair of similarity 0.64 shares no block in about 2 cases of 10,000.
+    Equal normal forms become one node. A node's bytes by position are its signature (a run's hash is its position), and
+    an inverted index has the nodes by run, of each as many runs as a pair of the similarity cannot do without. Of the
+    nodes of a list those pairs are kept whose signatures are equal at the least number of positions that a pair of these
+    sizes is bound to reach; they are verified over the normal forms. Both bounds hold always, so no pair is missed.
+
+    Lists that hold a third of all nodes cost no pairs within a group: first, nodes are linked to the least node of each
+    list of a few sketch runs, and what is verified of these links makes groups; then the index compares nodes of
+    different groups only, in lists that hold some.
 
     NULL ids, NULL and blank contents and those of under three letters or digits take no part. Repeated ids are one record.
     """
     out = f"group_{id_col}"
-    normal = normal_rows(rows, id_col, text_col)
-    full = written(signed_nodes(normal), "nodes")
-    nodes = full.select("node", "norm", "sig")
-    by = Window.partitionBy("key").orderBy("node")
-    lists = full.select("node", F.explode("keys").alias("key")).withColumn("hub", F.first("node").over(by))
-    lists = written(lists.where("node != hub").select("key", "node", "hub"), "lists")
-
-    links = similar_pairs(lists.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), nodes, similarity)
-    links = written(links.select("a", "b"), "links")
-    groups = components(links)
-
-    comp = groups.select("node", "comp")
-    held = lists.select("key", "node").unionByName(lists.select("key", F.col("hub").alias("node")).distinct())
-    held = held.join(comp, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
-    mixed = held.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo != hi and n > 2").select("key")
-    held = written(held.join(mixed, "key"), "mixed")
-    other = held.select("key", F.col("node").alias("b"), F.col("comp").alias("comp_b"))
-    rest = held.withColumnRenamed("node", "a").join(other, "key").where("comp < comp_b").select("a", "b").distinct()
-    more = written(similar_pairs(rest, nodes, similarity).select("a", "b"), "links")
+    normal = written(normal_rows(rows, id_col, text_col), "normal")
+    nodes = written(class_nodes(normal), "nodes")
+    sketch = written(sketches(nodes), "sketch")
+    first = written(verified(first_of_lists(sketch, sketch, similarity), nodes, nodes, similarity), "links")
+    groups = components(first)
+
+    tagged = nodes.join(groups, "node", "left").select("node", "norm", F.coalesce("comp", "node").alias("tag"))
+    common = common_runs(nodes)
+    index = written(entries(tagged, common, similarity, ("tag",)), "index")
+    parts = written(list_parts(counted_lists(index, common, "tag")), "parts")
+    more = written(verified(candidates(index, parts, similarity, tag="tag"), nodes, nodes, similarity), "links")
+    drop(sketch, index, parts)
     if not more.isEmpty():
-        groups = components(links.unionByName(more))
+        groups = components(more.unionByName(groups.select(F.col("comp").alias("a"), F.col("node").alias("b"))))
 
-    member = normal.select(F.col("id"), "cls").join(full.select("cls", "node"), "cls").join(groups, "node", "left")
+    member = normal.select("id", "cls").join(nodes.select("cls", "node"), "cls").join(groups, "node", "left")
     return member.select(F.coalesce("comp", "node").alias(out), F.col("id").alias(id_col)).where(F.col(out) != F.col(id_col)).distinct()
