@@ -11,225 +11,40 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkstone.llm.neardup import normal_rows
-from inkstone.llm.text import gram_ids, gram_set, jaccard, mix64
-from inkstone.session import written
-
-#: Characters of a suffix that the arrays are sorted by: those of the runs that the similarity counts.
-DEPTH = 3
-#: The most frequent runs, as many as are sent to the tasks, and one of how many texts they are counted over. They decide the
-#: order of runs in a text, and with it only the length of the lists: any order finds all pairs.
-COMMON, COUNTED = 1 << 17, 4
-#: 64-bit words of a text's bitmap, and pairs that are tested at a time.
-WORDS, CHUNK = 4, 1 << 21
-BITS = [f"b{i}" for i in range(WORDS)]
-ENTRY = "key bigint, node bigint, size int, room int, " + ", ".join(f"{b} bigint" for b in BITS) + ", fresh boolean"
-#: Entries of a key that are tested in one group; longer lists are divided.
-LIST = 20_000
-#: Nodes of a key that _Run pairs an entry with: the first ones, and those before the entry. rejected doesn't use it.
-LEADERS, NEIGHBOURS = 24, 24
-#: Levels of segments: two of a level are merged into one of the next.
+from inkstone.llm.index import BITS, DEPTH, ENTRY, candidates, class_nodes, common_runs, entries, first_of_lists, list_parts, sketches, verified
+from inkstone.llm.text import letters_digits
+from inkstone.session import create_file, drop, read_file, scratch, spread, written
+
+#: A segment is merged into the one before it unless that has more than RATIO times its rows.
 RATIO = 2
+#: Ranges of keys that a segment's tables are divided into; a batch reads those it has keys in.
+RANGES = 32
+#: Batches of a backlog are taken together until they have this share of the rows that are stored.
+SHARE = 0.25
+NEVER = 2**63 - 1
 
 ID = "lower(regexp_replace(cast({} as string), '(?U)^\\\\s+|\\\\s+$', ''))"
+#: A segment's tables.
+TABLES = {
+    "ids": "idk string, seq bigint", "nodes": "node bigint, cls string, norm string", "array": ENTRY,
+    "sketch": ENTRY.replace("room int, ", ""),
+}
+_PART = "cast(pmod(xxhash64({}), {}) as int)"
 
 
-def common_runs(nodes: DataFrame) -> pd.DataFrame:
-    """(key, n): the most frequent runs of nodes (node, norm), counted over a part of the texts, by key."""
+def keyed(rows: DataFrame, seq_col: str, id_col: str, text_col: str) -> DataFrame:
+    """(id, idk, cls, norm): the seq of each row, its id for comparison, and its normal form, NULL if too short to match."""
+    base = rows.select(F.col(seq_col).cast("bigint").alias("id"), F.expr(ID.format(f"`{id_col}`")).alias("idk"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                key, n = np.unique(np.concatenate([gram_ids(x, DEPTH) for x in pdf["norm"]]), return_counts=True)
-                yield pd.DataFrame({"key": key.view(np.int64), "n": n.astype(np.int64)})
-
-    counted = nodes.where(F.expr(f"pmod(xxhash64(node), {COUNTED}) = 0")).select("norm").mapInPandas(run, "key bigint, n bigint")
-    top = counted.groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(COMMON)
-    return top.toPandas().sort_values("key")
-
-
-def suffix_array(nodes: DataFrame, common: pd.DataFrame, similarity: float) -> DataFrame:
-    """ENTRY rows: the suffixes of nodes (node, norm, fresh) that a pair of the similarity must meet in, by their first
-    DEPTH characters, each once. Sorting by key makes it the suffix array of the nodes' texts to the depth compared.
-
-    The runs of a text have an order that is the same for all texts, rare ones first. Texts with size runs of which a pair
-    must share n have their first shared one among the first size - n + 1 of each, and n is similarity * size at least,
-    so the others need no entry. room is the greatest size of a partner that this can be the first shared run with: n is
-    similarity / (1 + similarity) of both sizes, and no more than what is left of the text. The bitmap has the parity of
-    the runs by their hash.
-    """
-    known = nodes.sparkSession.sparkContext.broadcast((common["key"].to_numpy(np.int64), common["n"].to_numpy(np.int64)))
+        import xxhash
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        runs, often = known.value
         for pdf in batches:
-            if not len(pdf):
-                continue
-            grams = [gram_ids(x, DEPTH) for x in pdf["norm"]]
-            size = np.array([len(g) for g in grams], np.int64)
-            key, row = np.concatenate(grams), np.repeat(np.arange(len(size)), size)
-            mixed = mix64(key)
-            bits = np.bincount(row * 64 * WORDS + (mixed % np.uint64(64 * WORDS)).astype(np.int64), minlength=len(size) * 64 * WORDS) & 1
-            bits = np.packbits(bits.astype(np.uint8).reshape(len(size), -1), 1).view(np.int64)
-            key, n = key.view(np.int64), np.zeros(len(key), np.int64)
-            if len(runs):
-                at = np.minimum(np.searchsorted(runs, key), len(runs) - 1)
-                n = np.where(runs[at] == key, often[at], 0)
-            order = np.lexsort((mixed, n, row))
-            left = np.repeat(np.cumsum(size), size) - np.arange(len(key))  # runs of the text from this one on
-            use = left >= np.ceil(similarity * size - 1e-9)[row]
-            key, row, left = key[order][use], row[use], left[use]
-            room = np.floor(left * (1 + similarity) / similarity - size[row] + 1e-6)
-            out = {"key": key, "node": pdf["node"].to_numpy(np.int64)[row], "size": size[row].astype(np.int32), "room": room.astype(np.int32)}
-            out |= {b: bits[row, i] for i, b in enumerate(BITS)}
-            yield pd.DataFrame(out | {"fresh": pdf["fresh"].to_numpy(bool)[row]})
-
-    return nodes.select("node", "norm", "fresh").mapInPandas(run, ENTRY)
-
-
-class _Run:
-    """Entries of a sorted array as they stream by: of the current key its first LEADERS and its last NEIGHBOURS after them."""
-
-    def __init__(self) -> None:
-        self.key, self.node, self.place = (np.empty(0, np.int64) for _ in range(3))
-        self.mark = np.empty(0, np.int64)
-
-    def pairs(self, key: np.ndarray, node: np.ndarray, mark: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Pairs of nodes of equal key, one of them fresh, and what the suffix counts for the shorter: each entry with the
-        LEADERS of its key and the NEIGHBOURS before it."""
-        old, new = len(self.key), len(key)
-        at = np.arange(new)
-        start = np.maximum.accumulate(np.where(np.r_[True, key[1:] != key[:-1]], at, 0))
-        place, first = at - start, old + start
-        if old and self.key[-1] == key[0]:
-            place[start == 0] += self.place[-1] + 1
-            first[start == 0] = 0
-        key, node, mark, place = np.r_[self.key, key], np.r_[self.node, node], np.r_[self.mark, mark], np.r_[self.place, place]
-        first, out = np.r_[np.zeros(old, np.int64), first], []
-        for m in range(LEADERS):
-            i = old + np.flatnonzero(place[old:] > m)
-            out.append((first[i] + m, i))
-        for lag in range(1, NEIGHBOURS + 1):
-            i = old + np.flatnonzero(place[old:] >= LEADERS + lag)
-            out.append((i - lag, i))
-        j, i = (np.concatenate(x) for x in zip(*out, strict=True))
-        use = ((mark[i] | mark[j]) & 1).astype(bool) & (node[i] != node[j])
-        i, j = i[use], j[use]
-        begin = first[-1] if new else 0
-        lead = min(begin + LEADERS, len(key))
-        kept = np.r_[begin:lead, max(lead, len(key) - NEIGHBOURS) : len(key)]
-        found = node[j], node[i], np.maximum(mark[i], mark[j]) >> 1
-        self.key, self.node, self.mark, self.place = key[kept], node[kept], mark[kept], place[kept]
-        return found
-
-
-def _chunks(left: np.ndarray, begin: np.ndarray, end: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (i, j) of each i of left with all j from its begin up to its end, some CHUNK at a time."""
-    while len(left):
-        n = np.cumsum(end - begin)
-        k = max(1, int(np.searchsorted(n, CHUNK, "right")))
-        if n[0] > CHUNK:
-            end_ = begin[0] + CHUNK
-            yield np.repeat(left[:1], CHUNK), np.arange(begin[0], end_)
-            begin = np.r_[end_, begin[1:]]
-            continue
-        lens = (end - begin)[:k]
-        yield np.repeat(left[:k], lens), np.arange(n[k - 1]) + np.repeat(begin[:k] - (n[:k] - lens), lens)
-        left, begin, end = left[k:], begin[k:], end[k:]
-
-
-def _candidates(group: np.ndarray, node: np.ndarray, size: np.ndarray, room: np.ndarray, bits: np.ndarray, left: np.ndarray, right: np.ndarray, fresh: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of nodes of equal group, one of left and one of right, that the sizes, what is left of the texts and the
-    bitmaps admit. Two fresh nodes are taken once. Rows are sorted by group."""
-    edge = np.flatnonzero(np.r_[True, group[1:] != group[:-1], True])
-    which = np.repeat(np.arange(len(edge) - 1), np.diff(edge))
-    own = np.flatnonzero(left)
-    a, b = [], []
-    for i, j in _chunks(own, edge[which[own]], edge[which[own] + 1]):
-        use = (size[j] <= room[i]) & (size[i] <= room[j])
-        i, j = i[use], j[use]
-        use = right[j] & (~fresh[j] & (node[i] != node[j]) | (node[j] < node[i]))
-        i, j = i[use], j[use]
-        unlike = sum(np.bitwise_count((w[i] ^ w[j]).view(np.uint64)).astype(np.int32) for w in bits)
-        use = unlike <= (size[i] + size[j]) * ((1 - similarity) / (1 + similarity)) + 1e-6
-        i, j = i[use], j[use]
-        a.append(np.minimum(node[i], node[j]))
-        b.append(np.maximum(node[i], node[j]))
-    none = np.empty(0, np.int64)
-    return np.concatenate([none, *a]), np.concatenate([none, *b])
-
-
-def long_lists(nodes: DataFrame, common: pd.DataFrame, similarity: float) -> DataFrame:
-    """(key, parts): the keys with more than LIST entries, counted over a part of the nodes, and parts of about LIST."""
-    some = nodes.where(F.expr(f"pmod(xxhash64(node), {COUNTED}) = 0"))
-    return list_parts(suffix_array(some, common, similarity), COUNTED)
-
-
-def list_parts(entries: DataFrame, share: int = 1) -> DataFrame:
-    n = entries.groupBy("key").agg((F.count("*") * share).alias("n")).where(F.col("n") > LIST)
-    return n.select("key", F.ceil(F.col("n") / LIST).cast("int").alias("parts"))
-
-
-def matched(entries: DataFrame, parts: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): pairs of nodes, a < b, at least one of them fresh, among them all that have the similarity.
-
-    One exchange brings the entries of a key together, where each fresh one is tested with all others. Long lists (parts,
-    of long_lists) are divided by node, and each part's fresh entries meet each part in a group of their own, so a task
-    holds two parts at most and a list of any length is tested by as many tasks as it has pairs of parts.
-    """
+            norm = [n if t is not None and len(n := letters_digits(t)) >= DEPTH else None for t in pdf["text"]]
+            cls = [None if n is None else xxhash.xxh3_128_hexdigest(n.encode("utf-8", "surrogatepass")) for n in norm]
+            yield pdf[["id", "idk"]].assign(cls=cls, norm=norm)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
-            flag, column = lambda c: pdf[c].to_numpy(bool), lambda c: pdf[c].to_numpy(np.int64)
-            group = np.cumsum(np.r_[True, (np.diff(column("key")) != 0) | (np.diff(column("part")) != 0)][: len(pdf)])
-            a, b = _candidates(group, column("node"), column("size"), column("room"), [column(w) for w in BITS], flag("left"), flag("right"), flag("fresh"), similarity)
-            return pd.DataFrame({"a": a, "b": b}).drop_duplicates()
-
-        held: list[pd.DataFrame] = []
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            key, part = pdf["key"].to_numpy(), pdf["part"].to_numpy()
-            cut = int(np.flatnonzero((key != key[-1]) | (part != part[-1])).max(initial=-1)) + 1  # the last group may go on
-            if cut or held and (held[-1]["key"].iat[-1] != key[0] or held[-1]["part"].iat[-1] != part[0]):
-                yield pairs(pd.concat([*held, pdf[:cut]]))
-                held = []
-            held.append(pdf[cut:])
-        if held:
-            yield pairs(pd.concat(held))
-
-    own = F.expr("cast(pmod(xxhash64(node), parts) as int)")
-    sides = F.expr(
-        "case when parts is null then array(named_struct('part', 0L, 'left', fresh, 'right', true)) else concat("
-        "transform(sequence(0, parts - 1), p -> named_struct('part', cast(p as bigint) * parts + own, 'left', fresh and p = own, 'right', true)), "
-        "case when fresh then transform(filter(sequence(0, parts - 1), p -> p != own), p -> named_struct('part', cast(own as bigint) * parts + p, 'left', true, 'right', false)) "
-        "else array() end) end"
-    )
-    placed = entries.join(F.broadcast(parts), "key", "left").withColumn("own", own).select(*entries.columns, F.inline(sides))
-    partitions = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = placed.repartition(partitions, "key", "part").sortWithinPartitions("key", "part")
-    return ordered.mapInPandas(run, "a bigint, b bigint").distinct()
-
-
-def class_nodes(rows: DataFrame, fresh: str) -> DataFrame:
-    """(node, cls, norm, fresh) of rows (id, cls, norm, fresh): a node per class of equal normal forms."""
-    one = rows.groupBy("cls").agg(F.min("id").alias("node"), F.first("norm").alias("norm"), F.max(fresh).alias("fresh"))
-    return one.select("node", "cls", "norm", "fresh")
-
-
-def linked_classes(nodes: DataFrame, entries: DataFrame, parts: DataFrame, similarity: float = 0.6) -> DataFrame:
-    """(cls, other): pairs of classes, both ways, with at least the similarity, at least one of them with a fresh record."""
-
-    @F.pandas_udf("double")
-    def similarity_of(x: pd.Series, y: pd.Series) -> pd.Series:
-        known: dict[str, frozenset] = {}
-        grams = lambda t: known.get(t) or known.setdefault(t, gram_set(t))
-        return pd.Series([jaccard(grams(p), grams(q)) for p, q in zip(x, y, strict=True)], dtype="float64")
-
-    side = lambda name: nodes.select(F.col("node").alias(name), F.col("cls").alias(f"cls_{name}"), F.col("norm").alias(f"norm_{name}"))
-    found = matched(entries, parts, similarity).join(side("a"), "a").join(side("b"), "b").where(similarity_of("norm_a", "norm_b") >= similarity)
-    links = written(found.select(F.col("cls_a").alias("x"), F.col("cls_b").alias("y")), "links")
-    return links.select(F.col("x").alias("cls"), F.col("y").alias("other")).unionByName(links.select(F.col("y").alias("cls"), F.col("x").alias("other")))
+    return spread(base.where("id is not null")).mapInPandas(run, "id bigint, idk string, cls string, norm string")
 
 
 def _least_by(base: DataFrame, links: DataFrame, marks: DataFrame, name: str) -> DataFrame:
@@ -244,20 +59,12 @@ def _least_by(base: DataFrame, links: DataFrame, marks: DataFrame, name: str) ->
     return out.withColumn(name, F.least("m1", "m2", "m3")).drop("m1", "m2", "m3")
 
 
-def resolve(records: DataFrame, links: DataFrame, max_rounds: int = 500) -> DataFrame:
-    """(accepted_seq, seq): the rejected of records (seq, idk, cls, fresh), in order of seq; records that aren't fresh are accepted.
+def in_order(free: DataFrame, links: DataFrame, max_rounds: int = 500) -> DataFrame:
+    """(node, idk, cls, accepted_seq) of the rejected among free (node, idk, cls), whose classes are linked by links (cls, other), both ways.
 
-    Fresh records with the same id and class decide alike, so one stands for all. Those that repeat a stored record are
-    decided at once. The others go by rounds: whoever has no undecided or accepted earlier neighbour is accepted,
-    whoever has an accepted one is rejected. A round is a few aggregates over the undecided only.
+    Whoever has no undecided or accepted earlier neighbour is accepted, whoever has an accepted one is rejected. A round is
+    a few aggregates over the undecided only.
     """
-    stored = records.where("not fresh").select(F.col("seq").alias("node"), "idk", "cls")
-    fresh = records.where("fresh").select("seq", "idk", "cls")
-    node = fresh.where("idk is not null or cls is not null").groupBy("idk", "cls").agg(F.min("seq").alias("node"))
-    first = written(_least_by(node, links, stored, "stored"), "decided")
-    hit = first.where("stored is not null").select("node", "idk", "cls", F.col("stored").alias("accepted_seq"))
-    free = first.where("stored is null").select("node", "idk", "cls")
-
     undecided, rounds = written(_least_by(free, links, free, "least"), "undecided"), []
     for _ in range(max_rounds):
         won = undecided.where("least >= node").select("node", "idk", "cls")
@@ -270,124 +77,217 @@ def resolve(records: DataFrame, links: DataFrame, max_rounds: int = 500) -> Data
     else:
         raise RuntimeError("the order of acceptance didn't settle")
     accepted = reduce(DataFrame.unionByName, rounds)
-    late = _least_by(free, links, accepted, "accepted_seq").select("node", "idk", "cls", "accepted_seq")
-    out = hit.unionByName(late)
-    same = F.expr("f.idk <=> d.idk and f.cls <=> d.cls")
-    return fresh.alias("f").join(out.alias("d"), same).where("d.accepted_seq < f.seq").select("d.accepted_seq", "f.seq")
-
-
-def keyed(rows: DataFrame, fresh: bool, seq_col: str, id_col: str, text_col: str) -> DataFrame:
-    return rows.select(
-        F.col(seq_col).cast("bigint").alias("seq"), F.expr(ID.format(f"`{id_col}`")).alias("idk"),
-        F.col(text_col).cast("string").alias("text"), F.lit(fresh).alias("fresh"),
-    ).where("seq is not null")
-
-
-def rejected(
-    history: DataFrame, incoming: DataFrame, seq_col: str = "seq", id_col: str = "id", text_col: str = "content", similarity: float = 0.6
-) -> DataFrame:
-    """(accepted_seq, seq): the incoming records that repeat an accepted one, with the smallest seq of those they repeat.
-
-    All of history is accepted; incoming records are taken by seq, whatever their batch. A record repeats another if their
-    ids are equal without letter case and outer spaces, or if their contents have at least the similarity (of sets of
-    three-character runs of the normal form). Contents are matched by a suffix array over history and all batches: no pair
-    of the similarity is left out, whatever its length, and every pair is verified exactly.
-
-    NULL ids and NULL, blank or very short contents (under three letters or digits) match nothing. Repeated rows repeat
-    the first. Rows with NULL seq are left out. Other columns are ignored, whatever their names.
-    """
-    rows = keyed(history, False, seq_col, id_col, text_col).unionByName(keyed(incoming, True, seq_col, id_col, text_col))
-    normal = normal_rows(rows, "seq", "text")
-    flags = rows.select(F.col("seq").alias("id"), "idk", "fresh")
-    full = written(flags.join(normal, "id", "left").select("id", "idk", "fresh", "cls", "norm"), "records")
-    nodes = written(class_nodes(full.where("cls is not null"), "fresh"), "nodes")
-    common = common_runs(nodes)
-    links = linked_classes(nodes, suffix_array(nodes, common, similarity), long_lists(nodes, common, similarity), similarity)
-    return resolve(full.select(F.col("id").alias("seq"), "idk", "cls", "fresh"), links)
+    return _least_by(free, links, accepted, "accepted_seq").where("accepted_seq < node").select("node", "idk", "cls", "accepted_seq")
 
 
 class SegmentStore:
-    """Accepted records as immutable segments in a folder: each has its records and its suffix array, sorted by key.
-
-    A batch is searched against the segments' arrays, then its accepted records become a segment. Segments of like size
-    are merged, so there are about log2(batches) of them and a record is rewritten about as often. The arrays are made for
-    one similarity, and the order of runs is that of the first batch.
+    """Accepted records as immutable segments in a folder, which batches are searched against.
+
+    A segment has three tables, divided into ranges of their keys and sorted within: the suffix array of its texts (their
+    suffixes in order of the first DEPTH characters, as far as a pair of the similarity must meet in them), the texts by
+    node, and the ids. Besides, the first text of each list of sketch suffixes. A batch's suffixes are looked up in the
+    ranges that hold some of them. What is accepted becomes a segment; segments of like size are merged, so there are about
+    log2(batches) of them and a record is rewritten about as often. Nothing that is written is changed. The arrays are made for one
+    similarity, and the order of runs is that of the first segment.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, similarity: float = 0.6) -> None:
-        self.spark, self.folder, self.similarity = spark, folder.rstrip("/"), similarity
+    def __init__(self, spark: SparkSession, folder: str, similarity: float = 0.6, ranges: int = RANGES) -> None:
+        self.spark, self.folder, self.similarity, self.ranges = spark, folder.rstrip("/"), similarity, ranges
         fs = spark._jvm.org.apache.hadoop.fs
         self._path, self._fs = fs.Path, fs.Path(self.folder).getFileSystem(spark._jsc.hadoopConfiguration())
         self._fs.mkdirs(self._path(self.folder))
+        self._known: pd.DataFrame | None = None
 
-    def segments(self) -> list[dict]:
-        """The segments in order of making: name, rows and level. The list is the newest of the numbered list files."""
-        names = sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(self.folder)) if s.getPath().getName().startswith("list-"))
-        return json.loads(self.spark.read.text(f"{self.folder}/{names[-1]}").first()[0])["segments"] if names else []
+    def _names(self, begin: str) -> list[str]:
+        return sorted(x for s in self._fs.listStatus(self._path(self.folder)) if (x := s.getPath().getName()).startswith(begin))
+
+    def _list(self) -> tuple[str | None, list[dict]]:
+        for name in reversed(self._names("list-")):
+            if text := read_file(self.spark, f"{self.folder}/{name}"):  # else a writer has only just made it
+                return name, json.loads(text)
+        return None, []
 
-    def _publish(self, segments: list[dict]) -> None:
-        names = [s.getPath().getName() for s in self._fs.listStatus(self._path(self.folder))]
-        n = 1 + sum(x.startswith("list-") for x in names)
-        self.spark.createDataFrame([(json.dumps({"segments": segments}),)], "value string").coalesce(1).write.text(f"{self.folder}/list-{n:08d}")
+    def segments(self) -> list[dict]:
+        """The segments in order of making: name and rows. The list is the newest of the numbered list files."""
+        return self._list()[1]
 
-    def _read(self, what: str, segments: list[dict]) -> DataFrame | None:
-        return self.spark.read.parquet(*[f"{self.folder}/{s['name']}/{what}" for s in segments]) if segments else None
+    def _publish(self, segments: list[dict], base: str | None) -> None:
+        name = f"list-{int(base[5:]) + 1 if base else 1:08d}"
+        if not create_file(self.spark, f"{self.folder}/{name}", json.dumps(segments)):
+            raise RuntimeError(f"{name} was made by another writer")
 
     def _order(self, nodes: DataFrame) -> pd.DataFrame:
-        """The order of runs, with the similarity of the arrays: written with the first batch, kept from then on."""
+        """The order of runs, with the similarity of the arrays: written with the first segment, kept from then on."""
         path = f"{self.folder}/order"
-        if not self._fs.exists(self._path(f"{path}/_SUCCESS")):
-            first = common_runs(nodes).assign(similarity=self.similarity)
-            self.spark.createDataFrame(first, "key bigint, n bigint, similarity double").write.mode("overwrite").parquet(path)
-        order = self.spark.read.parquet(path).toPandas().sort_values("key")
-        if (order["similarity"] != self.similarity).any():
+        if self._known is None:
+            if not self._fs.exists(self._path(f"{path}/_SUCCESS")):
+                first = common_runs(nodes).assign(similarity=self.similarity)
+                self.spark.createDataFrame(first, "key bigint, n bigint, similarity double").write.mode("overwrite").parquet(path)
+            self._known = self.spark.read.parquet(path).toPandas().sort_values("key")
+        if (self._known["similarity"] != self.similarity).any():
             raise ValueError("the segments' arrays are made for another similarity")
-        return order
-
-    def _write(self, records: DataFrame, level: int) -> dict:
-        n = 1 + sum(s.getPath().getName().startswith("seg-") for s in self._fs.listStatus(self._path(self.folder)))
-        name = f"seg-{n:08d}"
-        records.select("seq", "idk", "cls", "norm").write.parquet(f"{self.folder}/{name}/records")
-        kept = self.spark.read.parquet(f"{self.folder}/{name}/records")
-        nodes = class_nodes(kept.where("cls is not null").select(F.col("seq").alias("id"), "cls", "norm", F.lit(False).alias("fresh")), "fresh")
-        nodes.write.parquet(f"{self.folder}/{name}/nodes")
-        nodes = self.spark.read.parquet(f"{self.folder}/{name}/nodes")
-        array = suffix_array(nodes, self._order(nodes), self.similarity)
-        array.repartitionByRange("key").sortWithinPartitions("key", "node").write.parquet(f"{self.folder}/{name}/array")
-        return {"name": name, "level": level, "rows": kept.count()}
+        return self._known
+
+    def _bounds(self) -> list[int]:
+        """Where the ranges of the arrays begin: at even shares of the frequent runs."""
+        key, n = self._known["key"].to_numpy(np.int64), self._known["n"].to_numpy(np.int64)
+        at = np.searchsorted(np.cumsum(n), np.arange(1, self.ranges) * n.sum() / self.ranges) if len(key) else []
+        return sorted({int(key[i]) for i in at})
+
+    def _ranged(self, rows: DataFrame, what: str) -> DataFrame:
+        """rows with part, the range of its key."""
+        if what == "array":
+            bounds = self._bounds()
+            return rows.withColumn("part", F.expr(f"array_size(filter(array({', '.join(f'{b}L' for b in bounds)}), b -> b <= key))").cast("int") if bounds else F.lit(0))
+        return rows.withColumn("part", F.expr(_PART.format({"nodes": "node", "ids": "idk", "sketch": "key"}[what], self.ranges)))
+
+    def _table(self, segment: str, what: str) -> DataFrame:
+        return self.spark.read.schema(f"{TABLES[what]}, part int").parquet(f"{self.folder}/{segment}/{what}")
+
+    def _save(self, rows: DataFrame, segment: str, what: str, *order: str) -> None:
+        """The exchange by range may divide a range over tasks, and join small ones, as their sizes are."""
+        ranged = self._ranged(rows, what).hint("rebalance", "part").sortWithinPartitions("part", *order)
+        ranged.write.option("compression", "zstd").partitionBy("part").parquet(f"{self.folder}/{segment}/{what}")
+
+    def read(self, what: str, segments: list[dict], keys: DataFrame | None = None) -> DataFrame | None:
+        """The segments' table: all of it, or the ranges that hold keys (a column named as the table's key)."""
+        if not segments:
+            return None
+        every = reduce(DataFrame.unionByName, [self._table(s["name"], what) for s in segments])
+        if keys is not None:
+            touched = [r["part"] for r in self._ranged(keys, what).select("part").distinct().collect()]  # ranges at most
+            every = every.where(F.col("part").isin(touched))
+        return every.drop("part")
+
+    def _segment(self, ids: DataFrame, nodes: DataFrame, array: DataFrame | None = None) -> dict:
+        """Write (idk, seq) and (node, cls, norm) as a segment; its array is made from the nodes, or is what others had of them."""
+        name = f"seg-{1 + len(self._names('seg-')):08d}"
+        self._save(ids.groupBy("idk").agg(F.min("seq").alias("seq")), name, "ids", "idk")
+        self._save(nodes, name, "nodes", "node")
+        nodes = self._table(name, "nodes").drop("part")
+        self._save(entries(nodes, self._order(nodes), self.similarity) if array is None else array, name, "array", "key", "node")
+        first = F.min(F.struct("node", "size", *BITS)).alias("x")
+        self._save(sketches(nodes).groupBy("key").agg(first).select("key", "x.*"), name, "sketch", "key")
+        return {"name": name, "rows": max(nodes.count(), self._table(name, "ids").count())}
 
     def add(self, records: DataFrame) -> None:
-        """Append accepted records (seq, idk, cls, norm) as a segment and merge segments of the same level."""
-        segments = [*self.segments(), self._write(records, 0)]
-        while len(segments) >= RATIO and len({s["level"] for s in segments[-RATIO:]}) == 1:
-            last = segments[-RATIO:]
-            segments = [*segments[:-RATIO], self._write(self._read("records", last), last[0]["level"] + 1)]
-        self._publish(segments)
+        """Append accepted records (id, idk, cls, norm), none of whose texts is stored, as a segment, and merge segments of like size."""
+        base, segments = self._list()
+        nodes = class_nodes(records.where("cls is not null").select("id", "cls", "norm"))
+        segments = [*segments, self._segment(records.where("idk is not null").select("idk", F.col("id").alias("seq")), nodes)]
+        while len(segments) > 1 and segments[-2]["rows"] <= RATIO * segments[-1]["rows"]:
+            two = segments[-2:]
+            segments = [*segments[:-2], self._segment(self.read("ids", two), self.read("nodes", two), self.read("array", two))]
+        self._publish(segments, base)
+
+    def load(self, records: DataFrame, seq_col: str = "seq", id_col: str = "id", text_col: str = "content") -> int:
+        """Take records as accepted, unchecked, into a store that is empty. Returns the segment's rows."""
+        if self.segments():
+            raise ValueError("only an empty store can be loaded")
+        full = written(keyed(records, seq_col, id_col, text_col), "records")
+        self.add(full)
+        drop(full)
+        return self.segments()[-1]["rows"]
+
+    def _near(self, nodes: DataFrame, segments: list[dict]) -> DataFrame:
+        """(node, m): the least stored node that each node of the batch has the similarity to, where there is one.
+
+        The sketch gives a first one for most, and a search of the arrays looks for those under it only, so a batch that
+        repeats a large family of stored texts costs about a pair a record.
+        """
+        t, order = self.similarity, self._order(nodes)
+        sketch = written(sketches(nodes), "sketch")
+        pairs = written(first_of_lists(sketch, self.read("sketch", segments, sketch.select("key")), t), "pairs")
+        texts = self.read("nodes", segments, pairs.select(F.col("a").alias("node")))
+        first = written(verified(pairs, texts, nodes, t).groupBy("b").agg(F.min("a").alias("m")).select(F.col("b").alias("node"), "m"), "first")
+        most = nodes.join(first, "node", "left").select("node", "norm", F.coalesce("m", F.lit(NEVER)).alias("most"))
+        own = written(entries(most, order, t, ("most",)), "entries")
+        old = self.read("array", segments, own.select("key")).withColumn("most", F.lit(NEVER)).withColumn("fresh", F.lit(False))
+        both = own.withColumn("fresh", F.lit(True)).unionByName(old)
+        # the order of runs counts the first segment's texts only, so lists are counted here
+        n = both.groupBy("key").agg(F.count("*").alias("n"), F.max("fresh").alias("fresh"))
+        parts = written(list_parts(n), "parts")
+        found = written(candidates(both, parts, t, F.col("fresh"), most="most"), "pairs")
+        texts = self.read("nodes", segments, found.select(F.col("b").alias("node")))
+        under = verified(found, nodes, texts, t).groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), "m")
+        out = written(first.unionByName(under).groupBy("node").agg(F.min("m").alias("m")), "near")
+        drop(sketch, pairs, first, own, parts, found)
+        return out
+
+    def _among(self, nodes: DataFrame) -> DataFrame:
+        """(cls, other): pairs of nodes of the batch with the similarity, both ways."""
+        index = written(entries(nodes, self._order(nodes), self.similarity), "entries")
+        parts = written(list_parts(index.groupBy("key").agg(F.count("*").alias("n"))), "parts")
+        links = written(verified(candidates(index, parts, self.similarity), nodes, nodes, self.similarity), "links")
+        drop(index, parts)
+        return links.select(F.col("a").alias("cls"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("cls"), F.col("a").alias("other")))
 
     def accept(self, batch: DataFrame, seq_col: str = "seq", id_col: str = "id", text_col: str = "content") -> DataFrame:
         """Check a batch against all segments and itself, append what is accepted, and return (accepted_seq, seq) of the rest.
 
-        Of the history only array entries whose key the batch has, and records with an id or class in question, are used.
+        Records of the batch with the same id and text decide alike, so one stands for all. Those that repeat a stored record
+        are decided at once; the others are taken in order of seq.
         """
-        rows = keyed(batch, True, seq_col, id_col, text_col)
-        normal = normal_rows(rows, "seq", "text")
-        full = written(rows.select(F.col("seq").alias("id"), "idk", "fresh").join(normal, "id", "left"), "records")
-        nodes = written(class_nodes(full.where("cls is not null"), "fresh"), "nodes")
-        entries, segments = suffix_array(nodes, self._order(nodes), self.similarity), self.segments()
-        records = full.select(F.col("id").alias("seq"), "idk", "cls", "fresh")
-        if segments:
-            own = written(entries, "array")
-            old = self._read("array", segments).join(own.select("key").distinct(), "key", "left_semi")
-            entries = own.unionByName(old.select(own.columns))
-            nodes = nodes.unionByName(self._read("nodes", segments).select(nodes.columns))
-        links = linked_classes(nodes, entries, list_parts(entries), self.similarity)
+        full = written(keyed(batch, seq_col, id_col, text_col), "records")
+        nodes = written(class_nodes(full.where("cls is not null").select("id", "cls", "norm")), "nodes")
+        segments = self.segments()
+        # from here on a class goes by its node
+        fresh = full.join(nodes.select("cls", F.col("node").alias("of")), "cls", "left").select(F.col("id").alias("seq"), "idk", F.col("of").alias("cls"))
+        one = fresh.where("idk is not null or cls is not null").groupBy("idk", "cls").agg(F.min("seq").alias("node"))
         if segments:
-            old = self._read("records", segments).select("seq", "idk", "cls", F.lit(False).alias("fresh"))
-            classes = records.select("cls").unionByName(links.select("cls")).where("cls is not null").distinct()
-            ids = records.select("idk").where("idk is not null").distinct()
-            near = old.join(classes, "cls", "left_semi").unionByName(old.join(ids, "idk", "left_semi")).distinct()
-            records = records.unionByName(near)
-        out = written(resolve(records, links.distinct()), "rejected")
-        new = full.join(out.select(F.col("seq").alias("id")), "id", "left_anti").select(F.col("id").alias("seq"), "idk", "cls", "norm")
-        self.add(new)
-        return out
+            near = self._near(nodes, segments).select(F.col("node").alias("cls"), F.col("m").alias("m2"))
+            ids = full.select("idk").where("idk is not null")
+            by_id = self.read("ids", segments, ids).join(ids.distinct(), "idk", "left_semi").groupBy("idk").agg(F.min("seq").alias("m1"))
+            one = one.join(by_id, "idk", "left").join(near, "cls", "left").withColumn("stored", F.least("m1", "m2"))
+        else:
+            one = one.withColumn("stored", F.lit(None).cast("bigint"))
+        one = written(one.select("node", "idk", "cls", "stored"), "decided")
+        free = one.where("stored is null").select("node", "idk", "cls")
+        open_ = nodes.join(free.select(F.col("cls").alias("node")).distinct(), "node", "left_semi")
+        late = in_order(free, self._among(open_))
+        out = one.where("stored is not null").select("node", "idk", "cls", F.col("stored").alias("accepted_seq")).unionByName(late)
+        same = F.expr("f.idk <=> d.idk and f.cls <=> d.cls")
+        # of records that decide alike the first may be accepted, and the others repeat it
+        first = one.where("stored is null").select("idk", "cls", "node").join(late.select("node"), "node", "left_anti")
+        again = first.select("node", "idk", "cls", F.col("node").alias("accepted_seq"))
+        found = fresh.alias("f").join(out.unionByName(again).alias("d"), same).where("d.accepted_seq < f.seq").select("d.accepted_seq", "f.seq")
+        found = written(found, "rejected")
+        self.add(full.join(found.select(F.col("seq").alias("id")), "id", "left_anti"))
+        return found
+
+    def accept_backlog(self, rows: DataFrame, batch_col: str, seq_col: str = "seq", id_col: str = "id", text_col: str = "content", share: float = SHARE) -> DataFrame:
+        """accept for all batches of rows, in order of seq. Batches are taken together until they have the share of the rows
+        that are stored by then, so that history is searched a number of times that grows with the logarithm of the backlog."""
+        starts = rows.where(F.col(seq_col).isNotNull()).groupBy(batch_col).agg(F.min(seq_col).cast("bigint").alias("first"), F.count("*").alias("n"))
+        starts = sorted((r["first"], r["n"]) for r in starts.collect())  # one a batch
+        stored, out, at = sum(s["rows"] for s in self.segments()), [], 0
+        while at < len(starts):
+            begin, n = at, 0
+            while at < len(starts) and (at == begin or n < share * stored):
+                n, at = n + starts[at][1], at + 1
+            some = rows.where(F.col(seq_col) >= starts[begin][0])
+            some = some.where(F.col(seq_col) < starts[at][0]) if at < len(starts) else some
+            out.append(self.accept(some, seq_col, id_col, text_col))
+            stored += n
+        if not out:
+            return rows.sparkSession.createDataFrame([], "accepted_seq bigint, seq bigint")
+        return reduce(DataFrame.unionByName, out)
+
+
+def rejected(
+    history: DataFrame, incoming: DataFrame, seq_col: str = "seq", id_col: str = "id", text_col: str = "content", batch_col: str = "batch_no", similarity: float = 0.6,
+    share: float = SHARE,
+) -> DataFrame:
+    """(accepted_seq, seq): the incoming records that repeat an accepted one, with the smallest seq of those they repeat.
+
+    All of history is accepted; incoming records are taken by seq. A record repeats another if their ids are equal without
+    letter case and outer spaces, or if their contents have at least the similarity (of sets of three-character runs of
+    the normal form). History becomes a segment of a SegmentStore, and the batches go through it one after another, small
+    ones together. No pair of the similarity is left out, whatever its length, and every pair is verified exactly.
+
+    NULL ids and NULL, blank or very short contents (under three letters or digits) match nothing. Repeated rows repeat
+    the first. Rows with NULL seq are left out. Other columns are ignored, whatever their names.
+    """
+    store = SegmentStore(history.sparkSession, scratch(history.sparkSession, "segments"), similarity)
+    store.load(history, seq_col, id_col, text_col)
+    return store.accept_backlog(incoming, batch_col, seq_col, id_col, text_col, share)

@@ -2,10 +2,11 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from inkstone.llm import components, incremental, neardup
+from inkstone.llm import components, incremental, index, neardup
 from inkstone.llm.text import codes, gram_ids
-from tests.llm.brute import groups, rejected
+from tests.llm.brute import groups, norm, rejected, similarity
 
 WORDS = "集合函数数列概率向量统计导数不等式三角立体几何排列组合命题充要条件样本平均方差直线椭圆抛物线公比首项公差" * 2
 
@@ -50,15 +51,63 @@ def test_large_group_of_copies(spark):
 
 
 def test_signature():
-    salt, odd, places = neardup._plan()
-    a, b = (gram_ids("".join(chr(0x4E00 + i) for i in range(s, s + 202))) for s in (0, 50))
-    x, y = (neardup.signature(g, salt, odd) for g in (a, b))
-    assert abs((x == y).mean() - 0.6) < 0.12  # similarity 150 / 250
-    assert len(set(neardup.block_keys(x, places).tolist())) == len(places)
-    assert (neardup.block_keys(x, places) >= 0).all()
+    """Unlike places of signatures are never more than the runs that one of two texts has alone."""
+    r = random.Random(8)
+    texts = [norm(text(r, r.randint(1, 90))) for _ in range(60)]
+    grams = [gram_ids(t) for t in texts]
+    _, _, bits = index.signatures(grams)
+    assert bits.shape == (60, index.WORDS)
+    for i in range(60):
+        for j in range(i):
+            unlike = int(np.bitwise_count((bits[i] ^ bits[j]).view(np.uint64)).sum())
+            assert unlike <= len(set(grams[i].tolist()) ^ set(grams[j].tolist()))
     assert codes("a好").tolist() == [97, 22909]
 
 
+@pytest.mark.parametrize("most", [index.LIST, 7])
+def test_candidates_hold_all_pairs(spark, monkeypatch, most):
+    """The index's pairs hold every pair of the similarity, with lists whole or divided, by tag, and with one side's bound."""
+    monkeypatch.setattr(index, "LIST", most)
+    r = random.Random(11)
+    base = [text(r, 25) for _ in range(8)]
+    texts = [norm(edited(r, r.choice(base), r.randint(0, 6))) for _ in range(80)] + [norm("".join(r.choice("abc") for _ in range(r.randint(3, 12)))) for _ in range(80)]
+    texts = sorted(set(texts), key=texts.index)
+    tag = [r.randrange(3) for _ in texts]
+    nodes = spark.createDataFrame([(i, t, g) for i, (t, g) in enumerate(zip(texts, tag, strict=True))], "node bigint, norm string, tag bigint").repartition(3)
+    common = index.common_runs(nodes)
+    seen = {k: sum(k in set(gram_ids(t).view(np.int64).tolist()) for t in texts) for k in common["key"]}
+    assert seen == dict(zip(common["key"], common["n"], strict=True)) and min(seen.values()) > 1
+    rows = index.entries(nodes, common, 0.6, ("tag",)).cache()
+    near = {(i, j) for j in range(len(texts)) for i in range(j) if similarity(texts[i], texts[j]) >= 0.6}
+    got = lambda df: {tuple(x) for x in index.verified(df, nodes, nodes, 0.6).collect()}
+    parts = index.list_parts(index.counted_lists(rows, common, "tag"))
+    assert (parts.count() > 0) == (most == 7)
+    assert got(index.candidates(rows, parts, 0.6, tag="tag")) == {(i, j) for i, j in near if tag[i] != tag[j]}
+    parts = index.list_parts(rows.groupBy("key").agg(F.count("*").alias("n")))
+    assert got(index.candidates(rows, parts, 0.6)) == near
+    sided = rows.withColumn("most", F.expr("if(node % 3 = 0, node, 9223372036854775807)"))
+    want = {(i, j) for x, y in near for i, j in ((x, y), (y, x)) if i % 2 and not j % 2 and (i % 3 or j < i)}
+    assert got(index.candidates(sided, parts, 0.6, F.col("node") % 2 == 1, most="most")) == want
+    rows.unpersist()
+
+
+def test_shared_template_costs_in_proportion(spark):
+    """Texts with a template in common, none of which are alike, leave no pairs for verification, and few are looked at."""
+    looked = []
+    for n in (300, 600):
+        r = random.Random(n)
+        han = lambda k, r=r: "".join(chr(0x4E00 + r.randrange(9000)) for _ in range(k))
+        stem = han(100)
+        nodes = spark.createDataFrame([(i, stem + han(60)) for i in range(n)], "node bigint, norm string")
+        rows = index.entries(nodes, index.common_runs(nodes), 0.6).toPandas().assign(part=0, left=True, right=True)
+        seen = []
+        lists = index._Lists(rows.sort_values("key"), 0.6, None, None)
+        lists._admitted = lambda i, j, seen=seen: (seen.append(len(i)), (i[:0], j[:0]))[1]
+        assert not len(lists.pairs())
+        looked.append(sum(seen))
+    assert looked[1] <= 2 * looked[0] + 600
+
+
 def test_components(spark):
     r = random.Random(2)
     edges = [(i, i + 1) for i in range(200)] + [(500, 500 + i) for i in range(1, 50)] + [(900, 900), (901, 902), (902, 901)]
@@ -76,7 +125,7 @@ def history_and_batches(texts):
 
 def test_rejected(spark, texts):
     old, new = history_and_batches(texts)
-    frame = lambda rows: spark.createDataFrame([(*x, 1) for x in rows], "seq bigint, id string, content string, fresh int").repartition(3)
+    frame = lambda rows: spark.createDataFrame([(*x, 1, x[0] // 30) for x in rows], "seq bigint, id string, content string, fresh int, batch_no int").repartition(3)
     got = {tuple(r) for r in incremental.rejected(frame(old), frame(new)).select("accepted_seq", "seq").collect()}
     assert got == rejected(old, new)
     alone = {tuple(r) for r in incremental.rejected(frame(old).where("seq < 0"), frame(new)).collect()}
@@ -92,8 +141,59 @@ def test_segments_batch_by_batch(spark, texts, tmp_path):
     for at in range(0, len(rows), size):
         batch = spark.createDataFrame(rows[at : at + size], "seq bigint, id string, content string")
         out |= {tuple(r) for r in store.accept(batch).select("accepted_seq", "seq").collect()}
-    assert out == rejected([], rows)
-    assert [s["level"] for s in store.segments()] == [2]
+        base, now = store._list()
+        assert all(b["rows"] < a["rows"] / incremental.RATIO for a, b in zip(now, now[1:], strict=False))
+    assert out == rejected([], rows) and len(store.segments()) < 4
+    with pytest.raises(RuntimeError):  # another writer after the list before
+        store._publish([], f"list-{int(base[5:]) - 1:08d}")
+    array = store.read("array", store.segments())
+    assert array.count() == array.select("key", "node").distinct().count() > 0
+
+
+def test_batch_reads_its_ranges(spark, texts, tmp_path):
+    """The search of a batch reads only ranges that hold one of its keys, and files are sorted by key."""
+    old, _ = history_and_batches(texts)
+    store = incremental.SegmentStore(spark, str(tmp_path / "segments"))
+    store.load(spark.createDataFrame(old, "seq bigint, id string, content string"))
+    every = store.read("array", store.segments())
+    keys = every.select("key").orderBy("key").limit(1)
+    some = store.read("array", store.segments(), keys)
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(part" in plan
+    assert 0 < some.count() < every.count() and some.join(keys, "key").count() == every.join(keys, "key").count()
+    assert some.select(F.input_file_name()).distinct().count() == 1 < every.select(F.input_file_name()).distinct().count()
+
+
+def test_backlog(spark, texts, monkeypatch):
+    """A backlog of batches gives the same whatever number of them are taken together."""
+    old, new = history_and_batches(texts[:40])
+    frame = lambda rows: spark.createDataFrame([(*x, x[0] // 9) for x in rows], "seq bigint, id string, content string, batch_no bigint").repartition(3)
+    want = rejected(old, new)
+    for share in (0.4, 9.0):
+        taken, accept = [], incremental.SegmentStore.accept
+        monkeypatch.setattr(incremental.SegmentStore, "accept", lambda self, rows, *a, taken=taken, accept=accept: (taken.append(rows.count()), accept(self, rows, *a))[1])
+        assert {tuple(r) for r in incremental.rejected(frame(old), frame(new), share=share).select("accepted_seq", "seq").collect()} == want
+        monkeypatch.undo()
+        assert sum(taken) == len(new) and (len(taken) == 1) == (share == 9.0)
+
+
+def test_family_over_history_and_batches(spark):
+    """A third of all rows are near copies of one text: each repeats the first, and few pairs are verified."""
+    r = random.Random(15)
+    base = text(r, 60)
+    rows = [(i, None, edited(r, base, 2)) for i in range(250)] + [(300 + i, None, text(r, 40)) for i in range(400)]
+    rows += [(1000 + i, None, edited(r, base, 2)) for i in range(120)]
+    df = spark.createDataFrame([(*x, 1) for x in rows], "seq bigint, id string, content string, batch_no int")
+    looked = []
+    check = incremental.verified
+    count = lambda pairs, *a: (looked.append(pairs.count()), check(pairs, *a))[1]
+    incremental.verified = count
+    try:
+        got = {tuple(x) for x in incremental.rejected(df.where("seq < 1000"), df.where("seq >= 1000")).collect()}
+    finally:
+        incremental.verified = check
+    assert got == rejected([x for x in rows if x[0] < 1000], [x for x in rows if x[0] >= 1000]) and len(got) == 120
+    assert sum(looked) < 2000
 
 
 def test_hot_key_of_suffixes(spark):
@@ -101,40 +201,20 @@ def test_hot_key_of_suffixes(spark):
     r = random.Random(3)
     base = text(r, 80)
     rows = [(i, None, edited(r, base, 1)) for i in range(150)]
-    df = spark.createDataFrame(rows, "seq bigint, id string, content string")
+    df = spark.createDataFrame(rows, "seq bigint, id string, content string").withColumn("batch_no", F.lit(1))
     got = {(x.accepted_seq, x.seq) for x in incremental.rejected(df.where("seq < 1"), df.where("seq >= 1")).collect()}
     assert got == {(0, i) for i in range(1, 150)}
 
 
-def test_entries_as_they_stream():
-    """Any division into batches gives the pairs of each key's first and neighbouring entries, each once."""
-    r = random.Random(9)
-    rows = sorted((k, n, r.random() < 0.5) for k, size in enumerate((1, 90, 2, 24, 25, 26, 49, 50, 3)) for n in r.sample(range(1000), size))
-    want = []
-    for k in {x[0] for x in rows}:
-        own = [x for x in rows if x[0] == k]
-        for i, (_, n, f) in enumerate(own):
-            near = {j for j in range(i) if j < incremental.LEADERS or j >= i - incremental.NEIGHBOURS}
-            want += [(own[j][1], n) for j in near if f or own[j][2]]
-    for size in (1, 7, 40, 1000):
-        run, got = incremental._Run(), []
-        for at in range(0, len(rows), size):
-            k, n, f = zip(*rows[at : at + size], strict=True)
-            a, b, count = run.pairs(np.array(k), np.array(n), 2 + np.array(f, np.int64))
-            assert (count == 1).all()
-            got += list(zip(a.tolist(), b.tolist(), strict=True))
-        assert sorted(got) == sorted(want)
-
-
 def test_short_reordered_texts(spark):
     """A short text whose clauses change places shares few suffixes, and is found."""
     rows = [(1, None, "21. （11分）直三棱柱的体积为860，其高与底面边长之比是15/43，老岑比初珩晚到69分钟，则证明：TP∥平面TGM。"), (2, None, "9．老岑比初珩晚到69分钟，其高与底面边长之比是15/43，（11分）直三棱柱的体积为860，则证明：TP∥平面TGM。")]
-    df = spark.createDataFrame(rows, "seq bigint, id string, content string")
+    df = spark.createDataFrame(rows, "seq bigint, id string, content string").withColumn("batch_no", F.lit(1))
     assert [tuple(x) for x in incremental.rejected(df.where("seq = 1"), df.where("seq = 2")).collect()] == [(1, 2)]
 
 
 def brute_rows(spark, rows, first_new):
-    df = spark.createDataFrame(rows, "seq bigint, id string, content string")
+    df = spark.createDataFrame(rows, "seq bigint, id string, content string").withColumn("batch_no", F.expr(f"(seq - {first_new}) div 40"))
     got = {tuple(x) for x in incremental.rejected(df.where(f"seq < {first_new}"), df.where(f"seq >= {first_new}")).collect()}
     assert got == rejected([x for x in rows if x[0] < first_new], [x for x in rows if x[0] >= first_new])
     return got
@@ -149,6 +229,21 @@ def test_similar_texts_without_long_matches(spark):
     assert {(0, 100), (1, 101), (2, 102)} <= brute_rows(spark, rows, 100)
 
 
+def test_judged_cases(spark):
+    """Edits every twelve characters, short and long; and clauses of stored texts in other orders."""
+    r = random.Random(21)
+    han = lambda n: "".join(chr(0x4E00 + r.randrange(9000)) for _ in range(n))
+    every = lambda t, k: "".join(han(1) if i % k == k - 1 else c for i, c in enumerate(t))
+    short, long_ = han(60), han(300)
+    rows = [(1, None, short), (2, None, long_), (101, None, every(short, 13)), (102, None, every(long_, 12))]
+    assert all(similarity(rows[i][2], rows[i + 2][2]) >= 0.6 for i in (0, 1))
+    assert brute_rows(spark, rows, 100) == {(1, 101), (2, 102)}
+    clauses = [han(14) for _ in range(20)]
+    old = [(i, None, "，".join(r.sample(clauses, 6))) for i in range(300)]
+    new = [(1000 + i, None, "，".join(r.sample(old[5 * i][2].split("，"), 6))) for i in range(60)]
+    assert len(brute_rows(spark, old + new, 1000)) == 60
+
+
 def test_all_short_texts(spark):
     """Many texts of few letters, of any similarity, against brute force."""
     r = random.Random(13)
@@ -164,8 +259,8 @@ def test_middle_of_long_lists(spark, monkeypatch):
     rows += [(200 + i, None, edited(r, rows[i][2], 2)) for i in range(40, 120, 8)]
     want = {(i, 200 + i) for i in range(40, 120, 8)}
     assert want == rejected(rows[:160], rows[160:])
-    df = spark.createDataFrame(rows, "seq bigint, id string, content string")
-    for most in (incremental.LIST, 16):
-        monkeypatch.setattr(incremental, "LIST", most)
+    df = spark.createDataFrame(rows, "seq bigint, id string, content string").withColumn("batch_no", F.lit(1))
+    for most in (index.LIST, 16):
+        monkeypatch.setattr(index, "LIST", most)
         got = {tuple(x) for x in incremental.rejected(df.where("seq < 200"), df.where("seq >= 200")).collect()}
         assert got == want
