@@ -23,23 +23,29 @@ def points_from_list(x: Column) -> Column:
 
 
 def difficulty(x: Column) -> Column:
-    """A whole number from 1 to 5; 3 for anything else. Text must be a whole number, white space around it allowed."""
-    t = u_trim(x.cast("string"))
-    n = F.when(t.rlike(r"^[+-]?[0-9]{1,9}$"), t.try_cast("int"))
+    """A whole number from 1 to 5; 3 for anything else. Numbers lose their fraction; text must be a whole number, white space
+    around it allowed."""
+    t, kind = u_trim(x.cast("string")), F.typeof(x)
+    plain = F.when(t.rlike(r"^[+-]?[0-9]{1,9}$"), t.try_cast("int"))
+    v = x.try_cast("double")
+    whole = F.when(F.abs(v) < 1e9, F.when(v < 0, F.ceil(v)).otherwise(F.floor(v)).cast("int"))
+    n = F.when(kind.isin("double", "float", "boolean") | kind.startswith("decimal"), whole).otherwise(plain)
     return F.when(n.between(*DIFFICULTY_RANGE), n).otherwise(DIFFICULTY)
 
 
 def json_items(x: Column, schema: str = ITEM) -> Column:
     """The array of objects in a reply: fences are dropped, the text from the first [ to the last ] is read with straight
-    quotes and without trailing commas; if that fails, each flat object that can be read alone. [] if there is none."""
+    quotes and without trailing commas; if that fails, the text from the first [ with a ] added; if that fails as well, each
+    flat object that can be read alone. [] if there is none."""
     bare = F.regexp_replace(x, r"```(?:json)?", "")
-    body = F.regexp_extract(bare, r"(?s)(\[.*\])", 1)
-    body = F.regexp_replace(F.translate(body, "“”‘’", "\"\"''"), r",\s*([}\]])", "$1")
+    tidy = lambda s: F.regexp_replace(F.translate(s, "“”‘’", "\"\"''"), r",\s*([}\]])", "$1")
     one = schema.removeprefix("array<").removesuffix(">")
-    whole = F.filter(F.from_json(body, schema), lambda s: s.isNotNull())
+    read = lambda s: F.filter(F.from_json(tidy(s), schema), lambda r: r.isNotNull())
+    whole = read(F.regexp_extract(bare, r"(?s)(\[.*\])", 1))
+    closed = read(F.concat(F.regexp_replace(F.regexp_extract(bare, r"(?s)(\[.*)", 1), r"[,\s]+$", ""), F.lit("]")))
     salvaged = F.filter(F.transform(F.regexp_extract_all(bare, F.lit(r"(\{[^{}]*\})"), 1), lambda s: F.from_json(s, one)), lambda s: s["content"].isNotNull())
-    ok = F.exists(F.coalesce(whole, F.array().cast(schema)), lambda s: s["content"].isNotNull())
-    return F.coalesce(F.when(ok, whole), salvaged, F.array().cast(schema))
+    ok = lambda items: F.exists(F.coalesce(items, F.array().cast(schema)), lambda s: s["content"].isNotNull())
+    return F.coalesce(F.when(ok(whole), whole), F.when(ok(closed), closed), salvaged, F.array().cast(schema))
 
 
 def first_object(x: Column, schema: str) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Iterator
 from typing import Protocol
 
@@ -54,6 +56,43 @@ def asked(rows: DataFrame, prompt: Column, provider: TextProvider, size: int = 6
     return rows.withColumn("_prompt", prompt).mapInPandas(run, f"{schema}, {ANSWER}")
 
 
+def asked_by_ordinal(rows: DataFrame, doc: str, at: str, item: Column, head: str, provider: TextProvider, size: int = 20) -> DataFrame:
+    """rows with reply: one prompt asks about up to `size` records of a document, in order, a line each (ordinal, tab, item
+    without line ends), and is answered by a JSON array of objects with an index. reply is the row's object as JSON, empty
+    text if the answer lacks its index, and NULL if there is no answer that can be read."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+
+    def objects(answer: str | None) -> dict[int, dict] | None:
+        try:
+            found = json.loads(re.search(r"\[.*\]", answer or "", re.DOTALL)[0])
+            return {int(r.get("index", n)): r for n, r in enumerate(found, 1)}
+        except (TypeError, ValueError, AttributeError):
+            return None
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            docs, items = pdf[doc].tolist(), pdf["_item"].tolist()
+            cuts, begin = [], 0
+            for i in range(1, len(items) + 1):
+                if i == len(items) or docs[i] != docs[begin] or i - begin == size:
+                    cuts.append((begin, i))
+                    begin = i
+            prompts = [head + "\n" + "\n".join(f"{n}\t{t or ''}" for n, t in enumerate(items[a:b], 1)) for a, b in cuts]
+            try:
+                answers = provider.generate(prompts)
+            except Exception:
+                answers = [None] * len(prompts)
+            reply = []
+            for (a, b), answer in zip(cuts, answers, strict=True):
+                got = objects(answer)
+                reply += [None if got is None else json.dumps(got[n], ensure_ascii=False) if n in got else "" for n in range(1, b - a + 1)]
+            yield pdf.drop(columns="_item").assign(reply=reply)
+
+    line = F.regexp_replace(item, r"[\r\n\t]+", " ")
+    ordered = rows.withColumn("_item", line).repartitionByRange(doc, at).sortWithinPartitions(doc, at)
+    return ordered.mapInPandas(run, f"{schema}, reply string")
+
+
 def typed_records(rows: DataFrame, content: str = "content", boilerplate: str = "heuristic") -> DataFrame:
     """rows with question_type, and without instructions (boilerplate heuristic; off keeps them)."""
     kept = rows.where(~is_instruction(F.col(content))) if boilerplate == "heuristic" else rows

@@ -164,6 +164,7 @@ def meaningful_ratio(x: Column) -> Column:
     return F.regexp_count(x, F.lit(r"[A-Za-z0-9\x{4e00}-\x{9fa5}]")) / F.greatest(F.length(x), F.lit(1))
 
 
-def image_links(x: Column, base: str = "") -> Column:
-    """Markdown images as HTML ones, with base before the path."""
-    return F.regexp_replace(x, r"!\[([^\]]*)\]\(([^)]+)\)", f'<img src="{base}$2" alt="$1" style="max-width: 100%; height: auto;" />')
+def image_links(x: Column) -> Column:
+    """The Markdown images of a text, in order: (whole, alt, path)."""
+    got = F.regexp_extract_all(x, F.lit(r"!\[[^\]]*\]\([^)]+\)"), 0)
+    return F.transform(got, lambda s: F.struct(s.alias("whole"), F.regexp_extract(s, r"!\[([^\]]*)\]", 1).alias("alt"), F.regexp_extract(s, r"\]\(([^)]+)\)", 1).alias("path")))

@@ -66,13 +66,13 @@ def newest_first(log: DataFrame, offset: int = 0, limit: int = 50, seq: str = "s
 
 def is_scanned(pages: DataFrame, doc: str = "doc_hash", page: str = "page_no", text: str = "content", head: int = 3) -> DataFrame:
     """(doc, chars, ratio, scanned): by the first pages, whether a document has no text layer worth reading: a placeholder,
-    under 100 characters, or under a fifth of meaningful ones on average over pages that aren't blank."""
+    under 100 characters (without white space at either end), or under a fifth of meaningful ones, of all characters of a
+    page, on average over pages that aren't empty. Pages of white space count as meaningless ones."""
     from inkstone.functions.text import meaningful_ratio
 
-    t = u_trim(F.coalesce(text, F.lit("")))
-    rows = pages.where(F.col(page).between(1, head)).select(F.col(doc).alias("doc"), t.alias("t"))
+    rows = pages.where(F.col(page).between(1, head)).select(F.col(doc).alias("doc"), F.coalesce(text, F.lit("")).alias("t"))
     n = rows.groupBy("doc").agg(
-        F.sum(F.length("t")).alias("chars"), F.coalesce(F.avg(F.when(F.col("t") != "", meaningful_ratio(F.col("t")))), F.lit(0.0)).alias("ratio"),
+        F.sum(F.length(u_trim(F.col("t")))).alias("chars"), F.coalesce(F.avg(F.when(F.col("t") != "", meaningful_ratio(F.col("t")))), F.lit(0.0)).alias("ratio"),
         F.bool_or(F.col("t").rlike(r"\{#\{[^}]*\}#\}")).alias("placeholder"),
     )
     return n.select(F.col("doc").alias(doc), "chars", F.round("ratio", 5).alias("ratio"), (F.col("placeholder") | (F.col("chars") < 100) | (F.col("ratio") < 0.2)).alias("scanned"))

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkstone.functions import coerce, meta, text, vector
-from inkstone.functions.providers import enriched, needs_enrichment, typed_records
+from inkstone.functions.providers import asked, enriched, needs_enrichment, typed_records
 from inkstone.operators import analytics, dedupe, filters, render, search, segment
 from inkstone.plans import extraction, oracle
+from inkstone.plans.canned import Canned
 from inkstone.session import spread, table, written
 from inkstone.sources import exchange, logs, store
 from inkstone.sources.documents import flattened
@@ -43,7 +44,10 @@ def meta_filter(s: SparkSession, d: str) -> DataFrame:
 
 
 def meta_filter_id(s: SparkSession, d: str) -> DataFrame:
-    return questions(s, d).where(filters.meta_filter({"grade": "初一", "exam_name": "期中", "id": ""})).select("seq", "id")
+    """By the id of the first record of a grade, with that grade."""
+    q = questions(s, d)
+    first = q.where(filters.meta_filter({"grade": "初"})).where("id is not null").orderBy("seq").select("id").first()
+    return q.where(filters.meta_filter({"grade": "初", "exam_name": " ", "id": first[0] if first else "none"})).select("seq", "id")
 
 
 def match_total(s: SparkSession, d: str) -> DataFrame:
@@ -123,6 +127,11 @@ def _staged(s: SparkSession, d: str) -> DataFrame:
     return dedupe.staged(batch, stored, similar=written(similar.select("seq"), "similar"))
 
 
+def dedupe_first_stages(s: SparkSession, d: str) -> DataFrame:
+    """The first two stages, by key and by stored id."""
+    return dedupe.staged(table(s, d, "incoming_records"), questions(s, d))
+
+
 def dedupe_report(s: SparkSession, d: str) -> DataFrame:
     return dedupe.report(_staged(s, d))
 
@@ -340,6 +349,52 @@ def provider_extraction(s: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", F.col("index").alias("record_no"), F.md5("content").alias("content_md5"), "question_type")
 
 
+def _chunk_replies(s: SparkSession, d: str) -> DataFrame:
+    rows = segment.chunks(documents(s, d)).drop("text")
+    return asked(rows, F.concat(F.lit("提取题目，返回JSON数组。\n"), F.col("chunk")), Canned()).select("doc_id", "chunk_no", F.col("answer.value").alias("reply"))
+
+
+def provider_replies(s: SparkSession, d: str) -> DataFrame:
+    """Records of a provider's answers by chunk, some of which are cut off or broken."""
+    rows = extraction.records_from_replies(_chunk_replies(s, d), "doc_id")
+    return rows.select("doc_id", "seq", "content", "question_type", F.array_join("knowledge_points", "|").alias("points"), "difficulty")
+
+
+def provider_types(s: SparkSession, d: str) -> DataFrame:
+    return extraction.with_types(questions(s, d).select("seq", "content").where("content is not null"), Canned()).select("seq", "question_type")
+
+
+def provider_types_together(s: SparkSession, d: str) -> DataFrame:
+    return extraction.types_together(questions(s, d).select("doc_hash", "seq", "content"), Canned(), "doc_hash", "seq").select("seq", "question_type")
+
+
+def provider_instructions(s: SparkSession, d: str) -> DataFrame:
+    rows = questions(s, d).select("doc_hash", "seq", "content").where("content is not null")
+    one = extraction.without_instructions(rows, Canned()).select("seq", F.lit("kept").alias("asked"))
+    many = extraction.instructions_together(rows, Canned(), "doc_hash", "seq").where("not instruction").select("seq", F.lit("kept together").alias("asked"))
+    return one.unionByName(many)
+
+
+def provider_enrichment(s: SparkSession, d: str) -> DataFrame:
+    rows = questions(s, d).select("doc_hash", "seq", "content", F.coalesce("knowledge_points", F.array().cast("array<string>")).alias("knowledge_points"), "difficulty")
+    out = extraction.enriched_by_provider(rows, Canned(), "doc_hash", "seq")
+    return out.select("seq", F.array_join("knowledge_points", "|").alias("points"), "difficulty")
+
+
+def provider_metadata(s: SparkSession, d: str) -> DataFrame:
+    """Metadata by rules, completed by a provider where a rule is unsure."""
+    rows = meta.with_report(documents(s, d), "text").withColumn("head", F.coalesce(F.substring("text", 1, 40), F.lit("")))
+    return extraction.meta_with_provider(rows, Canned()).select("doc_id", "meta.region", "meta.year", "meta.grade", "asked")
+
+
+def provider_recovery(s: SparkSession, d: str) -> DataFrame:
+    """Numbers without a kept record, as a provider finds them."""
+    docs = documents(s, d)
+    parts = segment.segments(docs).select("doc_id", "segment", text.number_in_upload(F.col("segment")).try_cast("bigint").alias("number"))
+    gap = segment.missing_numbers(docs, parts.where(text.is_complete(F.col("segment"))), "doc_id")
+    return extraction.recovered_by_provider(docs, gap, Canned(), "doc_id").select("doc_id", "number", "content", "difficulty")
+
+
 def merge_by_number(s: SparkSession, d: str) -> DataFrame:
     out = segment.merged_by_number(table(s, d, "incoming_records").where("doc_hash is not null"))
     return out.select("doc_hash", "number", "seq", F.md5("content").alias("content_md5"), "index")
@@ -353,7 +408,7 @@ def kp_coercion(s: SparkSession, d: str) -> DataFrame:
 
 
 def difficulty_clamp(s: SparkSession, d: str) -> DataFrame:
-    return questions(s, d).select("seq", coerce.difficulty(F.col("difficulty")).alias("level"), coerce.difficulty(F.concat(F.lit(" "), F.col("difficulty").cast("string"), F.when(F.col("seq") % 7 == 0, ".5").otherwise(""))).alias("from_text"))
+    return questions(s, d).select("seq", coerce.difficulty(F.col("difficulty")).alias("level"), coerce.difficulty(F.concat(F.lit(" "), F.col("difficulty").cast("string"), F.when(F.col("seq") % 7 == 0, ".5").otherwise(""))).alias("from_text"), coerce.difficulty(F.col("difficulty") * F.lit(0.75)).alias("from_number"))
 
 
 def enrichment_gate(s: SparkSession, d: str) -> DataFrame:
@@ -361,10 +416,18 @@ def enrichment_gate(s: SparkSession, d: str) -> DataFrame:
 
 
 def json_array_parse(s: SparkSession, d: str) -> DataFrame:
-    """Each event's object as a one-element reply, fenced and with a trailing comma."""
-    reply = F.concat(F.lit("```json\n["), F.regexp_replace("props", r"\}$", ',"content":"x",}'), F.lit(",]\n```"))
+    """Each event's object in replies of five shapes: fenced with trailing commas, without the closing bracket, with a broken
+    object between, without any, and with curly quotes around words."""
+    one = F.regexp_replace("props", r"\}$", ',"content":"x"}')
+    shape = F.col("event_id") % 5
+    reply = (
+        F.when(shape == 0, F.concat(F.lit("```json\n["), F.regexp_replace("props", r"\}$", ',"content":"x",}'), F.lit(",]\n```")))
+        .when(shape == 1, F.concat(F.lit("结果：["), one, F.lit(", "), one, F.lit(", ")))
+        .when(shape == 2, F.concat(F.lit("["), one, F.lit(', {"content": "y", oops}, '), one, F.lit("]")))
+        .when(shape == 3, F.lit("没有题目")).otherwise(F.translate(F.concat(F.lit("["), one, F.lit(","), one, F.lit("]")), '"', "”"))
+    )
     items = coerce.json_items(reply, "array<struct<content:string,k:bigint>>")
-    return table(s, d, "events").select("event_id", F.size(items).alias("n"), items[0]["k"].alias("k"))
+    return table(s, d, "events").select("event_id", F.size(items).alias("n"), F.get(items, 0)["k"].alias("k"))
 
 
 def history_page(s: SparkSession, d: str) -> DataFrame:
@@ -394,9 +457,12 @@ def flat_metadata(s: SparkSession, d: str) -> DataFrame:
 
 
 def image_link_rewrite(s: SparkSession, d: str) -> DataFrame:
-    link = F.concat(F.coalesce("content", F.lit("")), F.lit(" ![图"), F.col("row_id"), F.lit("]("), F.coalesce(F.col("images")[0], F.lit("none.png")), F.lit(")"))
+    """Every image of a sheet as a link in its text; those that the even rows name are files."""
     rows = table(s, d, "assignment_rows").where("size(images) > 0")
-    return rows.select("row_id", F.md5(text.image_links(link, "/files")).alias("html_md5"))
+    link = F.array_join(F.transform("images", lambda p, i: F.concat(F.lit(" ![图"), i, F.lit("]("), p, F.lit(")"))), "")
+    listing = rows.where("row_id % 2 = 0").select(F.explode("images").alias("path")).select(F.concat(F.lit("/data"), "path").alias("path")).distinct()
+    shown = exchange.shown_images(rows.select("row_id", F.concat(F.coalesce("content", F.lit("")), link).alias("text")), listing, "row_id", "text")
+    return shown.select("row_id", F.md5("text").alias("html_md5"))
 
 
 def image_paths(s: SparkSession, d: str) -> DataFrame:
@@ -414,6 +480,10 @@ def handout_render(s: SparkSession, d: str) -> DataFrame:
     return render.handout(_parts(s, d), "数列与概率")
 
 
+def handout_html(s: SparkSession, d: str) -> DataFrame:
+    return handout_render(s, d).select(F.md5(render.markdown_html(F.col("markdown"))).alias("html_md5"))
+
+
 def queries() -> dict[str, Query]:
     found = {n: f for n, f in globals().items() if callable(f) and getattr(f, "__module__", "") == __name__ and n[0] != "_"}
     return {n: f for n, f in found.items() if n not in ("queries", "oracle_sql", "questions", "documents")}

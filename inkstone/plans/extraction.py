@@ -5,17 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkstone.functions.coerce import difficulty, first_array, first_object, json_items, points_from_text
+from inkstone.functions.coerce import difficulty, first_array, first_object, json_items, points_from_list, points_from_text
 from inkstone.functions.meta import FIELDS, needs_provider, surer
-from inkstone.functions.providers import TextProvider, asked
+from inkstone.functions.providers import TextProvider, asked, asked_by_ordinal, needs_enrichment
 from inkstone.functions.text import is_instruction, kept_after_extraction, kept_in_chunk, normal_form, number_in_record, number_in_upload, record_type
 from inkstone.operators.dedupe import first_wins
 from inkstone.operators.segment import chunks, missing_numbers, recovered, segments
+from inkstone.session import written
 
 #: Answers that mean yes, and words by which an answered type is told.
 YES = ("是", "yes", "true")
 TYPES = {"选择题": ("选择", "单选", "多选"), "填空题": ("填空", "填", "空"), "解答题": ("解答", "应用", "证明", "计算", "求解")}
-PREVIEW_TYPE, PREVIEW_INSTRUCTION = 500, 300
+PREVIEW_TYPE, PREVIEW_INSTRUCTION, PREVIEW_TOGETHER, PREVIEW_ENRICH = 500, 300, 200, 1200
 META_REPLY = "region string, year string, grade string, exam_name string, source_type string"
 
 
@@ -57,6 +58,49 @@ def without_instructions(rows: DataFrame, provider: TextProvider | None, content
     return got.where(~said).drop("answer")
 
 
+def types_together(rows: DataFrame, provider: TextProvider, doc: str, at: str, content: str = "content") -> DataFrame:
+    """rows with question_type, asked about together: what the answer says, unknown where it leaves a row out, by the rules
+    where there is no answer."""
+    got = asked_by_ordinal(rows, doc, at, F.substring(content, 1, PREVIEW_TOGETHER), "各题题型？返回JSON数组。", provider)
+    said = F.coalesce(F.get_json_object(F.when(F.col("reply") != "", F.col("reply")), "$.question_type"), F.lit("未知题型"))
+    return got.withColumn("question_type", F.when(F.col("reply").isNull(), record_type(F.col(content))).otherwise(said)).drop("reply")
+
+
+def instructions_together(rows: DataFrame, provider: TextProvider, doc: str, at: str, content: str = "content") -> DataFrame:
+    """rows with instruction, asked about together: false where the answer leaves a row out, by the rules without an answer."""
+    got = asked_by_ordinal(rows, doc, at, F.substring(content, 1, PREVIEW_TOGETHER), "各段是否为试卷说明？返回JSON数组。", provider)
+    said = F.coalesce(F.get_json_object(F.when(F.col("reply") != "", F.col("reply")), "$.is_instruction") == "true", F.lit(False))
+    return got.withColumn("instruction", F.when(F.col("reply").isNull(), is_instruction(F.col(content))).otherwise(said)).drop("reply")
+
+
+def enriched_by_provider(rows: DataFrame, provider: TextProvider, doc: str, at: str, content: str = "content") -> DataFrame:
+    """rows with knowledge_points and difficulty by the provider, for all records of a document if any of them lacks points or
+    has the default difficulty. What the answer leaves out stays as it is."""
+    need = needs_enrichment(rows, doc)
+    gated = rows.join(need, rows[doc].eqNullSafe(need[doc])).drop(need[doc])
+    got = asked_by_ordinal(gated.where("needed").drop("needed"), doc, at, F.substring(F.trim(content), 1, PREVIEW_ENRICH), "各题知识点和难度？返回JSON数组。", provider)
+    one = F.from_json(F.when(F.col("reply") != "", F.col("reply")), "knowledge_points array<string>, difficulty string")
+    got = got.withColumn("_said", one).withColumns({
+        "knowledge_points": F.when(F.col("_said").isNotNull(), points_from_list(F.col("_said.knowledge_points"))).otherwise(F.col("knowledge_points")),
+        "difficulty": F.when(F.col("_said").isNotNull(), difficulty(F.col("_said.difficulty"))).otherwise(F.col("difficulty")),
+    })
+    return got.drop("_said", "reply").unionByName(gated.where("not needed").drop("needed"))
+
+
+def recovered_by_provider(docs: DataFrame, gap: DataFrame, provider: TextProvider, doc: str = "doc_hash", text: str = "text") -> DataFrame:
+    """(doc, number, content, question_type, knowledge_points, difficulty): records of missing numbers, gap (doc, number), that
+    the provider finds in the document. Others that it names are left out; of several with one number all stay."""
+    lacking = gap.groupBy(doc).agg(F.array_join(F.array_sort(F.collect_set("number")), ",").alias("_numbers"))  # at most NUMBER_LIMIT
+    got = asked(docs.select(doc, text).join(lacking, doc), F.concat(F.lit("补题，返回JSON数组。\n"), "_numbers", F.lit("\n"), text), provider)
+    rows = got.select(doc, F.posexplode(json_items(F.col("answer.value"))).alias("at", "r")).select(
+        doc, "at", F.trim("r.content").alias("content"), F.col("r.question_type").alias("said"),
+        points_from_text(F.regexp_replace("r.knowledge_points", r'[\[\]"]', "")).alias("knowledge_points"), difficulty(F.col("r.difficulty")).alias("difficulty"),
+    )
+    rows = rows.withColumn("number", number_in_record(F.col("content")).try_cast("bigint")).join(gap, [doc, "number"], "left_semi")
+    kind = F.coalesce(F.when(~F.col("said").isin("", "未知题型"), F.col("said")), record_type(F.col("content")))
+    return rows.select(doc, "number", "at", "content", kind.alias("question_type"), "knowledge_points", "difficulty")
+
+
 def records_from_replies(replies: DataFrame, doc: str = "doc_hash", reply: str = "reply") -> DataFrame:
     """(doc, seq, content, question_type, knowledge_points, difficulty): the records in JSON replies (doc, chunk_no, reply), in
     order of chunk and place, coerced, of sufficient length, the first of equal normal forms."""
@@ -74,19 +118,22 @@ def records_from_replies(replies: DataFrame, doc: str = "doc_hash", reply: str =
 def extract_with_provider(docs: DataFrame, provider: TextProvider, doc: str = "doc_hash", text: str = "text", fallback: bool = True) -> DataFrame:
     """(doc, seq, content, question_type, knowledge_points, difficulty, index) of documents (doc, text).
 
-    The provider is asked by overlapping chunks; record numbers that the text has and the replies lack are recovered from
-    the numbered segments (the last one of a number); incomplete records go. A document without any record falls back to
-    its segments. index counts from 1.
+    The provider is asked by overlapping chunks, and whether what it gives are instructions; for record numbers that the text
+    has and the replies lack it is asked once more; a document where that finds none has them recovered from the numbered
+    segments (the last one of a number); incomplete records go. A document without any record falls back to its segments.
+    index counts from 1.
     """
     asked_ = asked(chunks(docs.select(doc, text), text).drop(text), F.concat(F.lit("提取题目，返回JSON数组。\n"), F.col("chunk")), provider)
-    got = records_from_replies(asked_.select(doc, "chunk_no", F.col("answer.value").alias("reply")), doc)
+    got = written(without_instructions(records_from_replies(asked_.select(doc, "chunk_no", F.col("answer.value").alias("reply")), doc), provider), "replies")
     parts = segments(docs.select(doc, text), text).select(doc, F.col("segment_no").alias("seq"), F.col("segment").alias("content"), number_in_upload(F.col("segment")).try_cast("bigint").alias("number"))
     have = got.select(doc, number_in_record(F.col("content")).try_cast("bigint").alias("number"))
-    gap = missing_numbers(docs, have, doc, text)
+    gap = missing_numbers(docs, have, doc, text).join(got.select(doc).distinct(), doc, "left_semi")
+    said = written(recovered_by_provider(docs, gap, provider, doc, text), "recovered")
     blank = F.array().cast("array<string>").alias("knowledge_points"), F.lit(3).alias("difficulty")
     late = F.lit(1).cast("bigint") * (1 << 62)
-    found = recovered(gap, parts.where("number is not null"), doc).join(got.select(doc).distinct(), doc, "left_semi")
-    rows = got.unionByName(found.select(doc, (late + F.col("seq")).alias("seq"), "content", record_type(F.col("content")).alias("question_type"), *blank))
+    found = recovered(gap.join(said.select(doc).distinct(), doc, "left_anti"), parts.where("number is not null"), doc)
+    rows = got.unionByName(said.select(doc, (late + F.col("at")).alias("seq"), "content", "question_type", "knowledge_points", "difficulty"))
+    rows = rows.unionByName(found.select(doc, (late + F.col("seq")).alias("seq"), "content", record_type(F.col("content")).alias("question_type"), *blank))
     rows = rows.where(kept_after_extraction(F.col("content")))
     if fallback:
         rest = parts.join(rows.select(doc).distinct(), doc, "left_anti")

@@ -159,6 +159,10 @@ def sub(x: str) -> str:
     return rf"coalesce(regexp_matches({trim(x)}, '^\({S}*{D}+{S}*\)'), false)"
 
 
+def one_line(x: str) -> str:
+    return rep(x.replace("{0}", "''"), "[\\r\\n\\t]+", " ")
+
+
 def kept(x: str) -> str:
     return f"({complete(x)} OR coalesce({number_record(x)} IS NOT NULL AND length({trim(x)}) >= 20, false))"
 
@@ -203,16 +207,13 @@ def sql() -> dict[str, str]:
         + " || ".join(f"CASE WHEN coalesce({c}, '') <> '' THEN '<div class=\"answer\"><strong>{n}：</strong>' || {c} || '</div>' ELSE '' END" for n, c in (("答案", "answer"), ("解析", "solution")))
         + " || '</div>'"
     )
-    style = (
-        "<style>body { font-family: ''SimSun'', serif; padding: 20px; }h1 { text-align: center; }.question { margin-bottom: 30px; }"
-        ".answer { margin-top: 10px; padding: 10px; background: #f0f0f0; }</style>"
-    )
+    style = "<style>body{max-width:46rem;margin:2rem auto;line-height:1.7}h1{font-size:1.4rem}.question{border-top:1px solid #ccc}.answer{border-left:3px solid #888;padding-left:.6rem}</style>"
     points = rf"list_filter(list_transform(regexp_split_to_array(array_to_string(knowledge_points, '、'), '[\n,，、;；]+'), lambda s: {trim('s')}), lambda s: s <> '')"
     form = question("c")
     return {
         "scan_page_query": "SELECT seq, id, question_type, coalesce(array_to_string(knowledge_points, '|'), '') AS points, coalesce(difficulty, 3) AS difficulty, source_meta.region AS region, substr(content, 1, 200) AS content_preview FROM questions ORDER BY seq LIMIT 20 OFFSET 40",
         "meta_filter": f"SELECT seq, id, source_meta.region AS region, source_meta.source_type AS source_type FROM questions WHERE {flt}",
-        "meta_filter_id": f"SELECT seq, id FROM questions WHERE {meta_text('grade', '初一')} AND {meta_text('exam_name', '期中')}",
+        "meta_filter_id": f"SELECT seq, id FROM questions WHERE {meta_text('grade', '初')} AND id = (SELECT arg_min(id, seq) FROM questions WHERE id IS NOT NULL AND {meta_text('grade', '初')})",
         "match_total": f"SELECT count(*) FILTER ({flt}) AS matched, count(*) AS total FROM questions",
         "retrieval_filter": f"SELECT seq, difficulty FROM questions WHERE {retrieval(2, 4)}",
         "retrieval_filter_empty": "SELECT seq, difficulty FROM questions WHERE false",
@@ -227,9 +228,7 @@ def sql() -> dict[str, str]:
         "existing_ids_semi": "SELECT seq, id FROM incoming_records WHERE id IN (SELECT id FROM questions WHERE id IS NOT NULL)",
         "new_ids_anti": "SELECT seq, id FROM incoming_records i WHERE NOT EXISTS (SELECT 1 FROM questions q WHERE q.id = i.id)",
         "insert_dedupe": "SELECT seq, id FROM (SELECT seq, id, row_number() OVER (PARTITION BY id ORDER BY seq) AS r FROM incoming_records i WHERE NOT EXISTS (SELECT 1 FROM questions q WHERE q.id = i.id)) WHERE r = 1 OR id IS NULL",
-        "dedupe_report": staged + " SELECT count(*) AS extracted_total, count(*) FILTER (reason IS DISTINCT FROM 'internal_exact') AS after_internal_exact, count(*) FILTER (reason IS NULL) AS after_db_existing_id, "
-        "count(*) FILTER (reason IS NULL) AS after_similarity, count(*) FILTER (reason = 'internal_exact') AS internal_exact, count(*) FILTER (reason = 'db_existing_id') AS db_existing_id, 0::bigint AS similarity FROM t",
-        "dedupe_rejects": staged + " SELECT seq, id, reason, substr(content, 1, 160) AS content_preview FROM t WHERE reason IS NOT NULL",
+        "dedupe_first_stages": staged + " SELECT seq, id, reason FROM t",
         "knn_top10_cosine": top(10, "true", cosine("embedding", "qv", 64), "embeddings", "vec_id"),
         "knn_top3_l2": f"WITH p AS (SELECT a.vec_id AS query_id, b.vec_id AS neighbour_id, {close('a.embedding', 'b.embedding', 64)} AS s FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0), "
         "r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 12) DESC, neighbour_id)::int AS rank FROM p) SELECT query_id, neighbour_id, round(s, 5) AS similarity, rank FROM r WHERE rank <= 3",
@@ -243,6 +242,11 @@ def sql() -> dict[str, str]:
         "examples_practice_split": parts + " SELECT part, number::int AS number, seq, round(sim, 5) AS similarity FROM b",
         "handout_render": parts + ", x AS (SELECT part, string_agg('**' || CASE part WHEN 'example' THEN '例' ELSE '练习' END || number || '** （难度 ' || coalesce(difficulty, 3) || '/5）' || chr(10) || coalesce(content, ''), chr(10) || chr(10) ORDER BY number) AS t FROM b GROUP BY part) "
         "SELECT '# 数列与概率' || chr(10) || chr(10) || string_agg('## ' || CASE part WHEN 'example' THEN '例题' ELSE '练习' END || chr(10) || chr(10) || t, chr(10) || chr(10) ORDER BY part) AS markdown FROM x",
+        "handout_html": parts + ", x AS (SELECT part, string_agg('**' || CASE part WHEN 'example' THEN '例' ELSE '练习' END || number || '** （难度 ' || coalesce(difficulty, 3) || '/5）' || chr(10) || coalesce(content, ''), chr(10) || chr(10) ORDER BY number) AS t FROM b GROUP BY part), "
+        "y AS (SELECT '# 数列与概率' || chr(10) || chr(10) || string_agg('## ' || CASE part WHEN 'example' THEN '例题' ELSE '练习' END || chr(10) || chr(10) || t, chr(10) || chr(10) ORDER BY part) AS t FROM x), "
+        r"z AS (SELECT list_filter(regexp_split_to_array(regexp_replace(t, '\*\*([^*]+)\*\*', '<b>\1</b>', 'g'), '\n{2,}'), lambda s: s <> '') AS l FROM y) "
+        "SELECT md5(array_to_string(list_transform(l, lambda s: CASE WHEN starts_with(s, '# ') THEN '<h1>' || s[3:] || '</h1>' WHEN starts_with(s, '## ') THEN '<h2>' || s[4:] || '</h2>' "
+        "ELSE '<p>' || replace(s, chr(10), '<br>') || '</p>' END), chr(10))) AS html_md5 FROM z WHERE l IS NOT NULL",
         "delete_dry_run": f"SELECT count(*) FILTER ({meta_text('region', '云滩')}) AS matched, count(*) FILTER (NOT {meta_text('region', '云滩')}) AS remaining, "
         f"(SELECT string_agg(id, '|' ORDER BY seq) FROM (SELECT id, seq FROM questions WHERE id IS NOT NULL AND {meta_text('region', '云滩')} ORDER BY seq LIMIT 5)) AS sample FROM questions",
         "delete_remaining": f"SELECT seq, id FROM questions WHERE NOT ({meta_text('region', '云滩')} AND {meta_text('grade', '初')})",
@@ -253,10 +257,10 @@ def sql() -> dict[str, str]:
         "normalize_text": f"SELECT seq, {normal('content')} AS normal, {question('content')} AS question FROM questions",
         "cjk_space_merge": f"SELECT rec_id, md5({ideographs('content')}) AS joined FROM scanned_records",
         "text_quality_ratio": r"SELECT doc_id, round(len(regexp_extract_all(text, '[A-Za-z0-9\x{4e00}-\x{9fa5}]')) / greatest(length(text), 1), 5) AS ratio FROM documents",
-        "scanned_detector": rf"WITH t AS (SELECT doc_hash, {trim("coalesce(content, '')")} AS t FROM scanned_records WHERE page_no BETWEEN 1 AND 3), "
-        r"r AS (SELECT doc_hash, sum(length(t))::bigint AS chars, coalesce(avg(CASE WHEN t <> '' THEN len(regexp_extract_all(t, '[A-Za-z0-9\x{4e00}-\x{9fa5}]')) / length(t) END), 0) AS ratio, bool_or(regexp_matches(t, '\{#\{[^}]*\}#\}')) AS p FROM t GROUP BY 1) "
-        "SELECT doc_hash, chars, round(ratio, 5) AS ratio, p OR chars < 100 OR ratio < 0.2 AS scanned FROM r",
-        "pages_flattened": "WITH p AS (SELECT doc_hash, page_no, arg_min(coalesce(content, ''), rec_id) AS c FROM scanned_records GROUP BY 1, 2), "
+        "scanned_detector": rf"WITH t AS (SELECT doc_hash, coalesce(content, '') AS t FROM scanned_records WHERE page_no BETWEEN 1 AND 3), "
+        rf"r AS (SELECT doc_hash, sum(length({trim('t')}))::bigint AS chars, coalesce(avg(len(regexp_extract_all(t, '[A-Za-z0-9\x{{4e00}}-\x{{9fa5}}]')) / length(t)) FILTER (t <> ''), 0) AS ratio, "
+        r"bool_or(regexp_matches(t, '\{#\{[^}]*\}#\}')) AS p FROM t GROUP BY 1) SELECT doc_hash, chars, round(ratio, 5) AS ratio, p OR chars < 100 OR ratio < 0.2 AS scanned FROM r",
+        "pages_flattened": "WITH p AS (SELECT doc_hash, page_no, string_agg(coalesce(content, ''), chr(10) ORDER BY rec_id) AS c FROM scanned_records GROUP BY 1, 2), "
         "t AS (SELECT doc_hash, string_agg('--- 第 ' || page_no || ' 页 ---' || chr(10) || c, chr(10) ORDER BY page_no) AS t FROM p GROUP BY 1) SELECT doc_hash, length(t)::int AS n, md5(t) AS text_md5 FROM t",
         "question_number_a": f"SELECT seq, {number_record('content')} AS number FROM questions",
         "question_number_b": f"SELECT seq, {number_upload('content')} AS number FROM questions",
@@ -276,6 +280,26 @@ def sql() -> dict[str, str]:
         "m AS (SELECT doc_id, number FROM e WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.doc_id = e.doc_id AND g.number = e.number AND g.ok)) "
         "SELECT m.doc_id, m.number, max(g.segment_no)::int AS segment_no, md5(arg_max(g.segment, g.segment_no)) AS segment_md5 FROM m JOIN g ON g.doc_id = m.doc_id AND g.number = m.number GROUP BY 1, 2",
         "provider_extraction": SEGMENTS + f" SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY segment_no)::int AS record_no, md5(segment) AS content_md5, {kind('segment')} AS question_type FROM seg WHERE NOT {instruction('segment')} AND {kept('segment')}",
+        "provider_replies": "WITH c AS (SELECT doc_id, text, unnest(range(0, greatest(0, ceil((length(text) - 2000) / 1600.0))::bigint + 1)) AS k FROM documents), "
+        "m AS (SELECT doc_id, k, md5(substr(text, k * 1600 + 1, 2000)) AS m FROM c), h AS (SELECT *, ('0x' || m[1])::int % 3 AS kind FROM m), "
+        "r AS (SELECT doc_id, k << 32 AS seq, '1. 已知函数f(x)的值为' || m || '，求f(x)' AS content, m FROM h UNION ALL SELECT doc_id, (k << 32) + 1, '2. 若函数f(x)的值为' || m || '，求f(x)', m FROM h WHERE kind = 2) "
+        "SELECT doc_id, min(seq) AS seq, content, CASE WHEN any_value(m)[2] < '4' THEN '选择题' ELSE '解答题' END AS question_type, '函数|值' AS points, "
+        "CASE WHEN ('0x' || any_value(m)[3])::int % 7 BETWEEN 1 AND 5 THEN ('0x' || any_value(m)[3])::int % 7 ELSE 3 END AS difficulty FROM r GROUP BY doc_id, content",
+        "provider_types": f"SELECT seq, CASE md5(substr(content, 1, 500))[1] WHEN '0' THEN '选择题' WHEN '1' THEN '填空题' WHEN '2' THEN '解答题' ELSE {kind('content')} END AS question_type FROM questions WHERE content IS NOT NULL",
+        "provider_types_together": f"WITH m AS (SELECT seq, md5({one_line('substr(coalesce(content, {0}), 1, 200)')}) AS m FROM questions) "
+        "SELECT seq, CASE WHEN m[1] <= '3' THEN '未知题型' WHEN m[2] < '8' THEN '填空题' ELSE '证明题' END AS question_type FROM m",
+        "provider_instructions": f"WITH m AS (SELECT seq, content, md5(substr(content, 1, 300))[1] AS a, md5({one_line('substr(content, 1, 200)')}) AS m FROM questions WHERE content IS NOT NULL) "
+        f"SELECT seq, 'kept' AS asked FROM m WHERE NOT CASE a WHEN '0' THEN true WHEN '1' THEN false ELSE {instruction('content')} END UNION ALL SELECT seq, 'kept together' FROM m WHERE NOT (m[1] > '3' AND m[2] < '4')",
+        "provider_enrichment": f"WITH n AS (SELECT doc_hash, bool_or(len(coalesce(knowledge_points, [])) = 0 OR coalesce(difficulty, 3) = 3) AS needed FROM questions GROUP BY 1), "
+        f"m AS (SELECT seq, knowledge_points, difficulty, needed, md5({one_line('substr(trim(coalesce(content, {0})), 1, 1200)')}) AS m FROM questions q JOIN n ON q.doc_hash IS NOT DISTINCT FROM n.doc_hash) "
+        "SELECT seq, CASE WHEN needed AND m[1] > '3' THEN '函数|' || m[3] ELSE coalesce(array_to_string(knowledge_points, '|'), '') END AS points, "
+        "CASE WHEN NOT needed OR m[1] <= '3' THEN difficulty WHEN ('0x' || m[4])::int % 8 BETWEEN 1 AND 5 THEN ('0x' || m[4])::int % 8 ELSE 3 END AS difficulty FROM m",
+        "provider_metadata": TITLED + ", a AS (SELECT m.*, region IS NULL OR b.s IS NULL OR year IS NULL OR grade IS NULL AS asked, md5(coalesce(substr(d.text, 1, 40), '')) AS k FROM m LEFT JOIN b USING (doc_id) JOIN documents d USING (doc_id)) "
+        "SELECT doc_id, CASE WHEN asked AND k[1] < '8' THEN '青坡市' ELSE region END AS region, CASE WHEN asked AND year IS NULL AND k[3] < '8' THEN 2000 + ('0x' || k[2])::int ELSE year END AS year, "
+        "CASE WHEN asked AND grade IS NULL THEN '初三' ELSE grade END AS grade, asked FROM a",
+        "provider_recovery": nums + f", g AS (SELECT doc_id, try_cast({number_upload('segment')} AS bigint) AS number, {complete('segment')} AS ok FROM seg) "
+        "SELECT e.doc_id, e.number, e.number || '. 补回的题目，已知函数f(x)的值，求证：' || md5(d.text) AS content, CASE WHEN e.number % 7 BETWEEN 1 AND 5 THEN e.number % 7 ELSE 3 END::int AS difficulty "
+        "FROM e JOIN documents d USING (doc_id) WHERE e.number % 2 = 0 AND NOT EXISTS (SELECT 1 FROM g WHERE g.doc_id = e.doc_id AND g.number = e.number AND g.ok)",
         "image_paths": "WITH l AS (SELECT row_id, (generate_subscripts(images, 1) - 1)::int AS at0, unnest(images) AS path FROM assignment_rows), n AS (SELECT *, string_split(path, '/')[-1] AS n FROM l), "
         "f AS (SELECT n, min('/data' || path) AS resolved FROM n WHERE row_id % 2 = 0 GROUP BY 1) SELECT row_id, at0 AS \"at\", path, resolved FROM n LEFT JOIN f USING (n)",
         "merge_by_number": f"WITH b AS (SELECT doc_hash, seq, {trim('content')} AS t FROM incoming_records WHERE doc_hash IS NOT NULL), r AS (SELECT *, {number_record('t')} AS number, {normal('t')} AS f FROM b WHERE t <> ''), "
@@ -284,14 +308,17 @@ def sql() -> dict[str, str]:
         "o AS (SELECT g.doc_hash, g.number, g.bs AS seq, g.a0, g.bt || coalesce(chr(10) || x.e, '') AS content FROM g LEFT JOIN x ON g.doc_hash = x.doc_hash AND g.number = x.number UNION ALL SELECT doc_hash, NULL, seq, seq, t FROM r WHERE number IS NULL) "
         "SELECT doc_hash, number, seq, md5(content) AS content_md5, row_number() OVER (PARTITION BY doc_hash ORDER BY coalesce(try_cast(number AS bigint), 1000000000), number IS NULL, a0)::int AS \"index\" FROM o",
         "kp_coercion": f"SELECT seq, coalesce(array_to_string({points}, '|'), '') AS points FROM questions",
-        "difficulty_clamp": "SELECT seq, CASE WHEN difficulty BETWEEN 1 AND 5 THEN difficulty ELSE 3 END AS level, CASE WHEN difficulty BETWEEN 1 AND 5 AND seq % 7 <> 0 THEN difficulty ELSE 3 END AS from_text FROM questions",
+        "difficulty_clamp": "SELECT seq, CASE WHEN difficulty BETWEEN 1 AND 5 THEN difficulty ELSE 3 END AS level, CASE WHEN difficulty BETWEEN 1 AND 5 AND seq % 7 <> 0 THEN difficulty ELSE 3 END AS from_text, "
+        "CASE WHEN trunc(difficulty * 0.75::double) BETWEEN 1 AND 5 THEN trunc(difficulty * 0.75::double)::int ELSE 3 END AS from_number FROM questions",
         "enrichment_gate": f"SELECT doc_hash, bool_or(len(list_filter(list_transform(coalesce(knowledge_points, []), lambda s: {trim('s')}), lambda s: s <> '')) = 0 OR CASE WHEN difficulty BETWEEN 1 AND 5 THEN difficulty ELSE 3 END = 3) AS needed FROM questions GROUP BY 1",
-        "json_array_parse": "SELECT event_id, 1::int AS n, (props::json->>'k')::bigint AS k FROM events",
+        "json_array_parse": "SELECT event_id, CASE event_id % 5 WHEN 3 THEN 0 WHEN 0 THEN 1 ELSE 2 END::int AS n, CASE WHEN event_id % 5 <> 3 THEN (props::json->>'k')::bigint END AS k FROM events",
         "history_page": f"SELECT import_id, pdf_hash, extracted_total, added FROM {latest} ORDER BY import_id DESC LIMIT 50 OFFSET 10",
         "history_lines": "SELECT DISTINCT import_id, pdf_hash, added, meta_used.region AS region FROM import_history WHERE import_id % 5 <> 0",
         "import_totals": f"SELECT pdf_hash, count(*) AS imports, sum(extracted_total)::bigint AS extracted, sum(added)::bigint AS added, sum(duplicates_removed)::bigint AS removed FROM {latest} GROUP BY 1",
         "flat_metadata": "SELECT seq, coalesce(array_to_string(CASE WHEN array_to_string(knowledge_points, ',') = '' THEN [] ELSE string_split(array_to_string(knowledge_points, ','), ',') END, '|'), '') AS points, coalesce(difficulty, 3) AS difficulty, source_meta.region AS region, source_meta.year AS year FROM questions",
-        "image_link_rewrite": "SELECT row_id, md5(coalesce(content, '') || ' <img src=\"/files' || coalesce(images[1], 'none.png') || '\" alt=\"图' || row_id || '\" style=\"max-width: 100%; height: auto;\" />') AS html_md5 FROM assignment_rows WHERE len(images) > 0",
+        "image_link_rewrite": "WITH i AS (SELECT row_id, unnest(images) AS path FROM assignment_rows), f AS (SELECT string_split(path, '/')[-1] AS n, min('/data' || path) AS resolved FROM i WHERE row_id % 2 = 0 GROUP BY 1) "
+        "SELECT row_id, md5(coalesce(content, '') || coalesce((SELECT string_agg(CASE WHEN f.n IS NULL THEN ' ![图' || (x - 1) || '](' || images[x] || ')' ELSE ' <img alt=\"图' || (x - 1) || '\" src=\"' || f.resolved || '\">' END, '' ORDER BY x) "
+        "FROM (SELECT unnest(range(1, len(images) + 1)) AS x) u LEFT JOIN f ON f.n = string_split(images[x], '/')[-1]), '')) AS html_md5 FROM assignment_rows WHERE len(images) > 0",
         "assignment_html": "WITH r AS (SELECT *, row_number() OVER (PARTITION BY sheet_id ORDER BY row_id) AS n FROM assignment_rows), "
         f"s AS (SELECT sheet_id, count(*)::int AS c, string_agg({item}, '' ORDER BY n) AS b FROM r GROUP BY 1) SELECT sheet_id, c AS n, md5('<html><head><meta charset=''utf-8''>{style}</head><body><h1>作业</h1>' || b || '</body></html>') AS html_md5 FROM s",
     }

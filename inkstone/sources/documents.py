@@ -6,9 +6,12 @@ from collections.abc import Iterator
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkstone.operators.analytics import is_scanned
+from inkstone.session import written
+
 BINARY = "path string, modificationTime timestamp, length bigint, content binary"
 
 
@@ -55,6 +58,9 @@ def flattened(page_table: DataFrame, doc: str = "doc_hash") -> DataFrame:
     return one.select(doc, F.array_join(F.transform("p", lambda p: p["t"]), "\n").alias("text"))
 
 
-def numbered(rows: DataFrame, doc: str, at: str) -> DataFrame:
-    """rows with seq: their order by document and place, as one number each document."""
-    return rows.withColumn("seq", F.row_number().over(Window.partitionBy(doc).orderBy(at)).cast("bigint"))
+def read_pages(docs: DataFrame, native: PageProvider, scanned: PageProvider, max_pages: int | None = None) -> DataFrame:
+    """(doc_hash, page_no, content): the pages of files by their text layer, and by text recognition for those whose text layer
+    isn't worth reading (is_scanned over the first pages)."""
+    first = written(pages(docs, native, max_pages), "pages")
+    poor = is_scanned(first).where("scanned").select("doc_hash")
+    return first.join(poor, "doc_hash", "left_anti").unionByName(pages(docs.join(poor, "doc_hash", "left_semi"), scanned, max_pages))

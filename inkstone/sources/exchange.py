@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-from pathlib import Path
-
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkstone.functions.text import image_links
 from inkstone.sources.store import META
 
 RECORD = f"id string, content string, question_type string, knowledge_points array<string>, difficulty int, source_meta {META}, embedding array<float>"
@@ -37,21 +34,32 @@ def resolved_images(links: DataFrame, listing: DataFrame, path: str = "path") ->
     return links.withColumn("_name", name(F.col(path))).join(files, "_name", "left").drop("_name")
 
 
-def safe_name(x: Column) -> Column:
-    return F.regexp_replace(x, r"[^0-9A-Za-z\x{4e00}-\x{9fa5}._-]", "_")
+def shown_images(rows: DataFrame, listing: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, text): rows with the Markdown images that resolve as HTML images of the listed file; the others are left as they
+    are. key is unique."""
+    links = rows.select(key, F.explode(F.array_distinct(image_links(F.col(text)))).alias("l")).select(key, "l.*")
+    found = resolved_images(links, listing).where("resolved is not null")
+    html = F.concat(F.lit('<img alt="'), "alt", F.lit('" src="'), "resolved", F.lit('">'))
+    found = found.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("whole", html.alias("html")))).alias("_found"))
+    shown = F.aggregate(F.coalesce("_found", F.array().cast("array<struct<whole:string,html:string>>")), F.col(text), lambda t, f: F.replace(t, f["whole"], f["html"]))
+    return rows.select(key, text).join(found, key, "left").select(key, shown.alias(text))
 
 
-def export(rows: DataFrame, folder: str, name: str, text: str, suffix: str = ".html") -> int:
-    """Write each row's text to a file of its own in a folder all executors share; returns how many. Written by the tasks."""
-    Path(folder).mkdir(parents=True, exist_ok=True)
+def safe_name(x: Column) -> Column:
+    return F.regexp_replace(x, r"[^0-9A-Za-z\x{4e00}-\x{9fa5}._-]", "_")
 
-    def write(part: Iterator[Row]) -> None:
-        for r in part:
-            at = Path(folder, re.sub(r"[/\\]", "_", str(r["name"])) + suffix)
-            new = at.with_name(f".{at.name}.new")
-            new.write_text(r["text"] or "", encoding="utf-8")
-            new.replace(at)
 
+def export(rows: DataFrame, folder: str, name: str, text: str) -> int:
+    """Write each row's text to a folder of its own, name=<name>, through the cluster's file system; returns how many. Rows with
+    NULL name are left out."""
     out = rows.select(safe_name(F.col(name).cast("string")).alias("name"), F.col(text).alias("text")).where("name is not null")
-    out.foreachPartition(write)
+    out.repartition("name").write.mode("overwrite").partitionBy("name").text(folder)
     return out.count()
+
+
+def write_json_store(rows: DataFrame, folder: str) -> None:
+    """Records as one JSON object {"metadata": [...]} in a folder, in order of seq, as read_json_store reads it. One object is one
+    file, so this is for stores that a task can hold; write_json_lines is for the others."""
+    fields = [c.split(" ")[0] for c in RECORD.replace(META, "struct").split(", ")]
+    one = rows.agg(F.array_sort(F.collect_list(F.struct("seq", F.struct(*fields).alias("r")))).alias("m"))
+    one.select(F.to_json(F.struct(F.transform("m", lambda m: m["r"]).alias("metadata"))).alias("value")).coalesce(1).write.mode("error").text(folder)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkstone.functions.text import u_trim
@@ -15,6 +15,11 @@ EVENT = (
 )
 
 
+def utc_now() -> Column:
+    """The time of the query in UTC, as text."""
+    return F.concat(F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z"))
+
+
 def append(events: DataFrame, folder: str) -> None:
     events.write.mode("append").json(folder)
 

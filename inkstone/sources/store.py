@@ -101,6 +101,13 @@ class Store:
         self._publish([*self.parts(base), part], base)
         return {"total_input": total, "added": n, "skipped_existing": total - n}
 
+    def upsert(self, rows: DataFrame) -> dict[str, int]:
+        """Add the rows whose id is new, the last of each id by seq: what a store with an upsert of its own does with repeats."""
+        last = rows.groupBy("id").agg(F.max("seq").alias("_last")).withColumnRenamed("id", "_id")
+        kept = rows.join(last, F.col("id") == F.col("_id")).where("seq = _last").drop("_id", "_last")
+        out, total = self.append(kept.unionByName(rows.where("id is null"))), rows.count()
+        return {"total_input": total, "added": out["added"], "skipped_existing": total - out["added"]}
+
     def delete(self, filters: dict, dry_run: bool = True, sample: int = 20) -> dict:
         """Delete what matches; with dry_run only tell what would be. An empty filter is an error."""
         base = self._latest()
@@ -115,3 +122,16 @@ class Store:
         if not dry_run:
             self._publish([], base)
         return {"deleted": n, "dry_run": dry_run}
+
+
+def open_store(spark: SparkSession, folder: str, backend: str = "parquet", dimension: int | None = None) -> Store:
+    """The store of a folder. There is one form to write; "json" takes over a JSON file of records from the folder's
+    metadata.json into an empty store, other names are an error."""
+    if backend not in ("parquet", "json"):
+        raise ValueError(f"unknown backend {backend}")
+    out = Store(spark, f"{folder.rstrip('/')}/records", dimension)
+    if backend == "json" and not out.versions():
+        from inkstone.sources.exchange import read_json_store
+
+        out.append(read_json_store(spark, f"{folder.rstrip('/')}/metadata.json"))
+    return out

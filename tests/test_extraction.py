@@ -62,6 +62,9 @@ def test_json_store(spark, tmp_path):
     (tmp_path / "s.json").write_text(json.dumps({"metadata": [{"id": "a", "content": "c", "difficulty": 2, "source_meta": {"year": 2020}, "embedding": [0.5]}, {"id": "b"}]}))
     rows = exchange.read_json_store(spark, str(tmp_path / "s.json")).orderBy("seq").collect()
     assert [(r.seq, r.id, r.difficulty) for r in rows] == [(0, "a", 2), (1, "b", None)] and rows[0].source_meta.year == 2020 and rows[0].embedding == [0.5]
+    exchange.write_json_store(exchange.read_json_store(spark, str(tmp_path / "s.json")), str(tmp_path / "whole"))
+    again = exchange.read_json_store(spark, str(tmp_path / "whole"))
+    assert again.collect() == exchange.read_json_store(spark, str(tmp_path / "s.json")).collect()
     exchange.write_json_lines(exchange.read_json_store(spark, str(tmp_path / "s.json")), str(tmp_path / "lines"))
     assert exchange.read_json_lines(spark, str(tmp_path / "lines")).where("id = 'a'").first().source_meta.year == 2020
 
@@ -69,7 +72,7 @@ def test_json_store(spark, tmp_path):
 def test_export(spark, tmp_path):
     df = spark.createDataFrame([("a/1", "x"), ("b", None)], "n string, t string")
     assert exchange.export(df, str(tmp_path / "out"), "n", "t") == 2
-    assert (tmp_path / "out" / "a_1.html").read_text() == "x" and (tmp_path / "out" / "b.html").read_text() == ""
+    assert {r.name: r.value for r in spark.read.text(str(tmp_path / "out")).collect()} == {"a_1": "x", "b": ""}
     links = spark.createDataFrame([("/images/a/1.png",), ("no.png",), (None,)], "path string")
     files = spark.createDataFrame([("/z/1.png",), ("/y/1.png",)], "path string")
     assert {r.path: r.resolved for r in exchange.resolved_images(links, files).collect()} == {"/images/a/1.png": "/y/1.png", "no.png": None, None: None}

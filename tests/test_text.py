@@ -61,6 +61,8 @@ def test_meta(spark):
 def test_coercions(spark):
     assert values(spark, ["集合, 不等式；向量、", "", None], coerce.points_from_text(F.col("x"))) == [["集合", "不等式", "向量"], [], []]
     assert values(spark, [["a ", " ", "3", None], None], coerce.points_from_list(F.col("x")), kind="array<string>") == [["a", "3"], []]
+    assert [tuple(r) for r in spark.sql("select explode(array(2.9D, -0.5D, 5.99D, 6.0D, double('nan'), double('infinity'), null)) as x").select(coerce.difficulty(F.col("x"))).collect()] == [(2,), (3,), (5,), (3,), (3,), (3,), (3,)]
+    assert spark.sql("select cast(2.9 as decimal(3,1)) as x, true as y, 7 as z").select(*[coerce.difficulty(F.col(c)) for c in "xyz"]).first()[:] == (2, 1, 3)
     assert values(spark, ["4", "0", "6", "x", None, "2.9", " 5 ", "+2"], coerce.difficulty(F.col("x"))) == [4, 3, 3, 3, 3, 3, 5, 2]
 
 
