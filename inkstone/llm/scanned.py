@@ -37,10 +37,13 @@ IN_WORDS = {"e": ("c",), "d": ("cl",), "m": ("rn",), "h": ("li", "b"), "u": ("ii
 #: Stamps before a running title.
 STAMPS = ("绝密", "机密", "秘密", "confidential", "secret")
 
-#: Records a title must be in; least length of its letters and digits.
+#: Records a title must be in; least length of its letters and digits. A paper's further titles must be in more records, and
+#: in this share of the paper's; of repeated lines that begin or end a page (beside a page number, or the record's first or last
+#: line) each such place counts as a record more.
 TITLE_RECORDS, TITLE_LENGTH = 2, 5
-#: Share of the papers whose titles have a piece, for it to tell titles; what divides such pieces.
-COMMON_SHARE, SHARED = 0.02, "\x01"
+MORE_RECORDS, MORE_SHARE = 3, 0.3
+#: Share of the papers whose titles have a piece, for it to tell titles.
+COMMON_SHARE = 0.02
 #: A reading must be this many times as frequent as the one on the page, and have at least this many places.
 RATIO, PLACES = 6, 5
 #: The ratio for ideographs: those that scans put in place of others are hardly ever meant.
@@ -51,8 +54,11 @@ _PAGE = re.compile(
     r"|(\d{1,4})\s*(?:/|of)\s*(\d{1,4})|(\d{1,4}))[-~·\])|>\s]*$"
 )
 _TAIL = re.compile(r"(?:第\s*\d{1,4}\s*页(?:\s*/?\s*共\s*\d{1,4}\s*页)?|page\s*\d{1,4}(?:\s*of\s*\d{1,4})?|共\s*\d{1,4}\s*页|[-(\[·~]\s*\d{1,3}\s*[-)\]·~])\s*$")
+_ENDS, _FRONT = re.compile(r"^[^\w(]+|[^\w)]+$"), re.compile(r"^[^\w(]+")
 _BREAK = re.compile(r"([A-Za-z][A-Za-z0-9+@]*)([" + MARKS + r"])\s*$")
 _WORD = re.compile(r"[A-Za-z0-9+@$|]*[A-Za-z][A-Za-z0-9+@$|]*")
+_DIGIT = re.compile(r"\d|[①-⒛]")
+_NUMBER = re.compile(r"[\d./]+")
 _HAN = re.compile("[㐀-鿿豈-﫿]")
 
 
@@ -63,13 +69,18 @@ def split_lines(content: str) -> list[str]:
 
 def title_key(line: str, tail: bool = False) -> str:
     """A line without page numbers (but with tail), stamps, spaces, decoration and case, to compare running titles by."""
-    s = unicodedata.normalize("NFKC", line).lower().strip()
+    s = (line if line.isascii() else unicodedata.normalize("NFKC", line)).lower().strip()
     s = s if tail else _TAIL.sub("", s)
-    s = re.sub(r"\s+", "", s)
-    s = re.sub(r"^[^\w(]+|[^\w)]+$", "", s)
+    s = _ENDS.sub("", "".join(s.split()))
     for stamp in STAMPS:
         s = s.removeprefix(stamp)
-    return re.sub(r"^[^\w(]+", "", s)
+    return _FRONT.sub("", s)
+
+
+def title_keys(line: str) -> tuple[str, ...]:
+    """title_key without a page number at the end, and with it where there is one."""
+    key = title_key(line)
+    return (key, title_key(line, tail=True)) if _TAIL.search(unicodedata.normalize("NFKC", line).lower().strip()) else (key,)
 
 
 def distance_within(title: str, line: str) -> int:
@@ -84,10 +95,14 @@ def distance_within(title: str, line: str) -> int:
     return min(row)
 
 
-def is_title(line: str, title: str) -> bool:
+def is_title(line: str, title: str, keys: tuple[str, ...] | None = None) -> bool:
     """Whether the whole line is the title, perhaps with a fifth of its characters damaged and a number or stamp added."""
-    for key in dict.fromkeys((title_key(line), title_key(line, tail=True))):
-        if key and abs(len(key) - len(title)) <= max(3, len(title) // 4) and (key == title or distance_within(title, key) <= max(2, len(title) // 5)):
+    for key in keys or title_keys(line):
+        if not key or abs(len(key) - len(title)) > max(3, len(title) // 4):
+            continue
+        most = max(2, len(title) // 5)
+        # a title's characters that the line hasn't got are edits, so most lines need no table
+        if key == title or (sum((Counter(title) - Counter(key)).values()) <= most and distance_within(title, key) <= most):
             return True
     return False
 
@@ -102,11 +117,13 @@ def is_like_titles(line: str, common: frozenset[str]) -> bool:
     """Whether a line consists for the most part of what the titles of other papers have in common."""
     key = title_key(line, tail=True)
     own = pieces(key)
-    return len(key) >= 8 and len(key) < 80 and len(own & common) >= max(4, 0.55 * len(own))
+    return len(key) >= 8 and len(own & common) >= max(4, 0.55 * len(own))
 
 
 def page_mark(line: str) -> tuple[int, bool] | None:
     """The number of a line that can only tell the page, and whether it is bare."""
+    if not _DIGIT.search(line):
+        return None
     s = unicodedata.normalize("NFKC", line).lower().strip()
     s = re.sub("[—–―−‐]", "-", s).replace("〜", "~")
     m = _PAGE.match(s)
@@ -117,14 +134,21 @@ def page_mark(line: str) -> tuple[int, bool] | None:
     return None if total is not None and value > total else (value, s.isdigit())
 
 
-def furniture(lines: list[str], page_no: int | None, title: str | None, common: frozenset[str] = frozenset()) -> dict[int, str]:
+def furniture(lines: list[str], page_no: int | None, titles: list[str], common: frozenset[str] = frozenset()) -> dict[int, str]:
     """Kinds of the lines, from 0, that are page furniture.
 
     The first page number must be page_no or the next, each further one the next after it. A bare number counts only where
     page_no is known, and not at the end of the text, unless it is indented or beside a title; nor does a fraction there
     that ends a list of options.
     """
-    kind = {i: "header" for i, x in enumerate(lines) if (is_title(x, title) if title else common and is_like_titles(x, common))}
+    kind = {}
+    for i, x in enumerate(lines):
+        if titles:
+            keys = title_keys(x)
+            if any(is_title(x, t, keys) for t in titles):
+                kind[i] = "header"
+        elif common and is_like_titles(x, common):
+            kind[i] = "header"
     marks = {i: m for i, x in enumerate(lines) if i not in kind and (m := page_mark(x))}
     last, seen, plain = page_no, False, [i for i, x in enumerate(lines) if x.strip() and i not in kind]
     for i in sorted(marks):
@@ -142,10 +166,12 @@ def furniture(lines: list[str], page_no: int | None, title: str | None, common:
 
 
 def parsed_records(rows: DataFrame, id_col: str, doc_col: str, page_col: str, text_col: str) -> DataFrame:
-    """(rec, doc, page, content, title): records with content and the running title of their paper, if one is found.
+    """(rec, doc, page, content, titles): records with content and the running titles of their paper, as far as they are found.
 
-    A title is a line that repeats over records of one paper and not over papers. Counts of lines by paper are added up
-    by batch, so a paper of any size sends one row a line and batch; the titles, one a paper, are joined back.
+    A title is a line that repeats over records of one paper and not over papers, the more so at the edges of pages. The
+    best one is a paper's title; others, as a footer beside a header, are as well if they are in MORE_RECORDS and
+    MORE_SHARE of the paper's records. Counts of lines by paper are added up by batch, so a paper of any size sends one row
+    a line and batch; the titles, a few a paper, are joined back.
     """
     base = spread(rows.select(
         F.col(id_col).cast("bigint").alias("rec"), F.col(doc_col).cast("string").alias("doc"), F.col(page_col).cast("int").alias("page"),
@@ -155,35 +181,61 @@ def parsed_records(rows: DataFrame, id_col: str, doc_col: str, page_col: str, te
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             tally: Counter[tuple[str, str]] = Counter()
+            edge: Counter[tuple[str, str]] = Counter()
+            records: Counter[str] = Counter(pdf["doc"])
             for doc, content in zip(pdf["doc"], pdf["content"], strict=True):
-                keys = {title_key(x) for x in split_lines(content) if len(x) < 200}
-                tally.update((doc, k) for k in keys if sum(map(str.isalnum, k)) >= TITLE_LENGTH and not re.fullmatch(r"[\d./]+", k))
-            yield pd.DataFrame([(*k, n) for k, n in tally.items()], columns=["doc", "key", "n"])
-
-    n = base.where("doc is not null").select("doc", "content").mapInPandas(count, "doc string, key string, n bigint")
-    n = n.groupBy("doc", "key").agg(F.sum("n").alias("n")).where(F.col("n") >= TITLE_RECORDS)
+                lines = [x for x in split_lines(content) if x.strip()]
+                marks = {i for i, x in enumerate(lines) if page_mark(x)}
+                ends = {0, len(lines) - 1} | {i + k for i in marks for k in (-1, 1)}
+                keys: dict[str, bool] = {}
+                for i, x in enumerate(lines):
+                    k = title_key(x)
+                    keys[k] = keys.get(k, False) or i in ends
+                for k, at in keys.items():
+                    if sum(map(str.isalnum, k)) >= TITLE_LENGTH and not _NUMBER.fullmatch(k):
+                        tally[doc, k] += 1
+                        edge[doc, k] += at
+            rows = [(*k, n, edge[k], 0) for k, n in tally.items()] + [(doc, "", 0, 0, n) for doc, n in records.items()]
+            yield pd.DataFrame(rows, columns=["doc", "key", "n", "edge", "records"])
+
+    n = base.where("doc is not null").select("doc", "content").mapInPandas(count, "doc string, key string, n bigint, edge bigint, records bigint")
+    n = n.groupBy("doc", "key").agg(F.sum("n").alias("n"), F.sum("edge").alias("edge"), F.sum("records").alias("records"))
+    n = written(n.where(F.expr(f"n >= {TITLE_RECORDS} or key = ''")), "lines")
+    size = n.where("key = ''").select("doc", "records")
+    n = n.where("key != ''").drop("records")
     spread_ = n.groupBy("key").agg(F.count("*").alias("docs"))
-    title = n.join(spread_, "key").groupBy("doc").agg(F.max_by("key", F.struct(F.col("n") / F.col("docs"), F.length("key"), "key")).alias("title"))
+    n = n.join(spread_, "key").withColumn("score", F.struct(F.col("n") / F.col("docs"), F.length("key"), "key"))
+    best = n.groupBy("doc").agg(F.max("score").alias("best")).join(size, "doc")
+    more = (F.col("n") / F.col("docs") >= MORE_RECORDS) & (F.col("n") + F.col("edge") >= MORE_SHARE * 2 * F.col("records"))
+    title = n.join(best, "doc").where((F.col("score") == F.col("best")) | more).groupBy("doc").agg(F.array_sort(F.collect_list("key")).alias("titles"), F.max("best.key").alias("title"))
     title = written(title, "titles")
     papers = title.count()
     # pieces in a share of all titles: at most the pieces of a title over that share, whatever the number of titles
 
     @F.pandas_udf("array<string>")
     def cut(titles: pd.Series) -> pd.Series:
-        return pd.Series([list(pieces(t[:200])) for t in titles], dtype=object)
+        return pd.Series([list(pieces(t)) for t in titles], dtype=object)
 
     common = title.select(F.explode(cut("title")).alias("piece")).groupBy("piece").agg(F.count("*").alias("n"))
-    common = [r["piece"] for r in common.where(F.col("n") >= max(3, papers * COMMON_SHARE)).collect()]
-    joined = SHARED + SHARED.join(sorted(common)) if common else None
-    return base.join(title, "doc", "left").withColumn("title", F.coalesce("title", F.lit(joined).cast("string")))
+    common = frozenset(r["piece"] for r in common.where(F.col("n") >= max(3, papers * COMMON_SHARE)).collect())
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            at, kind = [], []
+            for page, content, titles in zip(pdf["page"], pdf["content"], pdf["titles"], strict=True):
+                found = furniture(split_lines(content), None if pd.isna(page) else int(page), list(titles) if titles is not None else [], common)
+                at.append(list(found))
+                kind.append(list(found.values()))
+            yield pdf[["rec", "content"]].assign(at=at, kind=kind)
+
+    return base.join(title.select("doc", "titles"), "doc", "left").mapInPandas(parse, "rec bigint, content string, at array<int>, kind array<string>")
 
 
 class Page:
     """A record's lines by kind, and its question text as one run with the line of each character."""
 
-    def __init__(self, content: str, page_no: int | None, title: str | None, common: frozenset[str] = frozenset()) -> None:
-        self.lines = split_lines(content)
-        self.kind = furniture(self.lines, page_no, title, common)
+    def __init__(self, content: str, kind: dict[int, str]) -> None:
+        self.lines, self.kind = split_lines(content), kind
         self.text = [i for i, x in enumerate(self.lines) if i not in self.kind and x.strip()]
         joined = "".join(self.lines[i] for i in self.text)
         self.han = len(_HAN.findall(joined)) * 10 > len(joined)
@@ -214,15 +266,19 @@ class Page:
         return "".join(chars), at
 
 
+_SHAPE = {i: "0" for i in range(48, 58)} | {i: "A" for i in range(65, 91)} | {i: " " for i in range(0x3001) if chr(i).isspace()}
+
+
 def shape(text: str) -> str:
     """text for counting: digits as 0, capitals as A, all spaces alike."""
-    return "".join("0" if "0" <= c <= "9" else "A" if "A" <= c <= "Z" else " " if c.isspace() else c for c in text)
+    return text.translate(_SHAPE)
 
 
 def suspects(text: str) -> list[tuple[int, str, str]]:
     """(place, seen, meant) of characters that may be misread, by the fixed tables."""
     out = []
-    for i, ch in enumerate(text):
+    for m in _SUSPECT.finditer(text):
+        i, ch = m.start(), m[0]
         before, after = text[i - 1 : i], text[i + 1 : i + 2]
         if ch in _BY_SEEN:
             out += [(i, ch, m) for m in _BY_SEEN[ch]]
@@ -240,6 +296,8 @@ def suspects(text: str) -> list[tuple[int, str, str]]:
 _BY_SEEN: dict[str, str] = {}
 for _pair in IDEOGRAPHS:
     _BY_SEEN[_pair[0]] = _BY_SEEN.get(_pair[0], "") + _pair[1]
+_LIKELY = {ord(c): m[0] for c, m in _BY_SEEN.items()}
+_SUSPECT = re.compile("[" + re.escape("".join({*_BY_SEEN, *FIGURES, *(x for x in LETTERS if len(x) == 1), "i"})) + "]")
 
 
 def context(text: str, i: int, seen: str) -> str:
@@ -275,10 +333,8 @@ def _words(page: Page) -> Iterator[tuple[str, str]]:
 
 
 def _records(pdf: pd.DataFrame) -> Iterator[tuple[int, Page]]:
-    for rec, page, content, title in zip(pdf["rec"], pdf["page"], pdf["content"], pdf["title"], strict=True):
-        # a paper without a title of its own has the common pieces in its place
-        own = isinstance(title, str) and not title.startswith(SHARED)
-        yield rec, Page(content, None if pd.isna(page) else int(page), title if own else None, frozenset((title or "")[1:].split(SHARED)) if not own else frozenset())
+    for rec, content, at, kind in zip(pdf["rec"], pdf["content"], pdf["at"], pdf["kind"], strict=True):
+        yield rec, Page(content, dict(zip(at, kind, strict=True)))
 
 
 def _vocabulary(parsed: DataFrame) -> DataFrame:
@@ -320,7 +376,7 @@ def _questions(parsed: DataFrame) -> DataFrame:
                         out.append((rec, lines[0], m.start(), "word", w, "", w, f"{lines[-1]}:{second}"))
                         if not odd and w.islower():
                             taken.update(range(*m.span()))
-                likely = "".join(_BY_SEEN[c][0] if c in _BY_SEEN else c for c in text)
+                likely = text.translate(_LIKELY)
                 for i, seen, meant in suspects(text):
                     if i not in taken:
                         near = {context(text, i, seen)} | ({context(likely[:i] + seen + likely[i + 1 :], i, seen)} if seen in _BY_SEEN else set())
@@ -421,12 +477,8 @@ def noise(rows: DataFrame, id_col: str = "rec_id", doc_col: str = "doc_hash", pa
     """
     parsed = _parse(rows, id_col, doc_col, page_col, text_col)
 
-    def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame([(rec, i, k) for rec, page in _records(pdf) for i, k in page.kind.items()], columns=["rec", "line", "kind"])
-
     hyphen, misread = decided(parsed)
-    out = parsed.mapInPandas(found, "rec bigint, line int, kind string")
+    out = parsed.select("rec", F.explode(F.arrays_zip(F.col("at").alias("line"), F.col("kind").alias("kind"))).alias("k")).select("rec", "k.line", "k.kind")
     out = out.unionByName(hyphen.where("kind = 'hyphen'").select("rec", "line", "kind")).unionByName(misread.select("rec", "line", "kind"))
     return out.select(F.col("rec").alias(id_col), (F.col("line") + 1).cast("bigint").alias("line_no"), "kind").distinct()
 

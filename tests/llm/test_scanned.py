@@ -48,6 +48,16 @@ def test_titles():
     assert scanned.is_title("青坡市初一数学期末卷（024）", scanned.title_key("青坡市初一数学期末卷（2024）"))
 
 
+def test_header_and_footer(spark):
+    """All running titles of a paper are found, long ones as well; lines that a few records share are not."""
+    head, foot, long_ = "桐陵区高二数学期末检测试卷", "请在答题卡上作答，答在本卷无效", "本卷由桐陵区教研室命题，" * 30
+    rows = [(i, "p", 2 * i, f"{head}\n求直线与平面{i}的距离{i * 7}\n为{i}千米，直线与平面\n{long_}\n- {2 * i} -\n{foot}") for i in range(1, 6)]
+    rows += [(10 + i, "q", 2 * i, f"{head[:-4]}第{i}卷目录\n求证明函数{i}的值\n以下三题选做一题即可" if i < 3 else f"求证明函数{i}的值域") for i in range(1, 13)]
+    got = {(r.rec_id, r.line_no) for r in scanned.noise(spark.createDataFrame(rows, "rec_id bigint, doc_hash string, page_no int, content string")).where("kind = 'header'").collect()}
+    assert {x for x in got if x[0] < 10} == {(i, n) for i in range(1, 6) for n in (1, 4, 6)}
+    assert len({n for i, n in got if i > 10}) <= 1
+
+
 def test_readings():
     assert "measurement" in scanned.readings("m3asurement") and "behind" in scanned.readings("bcliind") and "comparison" in scanned.readings("cornparison")
     assert scanned.readings("") == set()
