@@ -6,11 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkstone.functions.vector import closeness, cosine, squared_distance
-from inkstone.session import spread, written
+from inkstone.session import in_blocks, spread, written
 
 #: Query vectors in a block: 4,096 of 384 doubles are 12 MB.
 BLOCK_QUERIES = 4096
@@ -53,7 +54,7 @@ def knn_join(
 ) -> DataFrame:
     """(query_id, neighbour_id, similarity, rank): the k nearest rows of store for each query, ties by neighbour_id.
 
-    Query vectors are written once and read in blocks; each task scores a block against its part of the store as one matrix
+    Query vectors are written once and read in blocks, one of which is with the tasks at a time; each task scores a block against its part of the store as one matrix
     product and keeps k candidates a query, so what is shuffled is k rows a query and task, not the pairs. A block that is
     sent to the tasks has block_queries vectors at most. Rows without a vector or id take no part; vectors must have one
     length, others are an error.
@@ -62,9 +63,7 @@ def knn_join(
     q = written(queries.select(F.col(query_id).cast("bigint").alias("q"), F.col(query_vector).cast("array<double>").alias("v")).where("q is not null and v is not null"), "queries")
     base = spread(store.select(F.col(store_id).cast("bigint").alias("n"), F.col(store_vector).cast("array<double>").alias("v")).where("n is not null and v is not null"))
 
-    def scan(ids: np.ndarray, vectors: np.ndarray) -> DataFrame:
-        sent = spark.sparkContext.broadcast((ids, vectors))
-
+    def scan(sent: Broadcast) -> DataFrame:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             own, at = sent.value
             own2, norms = (at * at).sum(1), np.sqrt((at * at).sum(1)) + 1e-8
@@ -89,20 +88,20 @@ def knn_join(
 
         return base.mapInPandas(run, "q bigint, n bigint, s double")
 
-    found, ids, vectors = [], [], []
-    for row in q.toLocalIterator():
-        ids.append(row["q"])
-        vectors.append(np.asarray(row["v"]))
-        if len(ids) == block_queries:
-            found.append(scan(np.array(ids), np.stack(vectors)))
-            ids, vectors = [], []
-    if ids:
-        found.append(scan(np.array(ids), np.stack(vectors)))
-    if not found:
+    def blocks() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        ids, vectors = [], []
+        for row in q.toLocalIterator():
+            ids.append(row["q"])
+            vectors.append(np.asarray(row["v"]))
+            if len(ids) == block_queries:
+                yield np.array(ids), np.stack(vectors)
+                ids, vectors = [], []
+        if ids:
+            yield np.array(ids), np.stack(vectors)
+
+    every = in_blocks(spark, blocks(), scan)
+    if every is None:
         return spark.createDataFrame([], "query_id bigint, neighbour_id bigint, similarity double, rank int")
-    every = found[0]
-    for more in found[1:]:
-        every = every.unionByName(more)
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.col("s").desc(), "n"))
     return every.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("q").alias("query_id"), F.col("n").alias("neighbour_id"), F.col("s").alias("similarity"), "rank")
 

@@ -6,11 +6,14 @@ import atexit
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
+from itertools import chain
 from pathlib import Path
+from typing import Any
 
 from py4j.protocol import Py4JJavaError
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -124,6 +127,25 @@ def read_file(spark: SparkSession, path: str) -> str:
         stream.close()
 
 
+def in_blocks(spark: SparkSession, blocks: Iterable[Any], scan: Callable[[Broadcast], DataFrame]) -> DataFrame | None:
+    """The rows of a scan for each block of data that is broadcast. Of several blocks one is in the tasks' memory at a time: its
+    rows are written before the next is sent, so neither memory nor the plan grows with their number. None for no block."""
+    every = iter(blocks)
+    first = next(every, None)
+    if first is None:
+        return None
+    second = next(every, None)
+    if second is None:
+        return scan(spark.sparkContext.broadcast(first))
+    out = None
+    for block in chain([first, second], every):
+        sent = spark.sparkContext.broadcast(block)
+        rows = written(scan(sent), "block")
+        out = rows if out is None else out.unionByName(rows)
+        sent.destroy()
+    return out
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Split an input of few files over all cores before costly work by row; larger inputs stay as they are read."""
     cores = df.sparkSession.sparkContext.defaultParallelism
