@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 #: Items that one task packs at a time. Loss at the end of a group is under one container in some hundreds.
 GROUP_ITEMS = 4096
+#: Pieces in a container, and the share of capacity squared that the sum of squared sizes may have. A piece that has more by
+#: itself is alone in its container.
+MAX_ITEMS, ATTENTION = 32, 0.9
 
 
 def byte_tokens(text: Column) -> Column:
@@ -64,7 +67,7 @@ def best_fit(tokens: np.ndarray, capacity: int, max_items: int, max_attention: f
     for i in np.lexsort((np.arange(n), -tokens)):
         d = demand[i]
         r = left[open_]
-        ok = (r >= d - 1e-12).all(1)
+        ok = (r >= d - 1e-12).all(1)  # what is over a capacity by itself finds no container, and none is open after it
         if ok.any():
             at = np.flatnonzero(ok)
             score = ((r[at] - d) ** 2 * weight).sum(1) if rule == "norm" else r[at] @ (weight * d)
@@ -75,35 +78,35 @@ def best_fit(tokens: np.ndarray, capacity: int, max_items: int, max_attention: f
             open_ = np.append(open_, bin_)
         left[bin_] -= d
         out[i] = bin_
-        if left[bin_, 0] * capacity < 1 or left[bin_, 1] * max_items < 1:
+        if left[bin_, 0] * capacity < 1 or left[bin_, 1] * max_items < 1 or left[bin_, 2] * max_attention < 1:
             open_ = open_[open_ != bin_]
     return out
 
 
 def pack(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 8192, max_items: int = 512,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 8192, max_items: int = MAX_ITEMS,
     max_attention: float | None = None, rule: str = "dot", group_items: int = GROUP_ITEMS,
 ) -> DataFrame:
     """(id_col, piece, n_pieces, tokens, container): every piece of every text in a container.
 
-    No container holds more than capacity tokens, max_items pieces or max_attention (default capacity^2) of the sum of
-    squared sizes. A text is cut only if it has more than capacity tokens. Only ids and sizes are shuffled, into random
+    No container holds more than capacity tokens, max_items pieces or, of several pieces, max_attention (default ATTENTION of
+    capacity squared) of the sum of squared sizes. A text is cut only if it has more than capacity tokens. Only ids and sizes are shuffled, into random
     groups of about group_items pieces, each packed by one task; a group leaves about one container partly filled.
     container is group * 2^32 + number. NULL texts aren't packed, empty ones take an item's place and no tokens.
     """
     rows = pieces(docs, id_col, text_col, capacity)
     groups = max(1, round(docs.count() / group_items))
     rows = rows.withColumn("grp", F.expr(f"pmod(xxhash64(id, piece), {groups})"))
-    limit = float(capacity) ** 2 if max_attention is None else float(max_attention)
-    if limit < float(capacity) ** 2:
-        raise ValueError("max_attention must admit a full container of one piece: capacity squared at least")
+    limit = ATTENTION * float(capacity) ** 2 if max_attention is None else float(max_attention)
+    if capacity < 1 or max_items < 1 or limit <= 0:
+        raise ValueError("capacities must be positive")
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["id", "piece"], kind="stable")
         bins = best_fit(pdf["tokens"].to_numpy(np.int64), capacity, max_items, limit, rule)
         return pdf[["id", "piece", "n_pieces", "tokens"]].assign(container=pdf["grp"].to_numpy(np.int64) * (1 << 32) + bins)
 
-    out = rows.groupBy("grp").applyInPandas(one, "id bigint, piece int, n_pieces int, tokens bigint, container bigint")
+    out = rows.repartition(groups, "grp").groupBy("grp").applyInPandas(one, "id bigint, piece int, n_pieces int, tokens bigint, container bigint")
     return out.withColumnRenamed("id", id_col) if id_col != "id" else out
 
 
