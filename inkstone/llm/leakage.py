@@ -7,11 +7,12 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkstone.llm.text import letters_digits
-from inkstone.session import spread
+from inkstone.session import in_blocks, spread
 
 #: Item text that goes into one automaton; beyond it, the items are taken in blocks, each with a scan of its own.
 BLOCK_CHARS = 4_000_000
@@ -84,8 +85,8 @@ def leaked_spans(
     item share, both in NFKC, lower case, letters and digits only. part is text or answer (answers under min_len can't
     match). Positions are those of the document's own text, from 1, both ends included; NULL with places=False.
 
-    The items are brought to the driver in blocks of block_chars; each block is one automaton, sent to all tasks, and a
-    scan of the documents, so memory is bounded at any number of items. Documents aren't shuffled. NULL, empty and
+    The items pass through the driver in blocks of block_chars; each block is one automaton, sent to all tasks, and a scan of
+    the documents. Of several blocks one is in memory at a time, at any number of items. Documents aren't shuffled. NULL, empty and
     short texts match nothing; repeated rows give repeated results; other columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
@@ -93,9 +94,7 @@ def leaked_spans(
     base = spread(docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).where(F.length("text") > 0))
     schema = f"`{id_col}` bigint, `{item_id_col}` bigint, part string, start_pos bigint, end_pos bigint"
 
-    def scan(block: dict[int, tuple[int, str, str]]) -> DataFrame:
-        sent = spark.sparkContext.broadcast(block)
-
+    def scan(sent: Broadcast) -> DataFrame:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             texts = {k: v[2] for k, v in sent.value.items()}
             automaton, width = _seeds(texts, min_len)
@@ -114,26 +113,29 @@ def leaked_spans(
 
         return base.mapInPandas(run, schema)
 
-    out, block, size = [], {}, 0
     wanted = items.select(F.col(item_id_col).cast("bigint").alias("item"), *[F.col(c).cast("string").alias(name) for c, name in parts])
-    for row in wanted.toLocalIterator():
-        for _, part in parts:
-            norm = letters_digits(row[part] or "")
-            if row["item"] is None or len(norm) < min_len:
-                continue
-            if size + len(norm) > block_chars and block:
-                out.append(scan(block))
-                block, size = {}, 0
-            block[len(block)] = (row["item"], part, norm)
-            size += len(norm)
-    out.append(scan(block))
-    first, *rest = out
-    for more in rest:
-        first = first.unionByName(more)
-    return first
+
+    def blocks() -> Iterator[dict[int, tuple[int, str, str]]]:
+        block, size = {}, 0
+        for row in wanted.toLocalIterator():
+            for _, part in parts:
+                norm = letters_digits(row[part] or "")
+                if row["item"] is None or len(norm) < min_len:
+                    continue
+                if size + len(norm) > block_chars and block:
+                    yield block
+                    block, size = {}, 0
+                block[len(block)] = (row["item"], part, norm)
+                size += len(norm)
+        if block:
+            yield block
+
+    found = in_blocks(spark, blocks(), scan)
+    return spark.createDataFrame([], schema) if found is None else found
 
 
 def leaked(docs: DataFrame, items: DataFrame, min_len: int = 40) -> DataFrame:
-    """(doc_id, item_id): documents that share at least min_len consecutive normal-form characters with an item's text."""
-    spans = leaked_spans(docs, items, answer_col=None, min_len=min_len, places=False)
-    return spans.select("doc_id", "item_id").distinct()
+    """(doc_id, item_id): documents that share at least min_len consecutive normal-form characters with an item's text. Answers
+    are patterns of the same automaton; what matches only them is in leaked_spans."""
+    spans = leaked_spans(docs, items, min_len=min_len)
+    return spans.where("part = 'text'").select("doc_id", "item_id").distinct()
