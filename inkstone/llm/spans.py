@@ -25,6 +25,10 @@ COVERS = {
 }
 
 
+#: Base of the second hash.
+SECOND = 0xD1342543DE82EF95
+
+
 def cover_for(min_len: int) -> tuple[int, tuple[int, ...], int]:
     """Period, cover and anchor width for spans of min_len: the largest period that leaves anchors of a third of the span."""
     period = max((p for p in COVERS if min_len - p + 1 >= max(1, min_len // 3)), default=1)
@@ -36,20 +40,23 @@ def covers(period: int, cover: tuple[int, ...]) -> bool:
     return {0} | {d % period for a, b in combinations(cover, 2) for d in (a - b, b - a)} == set(range(period))
 
 
-def _emit(owner: np.ndarray, key: np.ndarray, pos: np.ndarray) -> pd.DataFrame:
-    """Rows for the exchange. Rows that are settled here travel under a key of their own, so that no key is hot."""
-    known, send = local_combine(key, owner)
+def _emit(owner: np.ndarray, key: np.ndarray, pos: np.ndarray, more: np.ndarray | None = None) -> pd.DataFrame:
+    """Rows for the exchange: k, id and p, which is 31 further bits of the key (more), pos, and whether the row is settled here.
+    Such rows travel under a key of their own, so that no key is hot."""
+    more = np.zeros(len(key), np.uint64) if more is None else more >> np.uint64(33)
+    known, send = local_combine(key, owner, more)
     again = known & ~send
     own = key ^ mix64(owner.view(np.uint64) ^ mix64(pos.astype(np.uint64)))
-    return pd.DataFrame({"k": np.where(again, own, key).view(np.int64), "id": owner, "pos": pos, "known": known})
+    p = (more.astype(np.int64) << 32) | (pos.astype(np.int64) << 1) | known
+    return pd.DataFrame({"k": np.where(again, own, key).view(np.int64), "id": owner, "p": p})
 
 
 def _shared(rows: DataFrame) -> DataFrame:
     """Rows whose key has rows of another record."""
-    w = Window.partitionBy("k")
+    w = Window.partitionBy("k", F.shiftright("p", 32))
     return (
         rows.withColumn("lo", F.min("id").over(w)).withColumn("hi", F.max("id").over(w))
-        .where(F.col("known") | (F.col("lo") != F.col("hi"))).select("id", "pos")
+        .where((F.col("p").bitwiseAND(1) == 1) | (F.col("lo") != F.col("hi"))).select("id", F.shiftright(F.col("p").bitwiseAND(0xFFFFFFFF), 1).cast("int").alias("pos"))
     )
 
 
@@ -60,7 +67,8 @@ def shared_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Windows of width min_len - period + 1 are hashed only where the position modulo the period is in a difference
     cover: any two equal runs of min_len characters, wherever they begin, hold an equal window at such a place in both.
     Anchors that two records share are then extended: all runs of min_len around them are compared in the same way.
-    Keys are 64-bit hashes, so the chance of any false row is about (runs compared)^2 / 2^65.
+    Rows rest on 95 bits of two hashes of a run of min_len, so the chance of any false row is about (runs compared)^2 / 2^96;
+    anchors have 64 bits, of which a false one only costs a comparison.
 
     Records with NULL id or text, and texts under min_len, share nothing. Equal texts share everything. A run repeated
     only within one record doesn't count. Other columns are ignored, whatever their names.
@@ -84,11 +92,12 @@ def shared_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 yield _emit(owner, np.concatenate([h for _, h in found]), np.concatenate([at for at, _ in found]).astype(np.int32))
 
     def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hash_ = WindowHash(min_len)
+        hash_, other = WindowHash(min_len), WindowHash(min_len, SECOND)
         for pdf in batches:
-            owner, key, pos = [], [], []
+            owner, key, pos, more = [], [], [], []
             for id_, text, at in zip(pdf["id"], pdf["text"], pdf["at"], strict=True):
-                h = hash_(codes(text))
+                c = codes(text)
+                h = hash_(c)
                 step = np.zeros(len(h) + 1, np.int32)
                 at = np.asarray(at, np.int64)
                 np.add.at(step, np.clip(at - period + 1, 0, len(h)), 1)
@@ -96,11 +105,12 @@ def shared_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 s = np.flatnonzero(np.cumsum(step[:-1]) > 0)
                 owner.append(np.full(len(s), id_, np.int64))
                 key.append(h[s])
+                more.append(other(c)[s] if len(s) else h[s])
                 pos.append(s)
             if owner:
-                yield _emit(np.concatenate(owner), np.concatenate(key), np.concatenate(pos).astype(np.int32))
+                yield _emit(np.concatenate(owner), np.concatenate(key), np.concatenate(pos).astype(np.int32), np.concatenate(more))
 
-    row = "k bigint, id bigint, pos int, known boolean"
+    row = "k bigint, id bigint, p bigint"
     near = _shared(base.mapInPandas(anchors, row)).groupBy("id").agg(F.collect_list("pos").alias("at"))
     same = _shared(base.join(near, "id").mapInPandas(runs, row))
     by = Window.partitionBy("id").orderBy("pos")

@@ -37,11 +37,11 @@ class WindowHash:
     BASE = 0x9E3779B97F4A7C15
     PIECE = 1 << 16
 
-    def __init__(self, width: int) -> None:
+    def __init__(self, width: int, base: int = BASE) -> None:
         self.width, n = width, self.PIECE + width + 1
         with np.errstate(over="ignore"):
-            self.up = np.cumprod(np.r_[np.uint64(1), np.full(n, self.BASE, np.uint64)])
-            self.down = np.cumprod(np.r_[np.uint64(1), np.full(n, pow(self.BASE, -1, 1 << 64), np.uint64)])
+            self.up = np.cumprod(np.r_[np.uint64(1), np.full(n, base, np.uint64)])
+            self.down = np.cumprod(np.r_[np.uint64(1), np.full(n, pow(base, -1, 1 << 64), np.uint64)])
 
     def __call__(self, c: np.ndarray) -> np.ndarray:
         w, n = self.width, len(c)
@@ -75,15 +75,16 @@ def jaccard(a: frozenset, b: frozenset) -> float:
     return both / (len(a) + len(b) - both) if both else 0.0
 
 
-def local_combine(key: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of rows (key, owner): which rows' key has another owner here as well, and which rows still have to be sent on.
+def local_combine(key: np.ndarray, owner: np.ndarray, more: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows (key with more, owner): which rows' key has another owner here as well, and which rows still have to be sent on.
 
     A key with several owners among these rows is settled for all of them; one row is sent on to tell the others.
     So a key that a third of all rows share leaves a task as one row a batch.
     """
-    order = np.lexsort((owner, key))
-    k = key[order]
-    first = np.r_[True, k[1:] != k[:-1]] if len(k) else np.empty(0, bool)
+    more = np.zeros(len(key), np.uint64) if more is None else more
+    order = np.lexsort((owner, more, key))
+    k, m = key[order], more[order]
+    first = np.r_[True, (k[1:] != k[:-1]) | (m[1:] != m[:-1])] if len(k) else np.empty(0, bool)
     start = np.flatnonzero(first)
     last = np.r_[start[1:], len(k)] - 1
     group = np.cumsum(first) - 1

@@ -99,6 +99,29 @@ def test_pack(spark):
     assert packing.pack(frame(spark, docs).where("doc_id < 0")).count() == 0
 
 
+def test_every_capacity_decides():
+    """Each capacity by itself, the others wide, keeps pieces apart that would fit without it."""
+    fit = lambda sizes, *a, rule="dot": len(set(packing.best_fit(np.array(sizes), *a, rule).tolist()))
+    for rule in ("dot", "norm"):
+        assert fit([6, 4, 5, 5], 10, 9, 1e9, rule=rule) == 2 and fit([6, 5, 5, 5], 10, 9, 1e9, rule=rule) == 3
+        assert fit([1] * 6, 10, 9, 1e9, rule=rule) == 1 and fit([1] * 6, 10, 2, 1e9, rule=rule) == 3
+        assert fit([6, 4, 3, 3], 16, 9, 1e9, rule=rule) == 1 and fit([6, 4, 3, 3], 16, 9, 36.0, rule=rule) == 2
+        assert fit([9, 1, 1], 10, 9, 80.0, rule=rule) == 2  # the first is alone
+    bins = packing.best_fit(np.array([50, 30, 60, 40]), 90, 9, 1e9)
+    assert bins[2] == bins[1] and bins[0] == bins[3]  # the tightest container, not the first
+
+
+def test_production_capacities_bind(spark):
+    r = random.Random(16)
+    docs = [(i, "x" * r.randint(1, 60)) for i in range(900)] + [(1000 + i, "y" * 7900) for i in range(5)] + [(2000 + i, "z" * 5000) for i in range(8)]
+    bins = {}
+    for x in packing.pack(frame(spark, docs)).collect():
+        bins.setdefault(x.container, []).append(x.tokens)
+    most = packing.ATTENTION * 8192**2
+    assert all(len(b) <= packing.MAX_ITEMS and sum(b) <= 8192 and (len(b) == 1 or sum(t * t for t in b) <= most) for b in bins.values())
+    assert any(len(b) == packing.MAX_ITEMS for b in bins.values()) and sum(b == [7900] for b in bins.values()) == 5
+
+
 def test_cut_points():
     raw = ("汉" * 10).encode()
     ends = packing.cut_points(raw, 10)
