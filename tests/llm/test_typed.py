@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -17,7 +19,7 @@ CASES = [
 ]
 
 
-@pytest.mark.parametrize("block", [100, 2])
+@pytest.mark.parametrize("block", [100, 2, 1])
 def test_mapped(spark, block):
     refs = spark.createDataFrame([(*e, "x") for e in ENTRIES], "ref_id bigint, field string, canonical string, latin string, value string")
     meta = lambda f, v: tuple(v if f == k else None for k in ("region", "source_type", "grade"))
@@ -26,6 +28,8 @@ def test_mapped(spark, block):
     out = canonical.mapped(df, refs, "seq", {k: f"m.{k}" for k in ("region", "source_type", "grade")}, block_entries=block)
     got = {(r.seq, r.field): r.ref_id for r in out.collect()}
     assert got == {(i, f): ref for i, (f, _, ref) in enumerate(CASES)}
+    again = canonical.mapped(df.unionByName(df), refs, "seq", {k: f"m.{k}" for k in ("region", "source_type", "grade")}, block_entries=block)
+    assert sorted((r.seq, r.field, r.ref_id) for r in again.collect()) == sorted([(i, f, ref) for i, (f, _, ref) in enumerate(CASES)] * 2)
     if block == 100:
         assert {r.value for r in canonical.unmatched(out).collect()} == {v for _, v, ref in CASES if not ref}
         assert canonical.mapped(df.where("seq < 0"), refs, "seq", {"region": "m.region"}).count() == 0
@@ -34,7 +38,35 @@ def test_mapped(spark, block):
 
 def test_longest_mention_wins():
     m = canonical.Mapper([(1, "region", "海市", None), (2, "region", "上海市", None), (3, "region", "海市区", None)])
-    assert m.mentions("region", "上海市区") == [(3, 2)] and m.best("region", "海市x上海市")[2] == 2
+    assert m.mentions("region", "上海市区") == [((-3, 0, -1, 2), 2)] and m.best("region", "海市x上海市")[2] == 2
+
+
+def test_token_index():
+    """The index gives every entry that has any similarity, and the nearest is what a comparison with all entries says."""
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcde") for _ in range(r.randint(2, 17)))
+    words = [word() for _ in range(60)]
+    entries = [(i, "x", " ".join(r.sample(words, r.randint(1, 3))) + r.choice(["", "一二", "二"]), None) for i in range(1, 80)]
+    m = canonical.Mapper(entries)
+    for _ in range(300):
+        parts = [list(w) for w in r.sample(words, r.randint(1, 3))]
+        for w in parts:
+            for _ in range(r.randint(0, 2)):
+                i = r.randrange(len(w))
+                w[i : i + 1] = r.choice([[], ["e"], [w[i], "a"], w[i + 1 : i + 2] + [w[i]]])
+        form = " ".join("".join(w) for w in parts)
+        core = canonical._core(form, "x")
+        scores = {}
+        for other, ref in m.tokens["x"].cores:
+            scores[ref] = max(scores.get(ref, 0), canonical.token_set_similarity(core, other))
+        top = sorted(scores.values())[-2:]
+        want = next(k for k, v in scores.items() if v == top[1]) if top[1] >= canonical.SIMILARITY and top[0] < top[1] else 0
+        assert m.nearest("x", form)[1] == want
+
+
+def test_names_are_an_argument():
+    assert canonical.Mapper(ENTRIES, {}).best("source_type", "仿真考")[2] == 0
+    assert canonical.Mapper(ENTRIES, {("source_type", "模拟"): ("仿真",)}).best("source_type", "仿真考")[2] == 204
 
 
 def test_token_sets():
