@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import re
 import sys
 import unicodedata
 from collections.abc import Iterator
 from functools import cache
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import regex
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkstone.session import spread
+from inkstone.session import spread, written
 
 #: Letters of other scripts with the shape of a Latin letter.
 LETTERS = {
@@ -47,7 +47,9 @@ SILENT = [0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x3164, 0xFFA0, *range(0x180B,
 TWINS = frozenset(LETTERS.values())
 
 LATIN, OTHER = "Latin", "other"
-_TOKEN = re.compile(r"[^\W\d_]+")
+_OTHER = r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}]"
+#: Runs of letters of the alphabets, with their marks.
+_TOKEN = regex.compile(rf"[\p{{L}}--{_OTHER}][[\p{{L}}--{_OTHER}]\p{{M}}]*", regex.V1)
 
 
 @cache
@@ -79,17 +81,17 @@ def letters() -> dict[int, str]:
 
 
 def plain(text: str) -> str:
-    """text without what can't be seen, in single characters where those exist; letters keep their script."""
+    """text without what can't be seen, in single characters where those exist; letters keep their script, but for the letter
+    that looks like a digit, which becomes the digit."""
     if text.isascii() and "\r" not in text and text.isprintable():
         return text
-    return unicodedata.normalize("NFC", unicodedata.normalize("NFD", text.translate(shapes())).replace("\r\n", "\n"))
+    text = unicodedata.normalize("NFD", text.translate(shapes())).replace("\r\n", "\n")
+    return unicodedata.normalize("NFC", text.replace("З", "3"))
 
 
-def look(text: str) -> str:
-    """The same for all texts with the same looks: plain, with each look-alike letter as its Latin twin."""
-    if text.isascii():
-        return plain(text)
-    return unicodedata.normalize("NFC", unicodedata.normalize("NFD", plain(text)).translate(letters()))
+def look(word: str) -> str:
+    """A word with each look-alike letter as its Latin twin: the same for all words that look the same."""
+    return word if word.isascii() else unicodedata.normalize("NFC", unicodedata.normalize("NFD", word).translate(letters()))
 
 
 @cache
@@ -102,16 +104,33 @@ def script(ch: str) -> str:
 
 
 def words(text: str) -> list[str]:
-    """Runs of letters of the alphabets that have look-alikes; ideographs divide words."""
-    out = []
-    for run in _TOKEN.findall(text):
-        if run.isascii():
-            out.append(run)
-        else:
-            out += [w for w in re.split(r"[⺀-鿿豈-﫿\U00020000-\U0003ffff぀-ヿ가-힯]+", run) if w]
+    """Runs of letters, with their marks, of the alphabets that have look-alikes; ideographs divide words."""
+    return _TOKEN.findall(text)
+
+
+@cache
+def twins() -> dict[str, dict[int, str]]:
+    """By script, what letters of the others become in it, where it has one of the same looks; the first listed of several."""
+    out: dict[str, dict[int, str]] = {}
+    for name in {script(ch) for ch in LETTERS} | {LATIN}:
+        own = {twin: twin for twin in TWINS} if name == LATIN else {}
+        for ch, twin in LETTERS.items():
+            if script(ch) == name:
+                own.setdefault(twin, ch)
+        table = {ord(ch): own[twin] for ch, twin in LETTERS.items() if twin in own and script(ch) != name}
+        out[name] = table | {ord(twin): ch for twin, ch in own.items() if name != LATIN}
     return out
 
 
+def repaired(word: str) -> str | None:
+    """A word of mixed scripts in its dominant one; None if it isn't mixed, or stays mixed because a letter has no twin there."""
+    name, mixed = dominant(word)
+    if not mixed:
+        return None
+    out = unicodedata.normalize("NFC", unicodedata.normalize("NFD", word).translate(twins().get(name, {})))
+    return None if dominant(out)[1] else out
+
+
 def dominant(word: str) -> tuple[str, bool]:
     """The script of most letters that have no twin in another script (of all letters, if each has one; Latin first in a
     tie), and whether the word mixes scripts."""
@@ -120,66 +139,65 @@ def dominant(word: str) -> tuple[str, bool]:
     return max(scripts, key=lambda s: (plain_.count(s), s == LATIN, s), default=LATIN), len(scripts) > 1
 
 
-def spellings(rows: DataFrame) -> DataFrame:
-    """(look, spelling): for each looks of a word that doesn't read as plain Latin in the vocabulary of rows (id, text), its
-    commonest spelling in a single script. Counted over all rows, added up by batch before the exchange."""
+def spellings(vocabulary: DataFrame) -> DataFrame:
+    """(word, spelling) of a vocabulary (word, n): the words that are to be spelled otherwise.
+
+    First the repair by script: a word that mixes scripts is put in its dominant one, if the result is in the vocabulary. Then
+    the equivalence of what looks the same all the same, which the script of a word can't decide (a lone А and a lone A, a
+    mixed word that the vocabulary hasn't got): words of equal looks, repaired or not, get the spelling that most of them
+    have in a single script, Latin if any has it, and Latin if none is in a single script.
+    """
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def analyse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            tally: dict[str, int] = {}
-            for text in pdf["text"]:
-                for w in words(plain(text)):
-                    tally[w] = tally.get(w, 0) + 1
-            out = [(look(w), w, n) for w, n in tally.items() if not dominant(w)[1]]
-            yield pd.DataFrame(out, columns=["look", "spelling", "n"])
+            yield pdf.assign(wish=[repaired(w) for w in pdf["word"]], look=[look(w) for w in pdf["word"]], mixed=[dominant(w)[1] for w in pdf["word"]])
 
-    n = rows.mapInPandas(count, "look string, spelling string, n bigint").groupBy("look", "spelling").agg(F.sum("n").alias("n"))
-    best = n.groupBy("look").agg(F.max_by("spelling", F.struct("n", F.expr("spelling = look"), "spelling")).alias("spelling"))
-    return best.where("look != spelling")
+    seen = written(vocabulary.mapInPandas(analyse, "word string, n bigint, wish string, look string, mixed boolean"), "words")
+    known = seen.select(F.col("word").alias("wish"), F.lit(True).alias("known"))
+    seen = seen.join(known, "wish", "left").withColumn("repaired", F.when(F.col("known"), F.col("wish")))
+    # words as they are after the repair
+    after = seen.select("word", "look", "n", F.coalesce("repaired", "word").alias("as"), (F.col("mixed") & F.col("repaired").isNull()).alias("mixed"))
+    n = after.where("not mixed").groupBy("look", "as").agg(F.sum("n").alias("n"))
+    best = n.groupBy("look").agg(F.max_by("as", F.struct(F.expr("as = look"), "n", "as")).alias("spelling"))
+    out = after.join(best, "look", "left").select("word", F.coalesce("spelling", "look").alias("spelling"))
+    return out.where("word != spelling")
 
 
 def one_form(rows: DataFrame, id_col: str = "row_id", text_col: str = "content") -> DataFrame:
     """(id_col, text, form): texts that look the same have the same form, others another one. form is NULL for NULL.
 
-    Invisible characters, width forms, spaces, dashes, accents and signs get one form everywhere. Letters go by word: the
-    looks of a word have one spelling, its commonest in a single script in the vocabulary of all rows, or Latin where
-    there is none; so a word that mixes scripts takes the script in which the corpus has it. Case, raised and circled
-    digits and different punctuation marks keep their differences. Other columns are ignored, whatever their names;
-    repeated rows give repeated results.
+    Invisible characters, width forms, spaces, dashes, accents and signs get one form everywhere. Letters go by word, by
+    spellings, with the vocabulary of all rows. Case, raised and circled digits and different punctuation marks keep their
+    differences. Other columns are ignored, whatever their names; repeated rows give repeated results, rows with NULL id
+    are kept.
     """
     base = spread(rows.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")))
-    best = spellings(base.where("text is not null"))
 
-    def words_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = {(i, look(w)) for i, t in zip(pdf["id"], pdf["text"], strict=True) for w in words(plain(t))}
-            yield pd.DataFrame(list(out), columns=["id", "look"])
+            form = [None if t is None else plain(t) for t in pdf["text"]]
+            used = [[] if t is None else list(words(t)) for t in form]
+            yield pdf.assign(form=form, words=used)
+
+    read_ = written(base.mapInPandas(read, "id bigint, text string, form string, words array<string>"), "read")
+    vocabulary = read_.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    best = written(spellings(vocabulary), "spellings")
 
-    used = base.where("id is not null and text is not null").mapInPandas(words_of, "id bigint, look string").join(best, "look")
-    used = used.groupBy("id").agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct("look", "spelling")))).alias("spelled"))
+    # rows with the same text are spelled alike, and ASCII words that look like no other word stay
+    key = F.xxhash64("form")
+    some = read_.select(key.alias("key"), F.explode(F.array_distinct("words")).alias("word")).join(best, "word")
+    some = some.groupBy("key").agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct("word", "spelling")))).alias("spelled"))
 
-    def render(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def spell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            form = []
-            for text, spelled in zip(pdf["text"], pdf["spelled"], strict=True):
-                seen = None if text is None else look(text)
-                if seen is not None and spelled is not None and len(spelled):
-                    spelled = dict(spelled)
-                    seen = _TOKEN.sub(lambda m, s=spelled: _spell(m[0], s), seen)
-                form.append(seen)
-            yield pdf[["id", "text"]].assign(form=form)
-
-    out = base.join(used, "id", "left").mapInPandas(render, "id bigint, text string, form string")
-    return out.select(F.col("id").alias(id_col), "text", "form")
-
-
-def _spell(run: str, spelled: dict[str, str]) -> str:
-    at, out = 0, []
-    for w in words(run):
-        begin = run.index(w, at)
-        out += [run[at:begin], spelled.get(w, w)]
-        at = begin + len(w)
-    return "".join([*out, run[at:]])
+            out = []
+            for form, spelled in zip(pdf["form"], pdf["spelled"], strict=True):
+                spelled = {} if spelled is None else dict(spelled)
+                out.append(unicodedata.normalize("NFC", _TOKEN.sub(lambda m, s=spelled: s.get(m[0], m[0]), form)) if spelled else form)
+            yield pdf[["id", "text"]].assign(form=out)
+
+    out = read_.select("id", "text", "form", key.alias("key")).join(some, "key", "left").select("id", "text", "form", "spelled")
+    return out.mapInPandas(spell, "id bigint, text string, form string").select(F.col("id").alias(id_col), "text", "form")
 
 
 def equal_looking(rows: DataFrame, id_col: str = "row_id", text_col: str = "content") -> DataFrame:

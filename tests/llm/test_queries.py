@@ -2,9 +2,10 @@
 
 import pytest
 
-from inkstone.llm import lookalike, queries
+from inkstone.llm import queries
 from tests.compare import connection, differing
 from tests.llm import brute
+from tests.llm.test_typed import looks
 
 ALL = queries.queries()
 
@@ -33,7 +34,7 @@ def test_near(spark, sf, duck):
 
 def test_looks(spark, sf, duck):
     rows = duck.execute("select row_id, content from assignment_rows where content is not null order by row_id").fetchall()
-    want = {(i, j) for n, (j, b) in enumerate(rows) for i, a in rows[:n] if a != b and lookalike.look(a) == lookalike.look(b)}
+    want = {(i, j) for n, (j, b) in enumerate(rows) for i, a in rows[:n] if a != b and looks(a) == looks(b)}
     assert pairs(spark, sf, "p4_found") == want
 
 

@@ -1,4 +1,5 @@
 import random
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -82,10 +83,39 @@ SAME = [
 OTHER = [("x²", "x2"), ("①", "1"), ("A", "a"), ("、", ","), ("。", "."), ("α", "a"), ("a b", "ab"), ("a  b", "a b"), ("-", "_"), ("(1)", "①")]
 
 
+#: Equal shapes, written for the tests: each first character stands for those after it.
+SHAPES = (
+    "AΑА BΒВ CСϹ DԀ EΕЕ GԌ HΗНҺ IΙІӀ JЈͿ KΚК MΜМ NΝ OΟОՕ PΡР QԚ SЅ TΤТ VѴ WԜ XΧХ YΥУҮ ZΖ aаɑ cсϲ dԁ eе gɡ hһ iі jјϳ lӏ oοоօ pр qԛ sѕ vѵ wԝ xх yу 3З "
+    "-‐‑‒–—―−⁃˗⸺⸻ ·⋅∙‧・· :∶꞉ |∣ǀ /∕⁄ *∗⁎ ~∼〜˜ ^ˆ ∥‖ ⊥⟂ Δ∆ Σ∑ Π∏ μµ °˚"
+).split()
+_SHAPES = {ord(c): g[0] for g in SHAPES for c in g[1:]}
+_HIDDEN = {0x34F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x3164, 0xFFA0, *range(0x180B, 0x1810), *range(0xFE00, 0xFE10), *range(0xE0100, 0xE01F0)}
+
+
+def looks(t):
+    """What a text looks like, character by character, without the module's tables but for the radicals'."""
+    out = []
+    for c in t.replace("\r\n", "\n"):
+        kind, cp = unicodedata.category(c), ord(c)
+        if cp in _HIDDEN or kind == "Cf" or (kind == "Cc" and not c.isspace()):
+            continue
+        if kind == "Zs":
+            c = " "
+        elif cp in (0x2028, 0x2029, 0x85):
+            c = "\n"
+        elif c in lookalike.RADICALS:
+            c = lookalike.RADICALS[c]
+        elif 0xFF00 <= cp <= 0xFFEF or 0x2F00 <= cp <= 0x2FDF or cp in (0x2E9F, 0x2EF3) or 0x2160 <= cp < 0x2180 or 0xFB00 <= cp < 0xFB07 or 0xFE50 <= cp < 0xFE70:
+            c = unicodedata.normalize("NFKC", c)
+        out.append(c)
+    return unicodedata.normalize("NFC", unicodedata.normalize("NFD", "".join(out)).translate(_SHAPES))
+
+
 def test_looks():
-    assert all(lookalike.look(a) == lookalike.look(b) for a, b in SAME)
-    assert all(lookalike.look(a) != lookalike.look(b) for a, b in OTHER)
-    assert all(lookalike.look(lookalike.look(a)) == lookalike.look(a) for pair in SAME + OTHER for a in pair)
+    seen = lambda t: lookalike.look(lookalike.plain(t))
+    assert all(seen(a) == seen(b) == looks(a) == looks(b) for a, b in SAME)
+    assert all(seen(a) != seen(b) and looks(a) != looks(b) for a, b in OTHER)
+    assert all(seen(seen(a)) == seen(a) for pair in SAME + OTHER for a in pair)
 
 
 def test_pairs(spark):
@@ -93,7 +123,7 @@ def test_pairs(spark):
     df = spark.createDataFrame([(i, t, "x", "y") for i, t in enumerate(texts)], "row_id bigint, content string, form string, text string").repartition(3)
     want = {
         (i, j) for j, b in enumerate(texts) for i, a in enumerate(texts[:j])
-        if a is not None and b is not None and a != b and lookalike.look(a) == lookalike.look(b)
+        if a is not None and b is not None and a != b and looks(a) == looks(b)
     }
     assert {tuple(r) for r in lookalike.equal_looking(df).select("row_a", "row_b").collect()} == want
     assert lookalike.equal_looking(df.where("row_id < 0")).count() == 0
@@ -107,6 +137,23 @@ def test_script_of_the_corpus(spark):
     form = {r.row_id: r.form for r in lookalike.one_form(df).collect()}
     assert form[2] == "слово три" and form[4] == "the paper" and form[5] == form[6] and form[0] == "слово раз"
     assert lookalike.dominant("cлoвo") == ("Cyrillic", True) and lookalike.words("点AB在") == ["AB"]
+    assert lookalike.repaired("cлoвo") == "слово" and lookalike.repaired("рaper") == "paper" and lookalike.repaired("paper") is None and lookalike.repaired("xжλ") is None
+
+
+def test_repair_needs_the_vocabulary(spark):
+    """A mixed word takes its dominant script only if the corpus has the result; equal looks get one form in any case."""
+    spelled = lambda *w: {r.word: r.spelling for r in lookalike.spellings(spark.createDataFrame(list(w), "word string, n bigint")).collect()}
+    assert spelled(("слово", 2), ("cлoвo", 1)) == {"cлoвo": "слово"}
+    assert spelled(("cлoвo", 1)) == {}
+    assert spelled(("СОР", 5), ("COP", 1)) == {"СОР": "COP"} and spelled(("СОР", 5), ("CОР", 1)) == {"CОР": "СОР"}
+    assert spelled(("Аa", 1)) == {"Аa": "Aa"} and spelled(("ё", 1), ("ë", 2)) == {"ё": "ë"}
+
+
+def test_marks_and_digits(spark):
+    texts = ["а́б", "áб", "З5", "35", "Зима", "3има", "3имa", "Ａ１", "А1"]
+    form = {r.row_id: r.form for r in lookalike.one_form(spark.createDataFrame(list(enumerate(texts)), "row_id bigint, content string")).collect()}
+    same = {(i, j) for i in form for j in form if form[i] == form[j]}
+    assert same == {(i, j) for i in form for j in form if looks(texts[i]) == looks(texts[j])}
 
 
 def test_null_ids(spark):
