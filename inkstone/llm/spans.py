@@ -41,22 +41,21 @@ def covers(period: int, cover: tuple[int, ...]) -> bool:
 
 
 def _emit(owner: np.ndarray, key: np.ndarray, pos: np.ndarray, more: np.ndarray | None = None) -> pd.DataFrame:
-    """Rows for the exchange: k, id and p, which is 31 further bits of the key (more), pos, and whether the row is settled here.
-    Such rows travel under a key of their own, so that no key is hot."""
-    more = np.zeros(len(key), np.uint64) if more is None else more >> np.uint64(33)
+    """Rows for the exchange: k, id, pos (negative, less one, for rows that are settled here), and m, 31 further bits of the key.
+    Settled rows travel under a key of their own, so that no key is hot."""
     known, send = local_combine(key, owner, more)
     again = known & ~send
     own = key ^ mix64(owner.view(np.uint64) ^ mix64(pos.astype(np.uint64)))
-    p = (more.astype(np.int64) << 32) | (pos.astype(np.int64) << 1) | known
-    return pd.DataFrame({"k": np.where(again, own, key).view(np.int64), "id": owner, "p": p})
+    out = pd.DataFrame({"k": np.where(again, own, key).view(np.int64), "id": owner, "pos": np.where(known, -pos - 1, pos).astype(np.int32)})
+    return out if more is None else out.assign(m=more.astype(np.int32))
 
 
-def _shared(rows: DataFrame) -> DataFrame:
+def _shared(rows: DataFrame, *key: str) -> DataFrame:
     """Rows whose key has rows of another record."""
-    w = Window.partitionBy("k", F.shiftright("p", 32))
+    w = Window.partitionBy(*key)
     return (
         rows.withColumn("lo", F.min("id").over(w)).withColumn("hi", F.max("id").over(w))
-        .where((F.col("p").bitwiseAND(1) == 1) | (F.col("lo") != F.col("hi"))).select("id", F.shiftright(F.col("p").bitwiseAND(0xFFFFFFFF), 1).cast("int").alias("pos"))
+        .where((F.col("pos") < 0) | (F.col("lo") != F.col("hi"))).select("id", F.expr("if(pos < 0, -pos - 1, pos)").alias("pos"))
     )
 
 
@@ -105,14 +104,14 @@ def shared_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 s = np.flatnonzero(np.cumsum(step[:-1]) > 0)
                 owner.append(np.full(len(s), id_, np.int64))
                 key.append(h[s])
-                more.append(other(c)[s] if len(s) else h[s])
+                more.append((other(c)[s] if len(s) else h[s]) >> np.uint64(33))
                 pos.append(s)
             if owner:
                 yield _emit(np.concatenate(owner), np.concatenate(key), np.concatenate(pos).astype(np.int32), np.concatenate(more))
 
-    row = "k bigint, id bigint, p bigint"
-    near = _shared(base.mapInPandas(anchors, row)).groupBy("id").agg(F.collect_list("pos").alias("at"))
-    same = _shared(base.join(near, "id").mapInPandas(runs, row))
+    row = "k bigint, id bigint, pos int"
+    near = _shared(base.mapInPandas(anchors, row), "k").groupBy("id").agg(F.collect_list("pos").alias("at"))
+    same = _shared(base.join(near, "id").mapInPandas(runs, f"{row}, m int"), "k", "m")
     by = Window.partitionBy("id").orderBy("pos")
     same = same.withColumn("new", (F.col("pos") > F.lag("pos").over(by) + min_len).cast("int"))
     same = same.withColumn("stretch", F.sum(F.coalesce("new", F.lit(0))).over(by))
