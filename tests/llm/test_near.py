@@ -196,59 +196,40 @@ def test_family_over_history_and_batches(spark):
     assert sum(looked) < 2000
 
 
-def test_hot_key_of_suffixes(spark):
-    """Many records share all suffixes: each is matched with the first, and rejected by it."""
-    r = random.Random(3)
-    base = text(r, 80)
-    rows = [(i, None, edited(r, base, 1)) for i in range(150)]
-    df = spark.createDataFrame(rows, "seq bigint, id string, content string").withColumn("batch_no", F.lit(1))
-    got = {(x.accepted_seq, x.seq) for x in incremental.rejected(df.where("seq < 1"), df.where("seq >= 1")).collect()}
-    assert got == {(0, i) for i in range(1, 150)}
-
-
-def test_short_reordered_texts(spark):
-    """A short text whose clauses change places shares few suffixes, and is found."""
-    rows = [(1, None, "21. （11分）直三棱柱的体积为860，其高与底面边长之比是15/43，老岑比初珩晚到69分钟，则证明：TP∥平面TGM。"), (2, None, "9．老岑比初珩晚到69分钟，其高与底面边长之比是15/43，（11分）直三棱柱的体积为860，则证明：TP∥平面TGM。")]
-    df = spark.createDataFrame(rows, "seq bigint, id string, content string").withColumn("batch_no", F.lit(1))
-    assert [tuple(x) for x in incremental.rejected(df.where("seq = 1"), df.where("seq = 2")).collect()] == [(1, 2)]
-
-
 def brute_rows(spark, rows, first_new):
-    df = spark.createDataFrame(rows, "seq bigint, id string, content string").withColumn("batch_no", F.expr(f"(seq - {first_new}) div 40"))
+    df = spark.createDataFrame(rows, "seq bigint, id string, content string").withColumn("batch_no", F.expr(f"(seq - {first_new}) div 300"))
     got = {tuple(x) for x in incremental.rejected(df.where(f"seq < {first_new}"), df.where(f"seq >= {first_new}")).collect()}
     assert got == rejected([x for x in rows if x[0] < first_new], [x for x in rows if x[0] >= first_new])
     return got
 
 
-def test_similar_texts_without_long_matches(spark):
-    """Texts of few characters, with short matches only, and with clauses in reverse order, are found at 0.60 or more."""
+def test_hard_pairs(spark):
+    """Texts of few characters, with short matches only, with clauses in other orders, with edits every twelve characters, and
+    one text with many near copies: all that brute force finds at 0.60 or more, in one run."""
     r = random.Random(12)
-    clauses = ["".join(chr(0x4E00 + r.randrange(5000)) for _ in range(10)) for _ in range(12)]
-    pairs = [("计算12加34的值", "计算12加34的值是"), ("求函数f(x)=2x+3的最小值和最大值", "求函数f(x)=5x+3的最小值和最大值"), ("，".join(clauses), "，".join(clauses[::-1])), ("abc", "abcd"), ("abcd", "abcde"), ("甲乙丙", "甲乙丙甲乙丙")]
-    rows = [(i, None, a) for i, (a, _) in enumerate(pairs)] + [(100 + i, None, b) for i, (_, b) in enumerate(pairs)]
-    assert {(0, 100), (1, 101), (2, 102)} <= brute_rows(spark, rows, 100)
-
-
-def test_judged_cases(spark):
-    """Edits every twelve characters, short and long; and clauses of stored texts in other orders."""
-    r = random.Random(21)
     han = lambda n: "".join(chr(0x4E00 + r.randrange(9000)) for _ in range(n))
     every = lambda t, k: "".join(han(1) if i % k == k - 1 else c for i, c in enumerate(t))
-    short, long_ = han(60), han(300)
-    rows = [(1, None, short), (2, None, long_), (101, None, every(short, 13)), (102, None, every(long_, 12))]
-    assert all(similarity(rows[i][2], rows[i + 2][2]) >= 0.6 for i in (0, 1))
-    assert brute_rows(spark, rows, 100) == {(1, 101), (2, 102)}
-    clauses = [han(14) for _ in range(20)]
-    old = [(i, None, "，".join(r.sample(clauses, 6))) for i in range(300)]
-    new = [(1000 + i, None, "，".join(r.sample(old[5 * i][2].split("，"), 6))) for i in range(60)]
-    assert len(brute_rows(spark, old + new, 1000)) == 60
-
-
-def test_all_short_texts(spark):
-    """Many texts of few letters, of any similarity, against brute force."""
-    r = random.Random(13)
-    rows = [(i, None, "".join(r.choice("abc") for _ in range(r.randint(3, 14)))) for i in range(300)]
-    assert brute_rows(spark, rows, 150)
+    clauses, short, long_ = [han(10) for _ in range(12)], han(60), han(300)
+    pairs = [
+        ("计算12加34的值", "计算12加34的值是"), ("求函数f(x)=2x+3的最小值和最大值", "求函数f(x)=5x+3的最小值和最大值"), ("，".join(clauses), "，".join(clauses[::-1])),
+        (short, every(short, 13)), (long_, every(long_, 12)),
+        ("21. （11分）直三棱柱的体积为860，其高与底面边长之比是15/43，老岑比初珩晚到69分钟，则证明：TP∥平面TGM。", "9．老岑比初珩晚到69分钟，其高与底面边长之比是15/43，（11分）直三棱柱的体积为860，则证明：TP∥平面TGM。"),
+        ("abc", "abcd"), ("abcd", "abcde"), ("甲乙丙", "甲乙丙甲乙丙"),
+    ]
+    assert all(similarity(*p) >= 0.6 for p in pairs[:6])
+    old, new = [(i, None, a) for i, (a, _) in enumerate(pairs)], [(1000 + i, None, b) for i, (_, b) in enumerate(pairs)]
+    some = [han(14) for _ in range(20)]
+    old += [(100 + i, None, "，".join(r.sample(some, 6))) for i in range(150)]
+    new += [(1100 + i, None, "，".join(r.sample(old[len(pairs) + 5 * i][2].split("，"), 6))) for i in range(30)]
+    few = lambda: "".join(r.choice("xyz") for _ in range(r.randint(3, 14)))
+    old += [(400 + i, None, few()) for i in range(120)]
+    new += [(1400 + i, None, few()) for i in range(120)]
+    base = text(r, 80)
+    old.append((600, None, base))
+    new += [(1600 + i, None, edited(r, base, 1)) for i in range(100)]
+    got = brute_rows(spark, old + new, 1000)
+    assert {(i, 1000 + i) for i in range(6)} | {(600, 1600 + i) for i in range(100)} <= got
+    assert set(range(1100, 1130)) <= {q for _, q in got}
 
 
 def test_middle_of_long_lists(spark, monkeypatch):
