@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from inkstone.llm.text import gram_ids, gram_set, jaccard, letters_digits, mix64
+from inkstone.llm.text import codes, gram_set, jaccard, letters_digits, mix64
 from inkstone.session import spread
 
 #: Characters of a run.
@@ -23,8 +23,9 @@ DEPTH = 3
 COMMON = 1 << 17
 #: Runs that a task counts before it adds them up.
 COUNTED = 1 << 21
-#: 64-bit words of a text's signature, and pairs that are tested at a time.
-WORDS, CHUNK = 4, 1 << 21
+#: 64-bit words of a text's signature: with four, texts of 200 runs and more with nothing in common pass. Of FIRST of them
+#: most pairs are told apart. Pairs that are tested at a time are few enough to stay in a core's cache.
+WORDS, FIRST, CHUNK = 6, 3, 1 << 15
 BITS = [f"b{i}" for i in range(WORDS)]
 _BITS = ", ".join(f"{b} bigint" for b in BITS)
 ENTRY = f"key bigint, node bigint, size int, room int, {_BITS}"
@@ -57,6 +58,23 @@ def class_nodes(rows: DataFrame) -> DataFrame:
     return rows.groupBy("cls").agg(F.min("id").alias("node"), F.first("norm").alias("norm")).select("node", "cls", "norm")
 
 
+def text_runs(norms: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, at, key): of every place of the texts' runs its text and where key has it, and the distinct runs of all, ascending."""
+    c, n = codes("".join(norms)).astype(np.uint64), np.fromiter(map(len, norms), np.int64, len(norms))
+    runs = np.maximum(n - DEPTH + 1, 0)
+    row = np.repeat(np.arange(len(norms)), runs)
+    at = np.arange(len(row)) + np.repeat((np.cumsum(n) - n) - (np.cumsum(runs) - runs), runs)
+    key, at = np.unique((c[at] << np.uint64(42)) | (c[at + 1] << np.uint64(21)) | c[at + 2], return_inverse=True)
+    return row, at, key
+
+
+def once(row: np.ndarray, rank: np.ndarray, ranks: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, rank) without repeats, in order of both. Ranks are under ranks."""
+    both = np.sort(row * ranks + rank)
+    both = both[np.r_[True, both[1:] != both[:-1]]] if len(both) else both
+    return both // max(ranks, 1), both % max(ranks, 1)
+
+
 def common_runs(nodes: DataFrame) -> pd.DataFrame:
     """(key, n): the most frequent runs of nodes (node, norm), counted over all of them, by key."""
 
@@ -69,7 +87,8 @@ def common_runs(nodes: DataFrame) -> pd.DataFrame:
         for pdf in batches:
             if not len(pdf):
                 continue
-            key, n = np.unique(np.concatenate([gram_ids(x, DEPTH) for x in pdf["norm"]]), return_counts=True)
+            row, at, key = text_runs(pdf["norm"].tolist())
+            n = np.bincount(once(row, at, len(key))[1], minlength=len(key))
             keys, ns, held = [*keys, key], [*ns, n], held + len(key)
             if held > COUNTED:
                 key, n = added(keys, ns)
@@ -93,8 +112,16 @@ def signatures(grams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndar
     that only one text has."""
     size = np.array([len(g) for g in grams], np.int64)
     row, mixed = np.repeat(np.arange(len(size)), size), mix64(np.concatenate(grams))
-    n = np.bincount(row * 64 * WORDS + (mixed % np.uint64(64 * WORDS)).astype(np.int64), minlength=len(size) * 64 * WORDS) & 1
-    return row, mixed, np.packbits(n.astype(np.uint8).reshape(len(size), -1), 1).view(np.int64)
+    return row, mixed, _signed(row, _places(mixed), len(size))
+
+
+def _places(mixed: np.ndarray) -> np.ndarray:
+    return (mixed % np.uint64(64 * WORDS)).astype(np.int64)
+
+
+def _signed(row: np.ndarray, place: np.ndarray, texts: int) -> np.ndarray:
+    n = np.bincount(row * 64 * WORDS + place, minlength=texts * 64 * WORDS) & 1
+    return np.packbits(n.astype(np.uint8).reshape(texts, -1), 1).view(np.int64)
 
 
 def entries(nodes: DataFrame, common: pd.DataFrame, similarity: float, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -110,17 +137,18 @@ def entries(nodes: DataFrame, common: pd.DataFrame, similarity: float, keep: tup
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         runs, often = known.value
         for pdf in (whole[at : at + 2000] for whole in batches for at in range(0, len(whole), 2000)):
-            grams = [gram_ids(x, DEPTH) for x in pdf["norm"]]
-            size = np.array([len(g) for g in grams], np.int64)
-            row, mixed, bits = signatures(grams)
-            key, n = np.concatenate(grams).view(np.int64), np.zeros(len(row), np.int64)
+            row, at, key = text_runs(pdf["norm"].tolist())
+            mixed, key, n = mix64(key), key.view(np.int64), np.zeros(len(key), np.int64)
             if len(runs):
-                at = np.minimum(np.searchsorted(runs, key), len(runs) - 1)
-                n = np.where(runs[at] == key, often[at], 0)
-            order = np.lexsort((mixed, n, row))
-            left = np.repeat(np.cumsum(size), size) - np.arange(len(key))  # runs of the text from this one on
+                known_at = np.minimum(np.searchsorted(runs, key), len(runs) - 1)
+                n = np.where(runs[known_at] == key, often[known_at], 0)
+            order = np.lexsort((mixed, n))
+            row, at = once(row, np.argsort(order)[at], len(key))
+            size = np.bincount(row, minlength=len(pdf))
+            bits = _signed(row, _places(mixed)[order][at], len(pdf))
+            left = np.repeat(np.cumsum(size), size) - np.arange(len(row))  # runs of the text from this one on
             use = left >= np.ceil(similarity * size - 1e-9)[row]
-            key, row, left = key[order][use], row[use], left[use]
+            key, row, left = key[order][at[use]], row[use], left[use]
             room = np.floor(left * (1 + similarity) / similarity - size[row] + 1e-6)
             out = {"key": key, "node": pdf["node"].to_numpy(np.int64)[row], "size": size[row].astype(np.int32), "room": room.astype(np.int32)}
             out |= {b: bits[row, i] for i, b in enumerate(BITS)} | {c: pdf[c].to_numpy(np.int64)[row] for c in keep}
@@ -134,15 +162,15 @@ def sketches(nodes: DataFrame) -> DataFrame:
     them in common, so a few lists tell what most groups are; what these miss is left to the index."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            grams = [gram_ids(x, DEPTH) for x in pdf["norm"]]
-            row, mixed, bits = signatures(grams)
-            order = np.lexsort((mixed, row))
-            size = np.array([len(g) for g in grams], np.int64)
+        for pdf in (whole[at : at + 2000] for whole in batches for at in range(0, len(whole), 2000)):
+            row, at, key = text_runs(pdf["norm"].tolist())
+            mixed = mix64(key)
+            order = np.argsort(mixed)
+            row, at = once(row, np.argsort(order)[at], len(key))
+            size = np.bincount(row, minlength=len(pdf))
+            bits = _signed(row, _places(mixed)[order][at], len(pdf))
             use = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size) < SKETCH
-            row, key = row[use], np.concatenate(grams).view(np.int64)[order][use]
+            row, key = row[use], key.view(np.int64)[order][at[use]]
             out = {"key": key, "node": pdf["node"].to_numpy(np.int64)[row], "size": size[row].astype(np.int32)}
             yield pd.DataFrame(out | {b: bits[row, i] for i, b in enumerate(BITS)})
 
@@ -185,19 +213,14 @@ def counted_lists(index: DataFrame, common: pd.DataFrame, tag: str) -> DataFrame
 
 def _chunks(left: np.ndarray, begin: np.ndarray, end: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs (i, j) of each i of left with all j from its begin up to its end, some CHUNK at a time."""
-    some = end > begin
-    left, begin, end = left[some], begin[some], end[some]
-    while len(left):
-        n = np.cumsum(end - begin)
-        k = max(1, int(np.searchsorted(n, CHUNK, "right")))
-        if n[0] > CHUNK:
-            end_ = begin[0] + CHUNK
-            yield np.repeat(left[:1], CHUNK), np.arange(begin[0], end_)
-            begin = np.r_[end_, begin[1:]]
-            continue
-        lens = (end - begin)[:k]
-        yield np.repeat(left[:k], lens), np.arange(n[k - 1]) + np.repeat(begin[:k] - (n[:k] - lens), lens)
-        left, begin, end = left[k:], begin[k:], end[k:]
+    n = np.maximum(end - begin, 0)
+    stop = np.cumsum(n)
+    every, shift = int(stop[-1]) if len(stop) else 0, begin - (stop - n)
+    for p in range(0, every, CHUNK):
+        q = min(p + CHUNK, every)
+        k, m = np.searchsorted(stop, [p, q - 1], "right")
+        lens = np.minimum(stop[k : m + 1], q) - np.maximum(stop[k : m + 1] - n[k : m + 1], p)
+        yield np.repeat(left[k : m + 1], lens), np.arange(p, q) + np.repeat(shift[k : m + 1], lens)
 
 
 class _Lists:
@@ -206,7 +229,8 @@ class _Lists:
     def __init__(self, pdf: pd.DataFrame, similarity: float, tag: str | None, most: str | None) -> None:
         column = lambda c: pdf[c].to_numpy(np.int64)
         self.similarity, self.node, self.size, self.room = similarity, column("node"), column("size"), column("room")
-        self.bits = np.stack([column(b) for b in BITS], 1).view(np.uint64)
+        self.bits = [column(b).view(np.uint64) for b in BITS]
+        self.quota = self.size * ((1 - similarity) / (1 + similarity))
         self.left, self.right = pdf["left"].to_numpy(bool), pdf["right"].to_numpy(bool)
         self.tag = column(tag) if tag else self.node
         self.most = column(most) if most else None
@@ -214,13 +238,15 @@ class _Lists:
         self.group = np.cumsum(np.r_[True, (key[1:] != key[:-1]) | (part[1:] != part[:-1])]) - 1
 
     def _admitted(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        size, room, t = self.size, self.room, self.similarity
+        size, room, quota, unlike = self.size, self.room, self.quota[i] + self.quota[j] + 1e-6, 0
+        for some in (self.bits[:FIRST], self.bits[FIRST:]):
+            for b in some:
+                unlike = unlike + np.bitwise_count(b[i] ^ b[j]).astype(np.int16)
+            use = np.flatnonzero(unlike <= quota)
+            i, j, quota, unlike = i[use], j[use], quota[use], unlike[use]
         use = (size[j] <= room[i]) & (size[i] <= room[j]) & (self.tag[i] != self.tag[j])
         # of two that may both stand left, the smaller does
         use &= (size[i] < size[j]) | ((size[i] == size[j]) & (self.node[i] < self.node[j])) if self.most is None else self.node[j] < self.most[i]
-        i, j = i[use], j[use]
-        unlike = np.bitwise_count(self.bits[i] ^ self.bits[j]).sum(1, dtype=np.int32)
-        use = unlike <= (size[i] + size[j]) * ((1 - t) / (1 + t)) + 1e-6
         return i[use], j[use]
 
     def pairs(self) -> pd.DataFrame:

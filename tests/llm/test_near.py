@@ -108,6 +108,23 @@ def test_shared_template_costs_in_proportion(spark):
     assert looked[1] <= 2 * looked[0] + 600
 
 
+def test_long_unlike_texts_leave_no_pairs(spark):
+    """Texts of some 270 runs from the same words, none alike, meet in lists but aren't sent on for verification."""
+    r = random.Random(21)
+    words = ["".join(chr(0x4E00 + r.randrange(9000)) for _ in range(12)) for _ in range(200)]
+    nodes = spark.createDataFrame([(i, "".join(r.sample(words, 22))) for i in range(200)], "node bigint, norm string")
+    rows = index.entries(nodes, index.common_runs(nodes), 0.6).toPandas().assign(part=0, left=True, right=True)
+    assert rows["key"].duplicated().sum() > 1000
+    assert len(index._Lists(rows.sort_values("key"), 0.6, None, None).pairs()) < 5
+
+
+def test_runs_of_many_texts():
+    texts = ["abc", "abcabc", "甲乙丙丁甲乙丙", "\U0001d49c甲x\ud800"]
+    row, at, key = index.text_runs(texts)
+    row, at = index.once(row, at, len(key))
+    assert [key[at[row == i]].tolist() for i in range(4)] == [gram_ids(t).tolist() for t in texts]
+
+
 def test_components(spark):
     r = random.Random(2)
     edges = [(i, i + 1) for i in range(200)] + [(500, 500 + i) for i in range(1, 50)] + [(900, 900), (901, 902), (902, 901)]
