@@ -222,11 +222,11 @@ class SegmentStore:
         drop(index, parts)
         return links.select(F.col("a").alias("cls"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("cls"), F.col("a").alias("other")))
 
-    def accept(self, batch: DataFrame, seq_col: str = "seq", id_col: str = "id", text_col: str = "content") -> DataFrame:
+    def accept(self, batch: DataFrame, seq_col: str = "seq", id_col: str = "id", text_col: str = "content", keep: bool = True) -> DataFrame:
         """Check a batch against all segments and itself, append what is accepted, and return (accepted_seq, seq) of the rest.
 
         Records of the batch with the same id and text decide alike, so one stands for all. Those that repeat a stored record
-        are decided at once; the others are taken in order of seq.
+        are decided at once; the others are taken in order of seq. Without keep nothing is appended.
         """
         full = written(keyed(batch, seq_col, id_col, text_col), "records")
         nodes = written(class_nodes(full.where("cls is not null").select("id", "cls", "norm")), "nodes")
@@ -252,12 +252,14 @@ class SegmentStore:
         again = first.select("node", "idk", "cls", F.col("node").alias("accepted_seq"))
         found = fresh.alias("f").join(out.unionByName(again).alias("d"), same).where("d.accepted_seq < f.seq").select("d.accepted_seq", "f.seq")
         found = written(found, "rejected")
-        self.add(full.join(found.select(F.col("seq").alias("id")), "id", "left_anti"))
+        if keep:
+            self.add(full.join(found.select(F.col("seq").alias("id")), "id", "left_anti"))
         return found
 
-    def accept_backlog(self, rows: DataFrame, batch_col: str, seq_col: str = "seq", id_col: str = "id", text_col: str = "content", share: float = SHARE) -> DataFrame:
+    def accept_backlog(self, rows: DataFrame, batch_col: str, seq_col: str = "seq", id_col: str = "id", text_col: str = "content", share: float = SHARE, keep: bool = True) -> DataFrame:
         """accept for all batches of rows, in order of seq. Batches are taken together until they have the share of the rows
-        that are stored by then, so that history is searched a number of times that grows with the logarithm of the backlog."""
+        that are stored by then, so that history is searched a number of times that grows with the logarithm of the backlog.
+        Without keep the last of them aren't appended: for a store that nothing is searched in afterwards."""
         starts = rows.where(F.col(seq_col).isNotNull()).groupBy(batch_col).agg(F.min(seq_col).cast("bigint").alias("first"), F.count("*").alias("n"))
         starts = sorted((r["first"], r["n"]) for r in starts.collect())  # one a batch
         stored, out, at = sum(s["rows"] for s in self.segments()), [], 0
@@ -267,7 +269,7 @@ class SegmentStore:
                 n, at = n + starts[at][1], at + 1
             some = rows.where(F.col(seq_col) >= starts[begin][0])
             some = some.where(F.col(seq_col) < starts[at][0]) if at < len(starts) else some
-            out.append(self.accept(some, seq_col, id_col, text_col))
+            out.append(self.accept(some, seq_col, id_col, text_col, keep or at < len(starts)))
             stored += n
         if not out:
             return rows.sparkSession.createDataFrame([], "accepted_seq bigint, seq bigint")
@@ -290,4 +292,4 @@ def rejected(
     """
     store = SegmentStore(history.sparkSession, scratch(history.sparkSession, "segments"), similarity)
     store.load(history, seq_col, id_col, text_col)
-    return store.accept_backlog(incoming, batch_col, seq_col, id_col, text_col, share)
+    return store.accept_backlog(incoming, batch_col, seq_col, id_col, text_col, share, False)

@@ -257,9 +257,14 @@ class _Lists:
         big = int(max(self.size.max(initial=0), self.room.max(initial=0))) + 2
         by_size = others[np.lexsort((self.size[others], self.group[others]))]
         key, g = self.group[by_size] * big + self.size[by_size], self.group[own]
-        low = self.size[own] if self.most is None else np.ceil(t * self.size[own] - 1e-6).astype(np.int64)
-        begin, end = place(key, g * big + low, "left"), place(key, g * big + np.maximum(self.room[own], 0), "right")
-        end = np.maximum(begin, end)
+        begin, end = place(key, g * big + self.size[own], "left"), place(key, g * big + np.maximum(self.room[own], 0), "right")
+        ways = [(by_size, begin, np.maximum(begin, end))]
+        if self.most is not None:
+            # a right entry is the smaller of two only if it has room for more than its own size
+            early = by_size[self.room[by_size] > self.size[by_size]]
+            key, low = self.group[early] * big + self.size[early], np.ceil(t * self.size[own] - 1e-6).astype(np.int64)
+            begin, end = place(key, g * big + low, "left"), place(key, g * big + np.maximum(np.minimum(self.room, self.size - 1)[own], 0), "right")
+            ways.append((early, begin, np.maximum(begin, end)))
         # tags and nodes as ranks, so that they can be searched with their group
         what = self.tag if self.most is None else self.node
         names, rank = np.unique(what, return_inverse=True)
@@ -270,8 +275,8 @@ class _Lists:
             a, b = place(key, g * n + rank[own], "left"), place(key, g * n + rank[own], "right")
         else:
             a, b = place(key, g * n + place(names, self.most[own], "left"), "left"), last
-        short = (a - first) + (last - b) < end - begin
-        out = [self._admitted(i, by_size[j]) for i, j in _chunks(own[~short], begin[~short], end[~short])]
+        short = (a - first) + (last - b) < sum(end - begin for _, begin, end in ways)
+        out = [self._admitted(i, by[j]) for by, begin, end in ways for i, j in _chunks(own[~short], begin[~short], end[~short])]
         for x, y in ((first, a), (b, last)):
             out += [self._admitted(i, by_tag[j]) for i, j in _chunks(own[short], x[short], y[short])]
         none = np.empty(0, np.int64)

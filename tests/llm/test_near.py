@@ -194,6 +194,21 @@ def test_backlog(spark, texts, monkeypatch):
         assert sum(taken) == len(new) and (len(taken) == 1) == (share == 9.0)
 
 
+def test_last_batches_are_not_stored(spark, texts, tmp_path, monkeypatch):
+    """A query writes no segment that nothing is searched in; a store that stays gets all that is accepted."""
+    old, new = history_and_batches(texts[:30])
+    frame = lambda rows: spark.createDataFrame([(*x, x[0] // 9) for x in rows], "seq bigint, id string, content string, batch_no bigint").repartition(3)
+    added, add = [], incremental.SegmentStore.add
+    monkeypatch.setattr(incremental.SegmentStore, "add", lambda self, rows: (added.append(rows.count()), add(self, rows))[1])
+    want = rejected(old, new)
+    assert {tuple(r) for r in incremental.rejected(frame(old), frame(new), share=9.0).collect()} == want
+    assert added == [len(old)]
+    store = incremental.SegmentStore(spark, str(tmp_path / "segments"))
+    store.load(frame(old))
+    assert {tuple(r) for r in store.accept_backlog(frame(new), "batch_no", share=9.0).collect()} == want
+    assert added[1:] == [len(old), len(new) - len({q for _, q in want})]
+
+
 def test_family_over_history_and_batches(spark):
     """A third of all rows are near copies of one text: each repeats the first, and few pairs are verified."""
     r = random.Random(15)
