@@ -4,15 +4,19 @@ from __future__ import annotations
 
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import BinaryType, DoubleType
 
 from inkstone.functions.text import normal_form, number_in_upload, question_form
 from inkstone.operators.search import knn_join
+from inkstone.session import written
 
 TEXT_SIMILARITY, EMBEDDING_SIMILARITY, CANDIDATES, PREVIEW = 0.92, 0.80, 3, 160
+#: Kinds of characters that a bound on text similarity tells apart, as a power of two.
+KIND_BITS = 6
 
 
 def stable_key(doc_hash: Column, content: Column) -> Column:
@@ -47,6 +51,24 @@ def text_similarity(new: pd.Series, old: pd.Series) -> pd.Series:
     return pd.Series([None if a is None or b is None else SequenceMatcher(None, a, b).ratio() for a, b in zip(new, old, strict=True)], dtype="float64")
 
 
+@F.pandas_udf(BinaryType())
+def _counts(forms: pd.Series) -> pd.Series:
+    """How often a text has characters of each kind (a hash). NULL for an empty text."""
+    code = lambda t: np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return pd.Series([np.bincount((code(t) * np.uint32(2654435761)) >> (32 - KIND_BITS), minlength=1 << KIND_BITS).astype("<u4").tobytes() if t else None for t in forms])
+
+
+@F.pandas_udf(DoubleType())
+def _most(new: pd.Series, old: pd.Series) -> pd.Series:
+    """A bound that text_similarity can't exceed, by what two texts have of each kind of character."""
+    out = pd.Series(np.nan, index=new.index)
+    both = new.notna() & old.notna()
+    if both.any():
+        a, b = (np.frombuffer(b"".join(x[both]), "<u4").reshape(-1, 1 << KIND_BITS).astype(np.int64) for x in (new, old))
+        out[both] = 2.0 * np.minimum(a, b).sum(1) / (a.sum(1) + b.sum(1))
+    return out
+
+
 def similar_to_stored(
     batch: DataFrame, store: DataFrame, text: float = TEXT_SIMILARITY, embedding: float = EMBEDDING_SIMILARITY, metric: str = "closeness",
     candidates: int = CANDIDATES, seq: str = "seq",
@@ -56,12 +78,15 @@ def similar_to_stored(
 
     Of a row's nearest stored records the one most similar in text counts (then in embedding, then the nearest); the row is
     a repeat if that one reaches either threshold. Records whose normal form is empty aren't compared; batch rows aren't
-    compared with each other.
+    compared with each other. Texts are joined and compared only for rows of which some candidate can reach a threshold.
     """
-    near = knn_join(batch, store, candidates, seq, seq, metric=metric)
+    near = knn_join(batch, store, candidates, seq, seq, metric=metric).select(F.col("query_id").alias("new"), F.col("neighbour_id").alias("old"), "similarity", "rank")
+    counts = lambda df, name: df.select(F.col(seq).alias(name), _counts(question_form(F.col("content"))).alias(f"{name}_counts"))
+    bounded = near.join(counts(batch, "new"), "new").join(counts(store, "old"), "old").withColumn("most", _most("new_counts", "old_counts")).where("most is not null")
+    able = bounded.groupBy("new").agg(F.collect_list(F.struct("old", "similarity", "rank")).alias("p"), F.max("similarity").alias("s"), F.max("most").alias("most"))
+    able = written(able.where((F.col("s") >= embedding) | (F.col("most") >= text)).select("new", F.inline("p")), "pairs")
     side = lambda df, name: df.select(F.col(seq).alias(name), F.col("id").alias(f"{name}_id"), F.col("content").alias(f"{name}_text"), question_form(F.col("content")).alias(f"{name}_form"))
-    pairs = near.withColumnRenamed("query_id", "new").withColumnRenamed("neighbour_id", "old").join(side(batch, "new"), "new").join(side(store, "old"), "old")
-    pairs = pairs.where("new_form != '' and old_form != ''").withColumn("t", text_similarity("new_form", "old_form"))
+    pairs = able.join(side(batch, "new"), "new").join(side(store, "old"), "old").withColumn("t", text_similarity("new_form", "old_form"))
     best = pairs.groupBy("new").agg(F.max_by(F.struct("new_id", "new_text", "old_id", "old_text", "similarity", "t"), F.struct("t", "similarity", -F.col("rank"))).alias("b"))
     return best.where((F.col("b.t") >= text) | (F.col("b.similarity") >= embedding)).select(
         F.col("new").alias(seq), F.col("b.new_id").alias("id"), F.substring("b.new_text", 1, PREVIEW).alias("content_preview"),
