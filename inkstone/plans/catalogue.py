@@ -123,6 +123,7 @@ def _staged(s: SparkSession, d: str) -> DataFrame:
     """The three stages over incoming records; the third takes all that the first two leave."""
     batch, stored = table(s, d, "incoming_records"), questions(s, d)
     left = dedupe.staged(batch, stored).where("reason is null").select("seq")
+    left = written(left, "left")
     similar = dedupe.similar_to_stored(_worded(batch.join(left, "seq", "left_semi")), _worded(stored))
     return dedupe.staged(batch, stored, similar=written(similar.select("seq"), "similar"))
 

@@ -8,6 +8,7 @@ import pandas as pd
 import pytest
 
 from inkstone.operators import dedupe, search
+from inkstone.plans import catalogue
 
 
 def brute(own, q, n, v, k, metric, keep_self):
@@ -84,3 +85,11 @@ def test_text_bound():
     counts = [dedupe._counts.func(pd.Series(x)) for x in (a, b)]
     for x, y, most in zip(a, b, dedupe._most.func(*counts), strict=True):
         assert np.isnan(most) if not (x and y) else most >= SequenceMatcher(None, x, y).ratio()
+
+
+def test_first_stages_run_once(spark, sf, monkeypatch):
+    """What the first two stages leave is written, so the third stage's plans don't work them out again."""
+    seen, written = {}, catalogue.written
+    monkeypatch.setattr(catalogue, "written", lambda df, name: seen.setdefault(name, written(df, name)))
+    report = catalogue.dedupe_report(spark, sf).first()
+    assert seen["left"].count() == report.after_db_existing_id == report.after_similarity + seen["similar"].count()
