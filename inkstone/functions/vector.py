@@ -37,6 +37,23 @@ def cosine(a: Column, b: Column) -> Column:
     return _sum(F.zip_with(_d(a), _d(b), lambda x, y: x * y)) / ((norm(a) + EPSILON) * (norm(b) + EPSILON))
 
 
+def hashed_words(texts: pd.Series, dim: int) -> pd.Series:
+    """The vectors of hash_embedding for a batch of texts; a word that occurs in it often is hashed once."""
+    import xxhash
+
+    class Buckets(dict):
+        def __missing__(self, word: str) -> int:
+            self[word] = at = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass")) % dim
+            return at
+
+    out, buckets = [], Buckets()
+    for t in texts:
+        v = np.bincount([buckets[w] for w in (t or "").split()], minlength=dim).astype(np.float64)
+        length = np.sqrt(v @ v)
+        out.append((v / length if length else v).astype(np.float32))
+    return pd.Series(out)
+
+
 def hash_embedding(text: Column, dim: int = 384) -> Column:
     """Counts of the text's words by hash bucket, of length 1; zeros for a text without words or NULL.
 
@@ -45,15 +62,6 @@ def hash_embedding(text: Column, dim: int = 384) -> Column:
 
     @F.pandas_udf(ArrayType(FloatType()))
     def embed(texts: pd.Series) -> pd.Series:
-        import xxhash
-
-        out = []
-        for t in texts:
-            v = np.zeros(dim, np.float64)
-            for w in (t or "").split():
-                v[xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) % dim] += 1
-            length = np.sqrt(v @ v)
-            out.append((v / length if length else v).astype(np.float32))
-        return pd.Series(out)
+        return hashed_words(texts, dim)
 
     return embed(text)

@@ -7,6 +7,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from inkstone.functions import vector
 from inkstone.operators import dedupe, search
 from inkstone.plans import catalogue
 
@@ -93,3 +94,20 @@ def test_first_stages_run_once(spark, sf, monkeypatch):
     monkeypatch.setattr(catalogue, "written", lambda df, name: seen.setdefault(name, written(df, name)))
     report = catalogue.dedupe_report(spark, sf).first()
     assert seen["left"].count() == report.after_db_existing_id == report.after_similarity + seen["similar"].count()
+
+
+def test_words_are_hashed_once(monkeypatch):
+    """A word of many texts is hashed once a batch; vectors are those of hashing every word."""
+    import xxhash
+
+    hashed, digest = [], xxhash.xxh64_intdigest
+    monkeypatch.setattr(xxhash, "xxh64_intdigest", lambda b: hashed.append(b) or digest(b))
+    texts = ["集合 函数 函数", "", None, "  ", "函数 a\ud800 集合"] * 20
+    got = vector.hashed_words(pd.Series(texts), 8)
+    assert len(hashed) == 3
+    for t, v in zip(texts, got, strict=True):
+        want = np.zeros(8)
+        for w in (t or "").split():
+            want[digest(w.encode("utf-8", "surrogatepass")) % 8] += 1
+        length = np.sqrt(want @ want)
+        assert v.dtype == np.float32 and (v == (want / length if length else want).astype(np.float32)).all()
